@@ -1,6 +1,6 @@
 """All query modules."""
 
-from jobsight.plans import diagnosis  # noqa: F401
+from jobsight.plans import costs, diagnosis, store  # noqa: F401
 from jobsight.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
