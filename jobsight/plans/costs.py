@@ -726,7 +726,7 @@ SELECT p_partkey AS line, CASE p_partkey % 3 WHEN 0 THEN 'aws' WHEN 1 THEN 'gcp'
 FROM part"""
 
 
-def _imported(t):
+def imported_prices(t):
     return t.raw("part").select(
         F.col("p_partkey").alias("line"),
         F.expr("CASE p_partkey % 3 WHEN 0 THEN 'aws' WHEN 1 THEN 'gcp' ELSE 'azure' END").alias("provider"),
@@ -749,7 +749,7 @@ def _imported(t):
     {"imported": _IMPORTED},
 )
 def _(t):
-    merged = cost.merge_catalog(cat.prices(t.spark), _imported(t), "line")
+    merged = cost.merge_catalog(cat.prices(t.spark), imported_prices(t), "line")
     return merged.withColumn("vcpus", F.col("vcpus").cast("long"))
 
 
