@@ -12,12 +12,14 @@ EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type S
 WATERMARK = "10 minutes"
 
 
-def stream_files(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files below a path as a stream; each file is read once."""
-    reader = spark.readStream.schema(schema)
+def stream_files(
+    spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet", files_per_batch: int | None = None
+) -> DataFrame:
+    """Parquet files of a folder as a stream; each file is read once."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def drain(
@@ -51,7 +53,7 @@ def drain(
 def points(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
     """The metric points of the events table as a stream."""
     pin_utc(spark)
-    raw = stream_files(spark, f"{sf_dir.rstrip('/')}/events.parquet", EVENTS_SCHEMA, files_per_batch)
+    raw = stream_files(spark, sf_dir, EVENTS_SCHEMA, "events.parquet", files_per_batch)
     return raw.select(
         "event_id",
         F.concat(F.lit("app-"), (F.col("user_id") % 3).cast("string")).alias("app_id"),
