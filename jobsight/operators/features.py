@@ -60,7 +60,7 @@ def fit(matrix: DataFrame, columns: list[str] | None = None) -> DataFrame:
                     F.struct(
                         F.lit(c).alias("feature"),
                         F.col(f"{c}.mean").alias("mean"),
-                        F.when(F.col(f"{c}.std") == 0, 1.0).otherwise(F.col(f"{c}.std")).alias("std"),
+                        F.when(F.col(f"{c}.max") == F.col(f"{c}.min"), 1.0).otherwise(F.col(f"{c}.std")).alias("std"),
                         F.col(f"{c}.min").alias("min"),
                         F.when(F.col(f"{c}.max") == F.col(f"{c}.min"), F.col(f"{c}.min") + 1.0)
                         .otherwise(F.col(f"{c}.max"))

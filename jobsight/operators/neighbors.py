@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobsight.functions.similarity import DEFAULT_WEIGHTS, magnitude_similarity
+from jobsight.session import stored
 
 MAX_TARGETS_PER_PASS = 1000
 
@@ -72,8 +73,11 @@ def nearest_by_size(
     of_size = W.partitionBy("input_bytes").orderBy(F.col(newest).desc_nulls_last(), key)
     best = runs.withColumn("_n", F.row_number().over(of_size)).filter(F.col("_n") <= k)
     # of each size only the k newest can ever be among the best k
-    by_size = best.groupBy("input_bytes").agg(
-        F.collect_list(F.struct(F.unix_micros(newest).alias("at"), *columns)).alias("runs")
+    by_size = stored(
+        best.groupBy("input_bytes").agg(
+            F.collect_list(F.struct(F.unix_micros(newest).alias("at"), *columns)).alias("runs")
+        ),
+        "sizes",
     )
     ranked, bounds, offsets = ranked_sizes(by_size, "input_bytes", buckets)
 

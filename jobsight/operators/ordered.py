@@ -58,8 +58,9 @@ def with_running(
     block: Column,
     order: Sequence[str],
     running: dict[str, tuple[str, Column]],
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Add running aggregates, each given as name -> (sum | min | max, value), up to and with the row."""
+    """Add running aggregates, each given as name -> (sum | min | max, value), up to the row, with it or without."""
     keys = list(keys)
     rows = df.withColumn("_block", block)
     totals = rows.groupBy(*keys, "_block").agg(*[_COMBINE[k][0](v).alias(f"_t_{n}") for n, (k, v) in running.items()])
@@ -67,7 +68,7 @@ def with_running(
     carried = totals.select(
         *keys, "_block", *[_COMBINE[k][0](f"_t_{n}").over(before).alias(f"_c_{n}") for n, (k, _) in running.items()]
     )
-    inside = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow if inclusive else -1)
     out = rows.select("*", *[_COMBINE[k][0](v).over(inside).alias(f"_r_{n}") for n, (k, v) in running.items()])
     out = out.join(carried, [*keys, "_block"])
     for n, (k, _) in running.items():

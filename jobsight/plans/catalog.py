@@ -1,6 +1,6 @@
 """All query modules."""
 
-from jobsight.plans import costs, diagnosis, ingest, recommending, store  # noqa: F401
+from jobsight.plans import costs, diagnosis, ingest, recommending, store, workload_queries  # noqa: F401
 from jobsight.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

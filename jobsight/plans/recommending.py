@@ -58,7 +58,7 @@ def _(t):
 
 
 def _normalised(name, method, expression, source="features"):
-    shown = ["input_size_gb", "total_cores", "num_tasks", "io_ratio"]
+    shown = ["input_size_gb", "total_cores", "num_tasks", "shuffle_to_input_ratio"]
     body = ", ".join(f"{r(expression.format(c=c), 5)} AS {c}" for c in shown)
     stats = ", ".join(
         f"AVG({c}) AS m_{c}, stddev_pop({c}) AS s_{c}, MIN({c}) AS lo_{c}, MAX({c}) AS hi_{c}" for c in shown
@@ -226,7 +226,13 @@ def _embeddings(t):
 
 @query(
     "rec_06_top_cosine_embeddings",
-    _vector_sql("firsts", "vectors", "vec_id", "list_cosine_similarity(a.v, b.v)"),
+    _vector_sql(
+        "firsts",
+        "vectors",
+        "vec_id",
+        "list_inner_product(a.v, b.v) / ((sqrt(list_inner_product(a.v, a.v)) + 1e-10)"
+        " * (sqrt(list_inner_product(b.v, b.v)) + 1e-10))",
+    ),
     _EMBEDDED,
 )
 def _(t):

@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None):
+def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None, recursive: bool = False):
     """Register ``fn(tables) -> DataFrame`` and, where SQL can say the same, the SQL."""
 
     def register(fn: Callable[[Tables], DataFrame]):
@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_tables(sql, extra)
+            ORACLES[name] = with_tables(sql, extra, recursive)
         return fn
 
     return register

@@ -321,10 +321,10 @@ FROM order_info""",
 }
 
 
-def with_tables(select: str, extra: dict[str, str] | None = None) -> str:
+def with_tables(select: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
     """Put the telemetry tables in front of a SELECT or a WITH statement."""
     ctes = {**ORACLE_TABLES, **(extra or {})}
-    head = "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in ctes.items())
+    head = ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{name} AS ({body})" for name, body in ctes.items())
     body = select.strip()
     if body[:5].upper() == "WITH ":
         return f"{head},\n{body[5:]}"

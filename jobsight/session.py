@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -40,6 +40,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     )
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate table to the shared folder once and read it from there.
+
+    For results that several branches of a plan need: they are computed once,
+    and a lost executor costs no more than a re-read.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pin_utc(spark: SparkSession) -> None:
     """Timestamps of the telemetry are UTC; make the session read them that way."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":

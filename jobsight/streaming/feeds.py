@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobsight.session import pin_utc, shared_dir
 
@@ -42,7 +43,8 @@ def drain(
         .start()
     )
     query.awaitTermination()
-    out = spark.read.schema(stream.schema.add("_batch", "int")).parquet(f"{folder}/out").drop("batch")
+    written = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
+    out = spark.read.schema(written).parquet(f"{folder}/out").drop("batch")
     if key is None:
         return out.drop("_batch")
     columns = [c for c in stream.columns if c not in key]
