@@ -1,6 +1,15 @@
 """All query modules."""
 
-from jobsight.plans import costs, diagnosis, ingest, recommending, store, workload_queries  # noqa: F401
+from jobsight.plans import (  # noqa: F401
+    costs,
+    diagnosis,
+    ingest,
+    monitoring_queries,
+    recommending,
+    store,
+    tuning_queries,
+    workload_queries,
+)
 from jobsight.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

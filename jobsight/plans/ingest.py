@@ -13,6 +13,7 @@ from jobsight.session import shared_dir
 from jobsight.sources import catalogs as cat
 from jobsight.sources import cluster_dumps as dumps
 from jobsight.sources import event_log, history_dump, sinks
+from jobsight.streaming import feeds
 
 _STARTED = "NOT (status = 'failed' AND priority = 'cost')"
 _LOG_SUMS = """
@@ -641,6 +642,4 @@ def _(t):
 @query("src_24_live_points", "SELECT event_id, app_id, metric_name, value FROM points")
 def _(t):
     """Metric points read as a stream and appended to the store."""
-    from jobsight.streaming import feeds
-
-    return feeds.drain(t.spark, feeds.points(t.spark, t.sf_dir), "points").select("event_id", "app_id", "metric_name", "value")
+    return feeds.drain(t.streaming("events").points, "points").select("event_id", "app_id", "metric_name", "value")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsight.session import pin_utc
+from jobsight.streaming.feeds import stream_files
 
 TASK_SUMS = [
     "num_tasks", "failed_tasks", "input_bytes", "output_bytes", "shuffle_read_bytes", "shuffle_write_bytes",
@@ -40,13 +41,21 @@ FROM (SELECT l_orderkey AS app_key, CAST(l_linenumber AS BIGINT) AS stage_id, l_
 class Tables:
     """Lazy views of one scale-factor folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, streamed: tuple[str, ...] = ()):
         pin_utc(spark)
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.streamed = streamed
+
+    def streaming(self, *names: str) -> Tables:
+        """The same views with the named tables read as streams."""
+        return Tables(self.spark, self.sf_dir, names)
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name in self.streamed:
+            return stream_files(self.spark, self.sf_dir, table.schema, f"{name}.parquet")
+        return table
 
     @cached_property
     def tasks(self) -> DataFrame:

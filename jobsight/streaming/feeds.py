@@ -1,20 +1,26 @@
-"""Metric points as a stream, and running a stream until its input is used up."""
+"""Streams over files, and running a stream until its input is used up."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobsight.session import pin_utc, shared_dir
-
-EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+from jobsight.session import shared_dir
 
 WATERMARK = "10 minutes"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_files(
-    spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet", files_per_batch: int | None = None
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    glob: str = "*.parquet",
+    files_per_batch: int | None = None,
 ) -> DataFrame:
     """Parquet files of a folder as a stream; each file is read once."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
@@ -23,28 +29,79 @@ def stream_files(
     return reader.parquet(folder)
 
 
-def drain(
-    spark: SparkSession, stream: DataFrame, purpose: str, mode: str = "append", key: list[str] | None = None
-) -> DataFrame:
-    """Run a stream until its input is used up and return what it wrote, read from a Parquet folder.
+@contextmanager
+def _stateful(spark: SparkSession) -> Iterator[None]:
+    """RocksDB state, as many state partitions as the cluster has cores."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+        "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def run(
+    stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
+) -> None:
+    """Hand every micro-batch to ``on_batch`` until the input is used up. A restart goes on from the checkpoint."""
+    spark = stream.sparkSession
+    with _stateful(spark):
+        query = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .foreachBatch(on_batch)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+
+def parquet_batches(folder: str) -> Callable[[DataFrame, int], None]:
+    """Write every batch to its own folder, so a batch that is run again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return write
+
 
-    In update mode every batch is written with its number, and the last version of each key counts.
+def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """One batch, several subscribers; it is computed once for all of them."""
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for sink in sinks:
+                sink(batch, number)
+        finally:
+            batch.unpersist()
+
+    return deliver
+
+
+def read_batches(spark: SparkSession, schema: T.StructType, folder: str) -> DataFrame:
+    written = T.StructType([*schema.fields, T.StructField("_batch", T.IntegerType())])
+    return spark.read.schema(written).parquet(folder).drop("batch")
+
+
+def drain(stream: DataFrame, purpose: str, mode: str = "append", key: Sequence[str] | None = None) -> DataFrame:
+    """Run a stream until its input is used up and return what it wrote.
+
+    With a key the last version of every key counts, as in update mode.
     """
+    spark = stream.sparkSession
     folder = shared_dir(spark, f"stream-{purpose}")
-
-    def store(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .foreachBatch(store)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    written = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
-    out = spark.read.schema(written).parquet(f"{folder}/out").drop("batch")
+    run(stream, parquet_batches(f"{folder}/out"), f"{folder}/checkpoint", mode)
+    out = read_batches(spark, stream.schema, f"{folder}/out")
     if key is None:
         return out.drop("_batch")
     columns = [c for c in stream.columns if c not in key]
@@ -52,23 +109,11 @@ def drain(
     return last.select(*key, "_row.*")
 
 
-def points(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
-    """The metric points of the events table as a stream."""
-    pin_utc(spark)
-    raw = stream_files(spark, sf_dir, EVENTS_SCHEMA, "events.parquet", files_per_batch)
-    return raw.select(
-        "event_id",
-        F.concat(F.lit("app-"), (F.col("user_id") % 3).cast("string")).alias("app_id"),
-        "user_id",
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.expr(
-            "CASE event_type WHEN 'click' THEN 'jvm_gc_time_percent' WHEN 'error' THEN 'task_failure_rate'"
-            " WHEN 'purchase' THEN 'memory_spill_ratio' WHEN 'view' THEN 'cpu_utilization' ELSE 'executors_lost' END"
-        ).alias("metric_name"),
-        F.expr(
-            "CASE event_type WHEN 'error' THEN value / 1000 WHEN 'purchase' THEN value / 500"
-            " WHEN 'signup' THEN floor(value / 200) ELSE value END"
-        )
-        .cast("double")
-        .alias("value"),
-    )
+def drain_groups(stream: DataFrame, purpose: str, key: Sequence[str]) -> DataFrame:
+    """Like ``drain`` where every batch writes the whole group of rows of a key: the rows of its last batch."""
+    spark = stream.sparkSession
+    folder = shared_dir(spark, f"stream-{purpose}")
+    run(stream, parquet_batches(f"{folder}/out"), f"{folder}/checkpoint", "update")
+    out = read_batches(spark, stream.schema, f"{folder}/out")
+    last = out.groupBy(*key).agg(F.max("_batch").alias("_batch"))
+    return out.join(last, [*key, "_batch"]).drop("_batch")
