@@ -6,6 +6,7 @@ from jobsight.plans import (  # noqa: F401
     ingest,
     monitoring_queries,
     recommending,
+    scalars,
     store,
     tuning_queries,
     workload_queries,
