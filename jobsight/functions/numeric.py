@@ -57,6 +57,17 @@ def share(condition: Column) -> Column:
     return F.count_if(condition).cast("double") / F.nullif(F.count(F.lit(1)), F.lit(0))
 
 
-def compact(*items: Column) -> Column:
-    """Array of the given columns without the nulls."""
-    return F.array_compact(F.array(*items))
+def collected(*items: tuple[Column, Column]) -> Column:
+    """Array of the values whose condition is true, in order; each item is (condition, value).
+
+    Built from array concatenation, which stays in generated code; a filter over an array would not.
+    """
+    return F.concat(*[F.when(condition, F.array(value)).otherwise(F.array()) for condition, value in items])
+
+
+def sum_of(*conditions: Column) -> Column:
+    """How many of the conditions are true."""
+    out = F.lit(0)
+    for c in conditions:
+        out = out + F.when(c, 1).otherwise(0)
+    return out

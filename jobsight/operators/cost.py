@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobsight.functions.numeric import compact, half_even, to_gib
+from jobsight.functions.numeric import collected, half_even, to_gib
 from jobsight.sources import catalogs as cat
 
 ON_DEMAND, SPOT, PREEMPTIBLE, RESERVED, SAVINGS_PLAN = "on_demand", "spot", "preemptible", "reserved", "savings_plan"
@@ -133,29 +133,26 @@ def per_hour(cost: Column, hours: Column) -> Column:
 def breakdown(s: Shape, parts: dict[str, Column]) -> Column:
     """Array of struct(resource_type, quantity, unit, unit_price, total_cost, duration_hours)."""
 
-    def item(kind: str, quantity: Column, unit: str, cost: Column, timed: bool, present: Column) -> Column:
+    def item(kind: str, quantity: Column, unit: str, cost: Column, timed: bool) -> Column:
         quantity = quantity.cast("double")
         basis = quantity * s.hours if timed else quantity
-        return F.when(
-            present,
-            F.struct(
-                F.lit(kind).alias("resource_type"),
-                quantity.alias("quantity"),
-                F.lit(unit).alias("unit"),
-                F.when(basis > 0, cost / basis).otherwise(F.lit(0.0)).alias("unit_price"),
-                cost.alias("total_cost"),
-                (s.hours if timed else F.lit(0.0)).alias("duration_hours"),
-            ),
+        return F.struct(
+            F.lit(kind).alias("resource_type"),
+            quantity.alias("quantity"),
+            F.lit(unit).alias("unit"),
+            F.when(basis > 0, cost / basis).otherwise(F.lit(0.0)).alias("unit_price"),
+            cost.alias("total_cost"),
+            (s.hours if timed else F.lit(0.0)).alias("duration_hours"),
         )
 
     always = F.lit(True)
     shuffle_gb = to_gib(s.shuffle_bytes)
     moved_gb = to_gib(s.input_bytes + s.output_bytes + s.shuffle_bytes)
-    return compact(
-        item("compute", s.total_cores, "vCPU-hours", parts["compute_cost"], True, always),
-        item("memory", s.memory_gb, "GB-hours", parts["memory_cost"], True, always),
-        item("storage", shuffle_gb, "GB-hours", parts["storage_cost"], True, shuffle_gb > 0),
-        item("network", moved_gb, "GB", parts["network_cost"], False, moved_gb > 0),
+    return collected(
+        (always, item("compute", s.total_cores, "vCPU-hours", parts["compute_cost"], True)),
+        (always, item("memory", s.memory_gb, "GB-hours", parts["memory_cost"], True)),
+        (shuffle_gb > 0, item("storage", shuffle_gb, "GB-hours", parts["storage_cost"], True)),
+        (moved_gb > 0, item("network", moved_gb, "GB", parts["network_cost"], False)),
     )
 
 
@@ -174,25 +171,20 @@ def cost_advice(s: Shape, money: dict[str, Column]) -> Column:
     total, spot, reserved = money["total_cost"], money["spot_savings"], money["reserved_savings"]
     shuffle_gb = to_gib(s.shuffle_bytes)
     percent = F.when(total > 0, spot / total * 100).otherwise(F.lit(0.0))
-    return compact(
-        F.when(
-            spot > 0.10,
-            F.format_string("Consider using spot instances to save $%.2f (%.0f%%)", spot, percent),
-        ),
-        F.when(
+    return collected(
+        (spot > 0.10, F.format_string("Consider using spot instances to save $%.2f (%.0f%%)", spot, percent)),
+        (
             (s.hours > 2) & (reserved > 0.05),
             F.format_string("For recurring jobs, reserved instances could save $%.2f", reserved),
         ),
-        F.when(
-            (s.memory_mb > 8192) & (s.executors > 5), "Consider reducing executor memory if GC time is low"
-        ),
-        F.when(
+        ((s.memory_mb > 8192) & (s.executors > 5), F.lit("Consider reducing executor memory if GC time is low")),
+        (
             shuffle_gb > 10,
             F.format_string("High shuffle volume (%.1f GB). Consider optimizing partitioning", shuffle_gb),
         ),
-        F.when(
+        (
             (s.executors > 20) & (s.hours < 0.5),
-            "Job is short with many executors. Consider reducing executor count",
+            F.lit("Job is short with many executors. Consider reducing executor count"),
         ),
     )
 
@@ -215,29 +207,30 @@ def matching_instances(
     prefer_local_storage: bool = False,
     rows: Sequence[tuple] = cat.PRICES,
 ) -> Column:
-    """Array of the instances large enough, cheapest first; with local storage first if preferred."""
-    big_enough = F.filter(
-        cat.literal(rows, cat.PRICE_COLUMNS),
-        lambda i: (i["vcpus"] >= vcpus)
-        & (i["memory_gb"] >= memory_gb)
-        & (F.lit(True) if provider is None else i["provider"] == provider),
-    )
-    no_storage = (lambda i: i["local_storage_gb"] == 0) if prefer_local_storage else (lambda i: F.lit(False))
-    return F.array_sort(
-        F.transform(
-            big_enough,
-            lambda i: F.struct(
-                no_storage(i).alias("without_storage"),
-                instance_price(i["hourly_price"], i["provider"], tier).alias("hourly_price"),
-                i["position"].alias("position"),
-                i["instance_type"].alias("instance_type"),
-                i["provider"].alias("provider"),
-                i["vcpus"].alias("vcpus"),
-                i["memory_gb"].alias("memory_gb"),
-                i["local_storage_gb"].alias("local_storage_gb"),
-            ),
+    """Array of the instances large enough, cheapest first; with local storage first if preferred.
+
+    The catalog is unrolled into the expression, so it must be small.
+    """
+    if len(rows) > cat.MAX_LITERAL_ROWS:
+        raise ValueError(f"{len(rows)} catalog rows are too many to unroll; join a DataFrame instead")
+    items = []
+    for position, row in enumerate(rows):
+        i = dict(zip(cat.PRICE_COLUMNS, row))
+        fits = (vcpus <= i["vcpus"]) & (memory_gb <= i["memory_gb"])
+        if provider is not None:
+            fits = fits & (provider == i["provider"])
+        items.append(
+            (
+                fits,
+                F.struct(
+                    F.lit(prefer_local_storage and i["local_storage_gb"] == 0).alias("without_storage"),
+                    instance_price(F.lit(i["hourly_price"]), F.lit(i["provider"]), tier).alias("hourly_price"),
+                    F.lit(position).alias("position"),
+                    *[F.lit(i[c]).alias(c) for c in ("instance_type", "provider", "vcpus", "memory_gb", "local_storage_gb")],
+                ),
+            )
         )
-    )
+    return F.sort_array(collected(*items))
 
 
 def first_or_null(array: Column) -> Column:
@@ -298,25 +291,46 @@ class Limits:
     max_memory: int = 32768
 
 
-def candidate_grid(goal: Column, executors: Column, memory: Column, limits: Limits = Limits()) -> Column:
-    """Array of struct(executors, memory) to try, by goal; at most nine."""
-    # Steps around the current configuration
+def candidates(
+    goal: Column, executors: Column, memory: Column, limits: Limits = Limits()
+) -> list[tuple[Column, Column, Column]]:
+    """(allowed, executors, memory) to try, by goal, in order; at most nine. The steps."""
+    lean, fast = goal == MINIMIZE_COST, goal == MINIMIZE_DURATION
+
+    def by_goal(cheap: Column, quick: Column, other: Column) -> Column:
+        return F.when(lean, cheap).when(fast, quick).otherwise(other)
+
     few = lambda step: F.greatest(F.lit(1), executors - step)
-    lean = lambda step: F.greatest(F.lit(1024), memory - step)
-    e_range = (
-        F.when(goal == MINIMIZE_COST, F.array(few(2), executors, executors + 1))
-        .when(goal == MINIMIZE_DURATION, F.array(executors, executors + 2, executors + 4))
-        .otherwise(F.array(few(1), executors, executors + 1))
-    )
-    m_range = (
-        F.when(goal == MINIMIZE_COST, F.array(lean(2048), memory))
-        .when(goal == MINIMIZE_DURATION, F.array(memory, memory + 2048))
-        .otherwise(F.array(lean(1024), memory, memory + 1024))
-    )
-    e_ok = F.filter(e_range, lambda e: e.between(limits.min_executors, limits.max_executors))
-    m_ok = F.filter(m_range, lambda m: m.between(limits.min_memory, limits.max_memory))
-    return F.flatten(
-        F.transform(e_ok, lambda e: F.transform(m_ok, lambda m: F.struct(e.alias("executors"), m.alias("memory"))))
+    small = lambda step: F.greatest(F.lit(1024), memory - step)
+    e_range = [
+        by_goal(few(2), executors, few(1)),
+        by_goal(executors, executors + 2, executors),
+        by_goal(executors + 1, executors + 4, executors + 1),
+    ]
+    m_range = [
+        by_goal(small(2048), memory, small(1024)),
+        by_goal(memory, memory + 2048, memory),
+        by_goal(F.lit(None), F.lit(None), memory + 1024),
+    ]
+    return [
+        (
+            e.between(limits.min_executors, limits.max_executors)
+            & F.coalesce(m.between(limits.min_memory, limits.max_memory), F.lit(False)),
+            e,
+            m,
+        )
+        for e in e_range
+        for m in m_range
+    ]
+
+
+def candidate_grid(goal: Column, executors: Column, memory: Column, limits: Limits = Limits()) -> Column:
+    """The candidates as an array of struct(executors, memory)."""
+    return collected(
+        *[
+            (ok, F.struct(e.cast("long").alias("executors"), m.cast("long").alias("memory")))
+            for ok, e, m in candidates(goal, executors, memory, limits)
+        ]
     )
 
 
@@ -352,45 +366,37 @@ def optimize(
         )
 
     rows = runs.withColumns({"_goal": goal, "_hours": hours, "_budget": F.lit(None) if budget is None else budget})
-    rows = rows.withColumn("_current", option(executors, memory))
-    grid = candidate_grid(F.col("_goal"), executors, memory, limits)
-    rows = rows.withColumn("_options", F.transform(grid, lambda g: option(g["executors"], g["memory"])))
+    rows = rows.withColumn("_current", option(executors, memory)).withColumn("_best", F.col("_current"))
     # a budget of zero counts as none
-    allowed = F.filter(
-        "_options", lambda o: F.coalesce(F.nullif(F.col("_budget"), F.lit(0.0)), F.lit(float("inf"))) >= o["cost"]
-    )
-    best = F.aggregate(
-        allowed, F.col("_current"), lambda acc, o: F.when(_improves(o, acc, F.col("_goal")), o).otherwise(acc)
-    )
-    rows = rows.withColumn("_best", best)
+    limit = F.coalesce(F.nullif(F.col("_budget"), F.lit(0.0)), F.lit(float("inf")))
+    for ok, e, m in candidates(F.col("_goal"), executors, memory, limits):
+        # one projection per candidate keeps the fold in generated code
+        rows = rows.withColumn("_option", option(e.cast("long"), m.cast("long")))
+        wins = ok & (F.col("_option.cost") <= limit) & _improves(F.col("_option"), F.col("_best"), F.col("_goal"))
+        rows = rows.withColumn("_best", F.when(wins, F.col("_option")).otherwise(F.col("_best")))
     saved = F.col("_current.cost") - F.col("_best.cost")
     fewer = F.col("_best.executors") < F.col("_current.executors")
     more = F.col("_best.executors") > F.col("_current.executors")
     leaner = F.col("_best.memory") < F.col("_current.memory")
     larger = F.col("_best.memory") > F.col("_current.memory")
     # Texts of advice and trade-offs
-    advice = compact(
-        F.when(saved > 0, F.format_string("Potential savings: $%.2f", saved)),
-        F.when(
-            fewer, F.format_string("Reduce executors from %d to %d", "_current.executors", "_best.executors")
-        ).when(
+    advice = collected(
+        (saved > 0, F.format_string("Potential savings: $%.2f", saved)),
+        (fewer, F.format_string("Reduce executors from %d to %d", "_current.executors", "_best.executors")),
+        (
             more,
             F.format_string(
                 "Increase executors from %d to %d for better performance", "_current.executors", "_best.executors"
             ),
         ),
-        F.when(
-            leaner, F.format_string("Reduce executor memory from %dMB to %dMB", "_current.memory", "_best.memory")
-        ).when(
-            larger, F.format_string("Increase executor memory from %dMB to %dMB", "_current.memory", "_best.memory")
-        ),
-        F.when(F.col("_goal") == MINIMIZE_COST, "Consider spot instances for additional savings").when(
-            F.col("_goal") == MINIMIZE_DURATION, "Enable dynamic allocation for peak efficiency"
-        ),
+        (leaner, F.format_string("Reduce executor memory from %dMB to %dMB", "_current.memory", "_best.memory")),
+        (larger, F.format_string("Increase executor memory from %dMB to %dMB", "_current.memory", "_best.memory")),
+        (F.col("_goal") == MINIMIZE_COST, F.lit("Consider spot instances for additional savings")),
+        (F.col("_goal") == MINIMIZE_DURATION, F.lit("Enable dynamic allocation for peak efficiency")),
     )
-    trade_offs = compact(
-        F.when(fewer, "Fewer executors may increase job duration"),
-        F.when(leaner, "Less memory may cause increased spilling or GC pressure"),
+    trade_offs = collected(
+        (fewer, F.lit("Fewer executors may increase job duration")),
+        (leaner, F.lit("Less memory may cause increased spilling or GC pressure")),
     )
     instance = first_or_null(
         matching_instances(F.col("executor_cores"), F.col("_best.memory") / 1024.0, provider)
@@ -409,23 +415,23 @@ def optimize(
             "recommendations": advice,
             "trade_offs": trade_offs,
         }
-    ).drop("_goal", "_hours", "_budget", "_current", "_options", "_best")
+    ).drop("_goal", "_hours", "_budget", "_current", "_option", "_best")
 
 
 def frontier(runs: DataFrame, hours: Column, points: int = 5, pricing: Pricing = DEFAULT_PRICING) -> DataFrame:
     """Points of the cost-duration curve of every run, cheapest first by ``place``."""
     base = F.col("num_executors")
     # Scale steps and the damped effect of more executors on the duration
-    scales = F.array(*[F.lit(0.5 + i * 0.375) for i in range(points)])
+    scales = [0.5 + i * 0.375 for i in range(points)]
 
-    def point(scale: Column) -> Column:
-        e = F.greatest(F.lit(1), F.floor(base * scale).cast("long"))
-        took = hours * (F.lit(1.0) / (F.lit(0.5) + F.lit(0.5) * scale))
+    def point(scale: float) -> Column:
+        e = F.greatest(F.lit(1), F.floor(base * F.lit(scale)).cast("long"))
+        took = hours * F.lit(1.0 / (0.5 + 0.5 * scale))
         s = Shape(e, F.col("executor_cores"), F.col("executor_memory_mb"), F.col("driver_memory_mb"), took)
         c, m, _, _ = cost_parts(s, pricing=pricing).values()
-        return F.struct((c + m).alias("cost"), scale.alias("scale"), e.alias("executors"), took.alias("hours"))
+        return F.struct((c + m).alias("cost"), F.lit(scale).alias("scale"), e.alias("executors"), took.alias("hours"))
 
-    curve = F.array_sort(F.transform(scales, point))
+    curve = F.sort_array(F.array(*[point(x) for x in scales]))
     return runs.select("app_id", F.posexplode(curve).alias("place", "_p")).select("app_id", "place", "_p.*")
 
 
@@ -450,10 +456,10 @@ def spot_strategy(s: Shape, provider: Column, tolerance: Column) -> dict[str, Co
     strategy = (
         F.when((tolerance >= 0.7) & (saved > 0), "full_spot").when(tolerance >= 0.4, "mixed").otherwise("on_demand")
     )
-    tips = compact(
-        F.when(strategy != "on_demand", "Enable checkpointing to handle interruptions"),
-        F.when(strategy == "mixed", "Set spark.dynamicAllocation.enabled=true for flexibility"),
-        F.when(strategy == "full_spot", "Consider using Spot Fleet for better availability"),
+    tips = collected(
+        (strategy != "on_demand", F.lit("Enable checkpointing to handle interruptions")),
+        (strategy == "mixed", F.lit("Set spark.dynamicAllocation.enabled=true for flexibility")),
+        (strategy == "full_spot", F.lit("Consider using Spot Fleet for better availability")),
     )
     return {
         "strategy": strategy,
@@ -490,7 +496,7 @@ def provider_options(
 
 def compare_providers(runs: DataFrame, s: Shape, pricing: dict[str, Pricing] | None = None) -> DataFrame:
     """Cheapest and dearest provider of every run, the gap and the ranking."""
-    rows = runs.withColumn("_ranked", F.array_sort(provider_options(s, pricing)))
+    rows = runs.withColumn("_ranked", F.sort_array(provider_options(s, pricing)))
     first, last = F.col("_ranked")[0], F.col("_ranked")[len(cat.PROVIDERS) - 1]
     return rows.select(
         "app_id",
@@ -499,7 +505,7 @@ def compare_providers(runs: DataFrame, s: Shape, pricing: dict[str, Pricing] | N
         last["provider"].alias("most_expensive_provider"),
         last["cost"].alias("most_expensive_cost"),
         (last["cost"] - first["cost"]).alias("savings"),
-        F.transform("_ranked", lambda o: o["provider"]).alias("ranking"),
+        F.col("_ranked.provider").alias("ranking"),
     )
 
 
@@ -529,24 +535,25 @@ def region_costs(runs: DataFrame, s: Shape, with_region_factor: bool = False) ->
 
 def cheapest_options(runs: DataFrame, s: Shape, spot: bool = True, k: int = 10) -> DataFrame:
     """The k cheapest of all provider, region and tier options of every run, with the number of options."""
-    items = []
+    tiers = [ON_DEMAND, SPOT] if spot else [ON_DEMAND]
+    # a cost depends on provider and tier only and is computed once for all regions
+    rows = runs.withColumns({f"_{p}_{t}": total_cost(s, t, p) for p in cat.PROVIDERS for t in tiers})
+    items: list[Column] = []
     for p in cat.PROVIDERS:
-        costs = {t: total_cost(s, t, p) for t in ([ON_DEMAND, SPOT] if spot else [ON_DEMAND])}
         for r in cat.COMPARED_REGIONS[p]:
-            for t, cost in costs.items():
+            for t in tiers:
                 items.append(
                     F.struct(
-                        cost.alias("cost"),
+                        F.col(f"_{p}_{t}").alias("cost"),
                         F.lit(len(items)).alias("position"),
                         F.lit(p).alias("provider"),
                         F.lit(r).alias("region"),
                         F.lit(t).alias("tier"),
                     )
                 )
-    ranked = F.slice(F.array_sort(F.array(*items)), 1, k)
-    return runs.select("app_id", F.lit(len(items)).alias("total_options_analyzed"), F.posexplode(ranked).alias("place", "_o")).select(
-        "app_id", "total_options_analyzed", "place", "_o.provider", "_o.region", "_o.tier", "_o.cost"
-    )
+    ranked = F.slice(F.sort_array(F.array(*items)), 1, k)
+    rows = rows.select("app_id", F.lit(len(items)).alias("total_options_analyzed"), F.posexplode(ranked).alias("place", "_o"))
+    return rows.select("app_id", "total_options_analyzed", "place", "_o.provider", "_o.region", "_o.tier", "_o.cost")
 
 
 def migration(

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobsight.functions.numeric import MIB, compact, half_even, ratio, to_gib
+from jobsight.functions.numeric import MIB, collected, half_even, ratio, to_gib
 
 # Thresholds of the diagnosis
 HIGH_GC_RATIO = 0.1
@@ -77,28 +77,14 @@ def bottlenecks() -> Column:
     ideal = cores() * 2
     load = ratio("total_tasks", ideal)
     counted = (F.col("total_tasks") > 0) & (ideal > 0)
-    return compact(
-        F.when(ran & (cpu_share() > HIGH_CPU_UTILIZATION), "CPU_BOUND").when(
-            ran & (cpu_share() < LOW_CPU_UTILIZATION), "CPU_UNDERUTILIZED"
-        ),
-        F.when(per_input(spilled) > HIGH_SPILL_RATIO, "MEMORY_PRESSURE"),
-        F.when(gc_share() > HIGH_GC_RATIO, "GC_OVERHEAD"),
-        F.when(per_input(shuffled()) > HIGH_SHUFFLE_RATIO, "SHUFFLE_HEAVY"),
-        F.when(counted & (load < LOW_PARALLELISM_RATIO), "LOW_PARALLELISM").when(
-            counted & (load > EXCESSIVE_TASK_RATIO), "EXCESSIVE_TASKS"
-        ),
-    )
-
-
-def _issue(found: Column, kind: str, severity: Column, description: Column, advice: str) -> Column:
-    return F.when(
-        found,
-        F.struct(
-            F.lit(kind).alias("type"),
-            severity.alias("severity"),
-            description.alias("description"),
-            F.lit(advice).alias("recommendation"),
-        ),
+    return collected(
+        (ran & (cpu_share() > HIGH_CPU_UTILIZATION), F.lit("CPU_BOUND")),
+        (ran & (cpu_share() < LOW_CPU_UTILIZATION), F.lit("CPU_UNDERUTILIZED")),
+        (per_input(spilled) > HIGH_SPILL_RATIO, F.lit("MEMORY_PRESSURE")),
+        (gc_share() > HIGH_GC_RATIO, F.lit("GC_OVERHEAD")),
+        (per_input(shuffled()) > HIGH_SHUFFLE_RATIO, F.lit("SHUFFLE_HEAVY")),
+        (counted & (load < LOW_PARALLELISM_RATIO), F.lit("LOW_PARALLELISM")),
+        (counted & (load > EXCESSIVE_TASK_RATIO), F.lit("EXCESSIVE_TASKS")),
     )
 
 
@@ -106,63 +92,72 @@ def _high_if(condition: Column) -> Column:
     return F.when(condition, "HIGH").otherwise("MEDIUM")
 
 
+def issue_conditions() -> dict[str, Column]:
+    """Issue type -> when it is found, in order."""
+    return {
+        "DATA_SKEW": per_input(F.col("shuffle_write_bytes")) > 2.0,
+        "DISK_SPILL": F.col("disk_spilled_bytes") > 0,
+        "MEMORY_SPILL": F.col("memory_spilled_bytes") > 0,
+        "TASK_FAILURES": F.col("failed_tasks") > 0,
+        "STAGE_FAILURES": F.col("failed_stages") > 0,
+        "LOW_PARALLELISM": (F.col("total_tasks") > 0) & (F.col("total_tasks") < cores()),
+        "HIGH_GC_TIME": gc_share() > HIGH_GC_RATIO,
+    }
+
+
 def issues() -> Column:
     """Array of struct(type, severity, description, recommendation)."""
     growth = per_input(F.col("shuffle_write_bytes"))
     disk_gb, memory_gb = to_gib("disk_spilled_bytes"), to_gib("memory_spilled_bytes")
-    half_used = F.col("total_tasks") < cores()
     # Texts of the issues
-    return compact(
-        _issue(
-            growth > 2.0,
-            "DATA_SKEW",
+    details = {
+        "DATA_SKEW": (
             _high_if(growth > 5.0),
             F.format_string("High data amplification (%.1fx) may indicate data skew", growth),
             "Consider salting keys or repartitioning data",
         ),
-        _issue(
-            F.col("disk_spilled_bytes") > 0,
-            "DISK_SPILL",
+        "DISK_SPILL": (
             _high_if(disk_gb > 10),
             F.format_string("Spilled %.2f GB to disk due to memory pressure", disk_gb),
             "Increase executor memory or reduce partition size",
         ),
-        _issue(
-            F.col("memory_spilled_bytes") > 0,
-            "MEMORY_SPILL",
+        "MEMORY_SPILL": (
             F.lit("MEDIUM"),
             F.format_string("Spilled %.2f GB from memory", memory_gb),
             "Increase spark.memory.fraction or executor memory",
         ),
-        _issue(
-            F.col("failed_tasks") > 0,
-            "TASK_FAILURES",
+        "TASK_FAILURES": (
             _high_if(failure_share() > 0.05),
             F.format_string("%d tasks failed (%.1f%% failure rate)", "failed_tasks", failure_share() * 100),
             "Check executor logs for OOM errors or data issues",
         ),
-        _issue(
-            F.col("failed_stages") > 0,
-            "STAGE_FAILURES",
+        "STAGE_FAILURES": (
             F.lit("HIGH"),
             F.format_string("%d stages failed", "failed_stages"),
             "Review stage details for root cause",
         ),
-        _issue(
-            (F.col("total_tasks") > 0) & half_used,
-            "LOW_PARALLELISM",
+        "LOW_PARALLELISM": (
             F.lit("MEDIUM"),
             F.format_string("Only %d tasks for %d cores", F.col("total_tasks"), cores()),
             "Increase partition count with repartition() or coalesce()",
         ),
-        _issue(
-            gc_share() > HIGH_GC_RATIO,
-            "HIGH_GC_TIME",
+        "HIGH_GC_TIME": (
             F.when(gc_share() < 0.2, "MEDIUM").otherwise("HIGH"),
             F.format_string("GC time is %.1f%% of execution time", gc_share() * 100),
             "Increase executor memory or tune GC settings",
         ),
-    )
+    }
+
+    def record(kind: str) -> Column:
+        severity, description, advice = details[kind]
+        return F.struct(
+            F.lit(kind).alias("type"),
+            severity.alias("severity"),
+            description.alias("description"),
+            F.lit(advice).alias("recommendation"),
+        )
+
+    return collected(*[(found, record(kind)) for kind, found in issue_conditions().items()])
 
 
 def health_score() -> Column:
@@ -203,11 +198,11 @@ def suggestions(jobs: DataFrame) -> DataFrame:
 def quick_check(jobs: DataFrame) -> DataFrame:
     """The four short checks: disk spill, GC, failed tasks, shuffle volume."""
     shuffle_ratio = per_input(F.col("shuffle_write_bytes"))
-    found = compact(
-        F.when(F.col("disk_spilled_bytes") > 0, "disk_spill"),
-        F.when(gc_share() > HIGH_GC_RATIO, "high_gc"),
-        F.when(F.col("failed_tasks") > 0, "task_failures"),
-        F.when(shuffle_ratio > HIGH_SHUFFLE_RATIO, "high_shuffle"),
+    found = collected(
+        (F.col("disk_spilled_bytes") > 0, F.lit("disk_spill")),
+        (gc_share() > HIGH_GC_RATIO, F.lit("high_gc")),
+        (F.col("failed_tasks") > 0, F.lit("task_failures")),
+        (shuffle_ratio > HIGH_SHUFFLE_RATIO, F.lit("high_shuffle")),
     )
     return jobs.select(
         "app_id",

@@ -30,8 +30,17 @@ MAX_TARGETS_PER_PASS = 1000
 
 
 def _bucket(column: str, bounds: Sequence[float]) -> Column:
-    limits = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(limits, lambda b: b <= F.col(column)))
+    """How many of the sorted bounds are at or below the value, as a search tree of comparisons."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(column) < F.lit(float(bounds[middle])), search(low, middle)).otherwise(
+            search(middle + 1, high)
+        )
+
+    return search(0, len(bounds))
 
 
 def ranked_sizes(sizes: DataFrame, column: str, buckets: int = 200) -> tuple[DataFrame, list[float], DataFrame]:
@@ -144,63 +153,70 @@ WEIGHTED_COLUMNS = [
 ]
 
 
-def weighted_scores(weights: dict[str, float] | None = None) -> Callable[[pd.DataFrame, dict], np.ndarray]:
-    """Weighted similarity of a batch of runs to one target; dimensions missing on either side do not count."""
-    w = weights or DEFAULT_WEIGHTS
-
-    def score(batch: pd.DataFrame, target: dict) -> np.ndarray:
-        def ratio(column: str) -> np.ndarray:
-            return _ratio(batch[column].to_numpy(dtype="float64"), float(target[column]))
-
-        def names() -> np.ndarray:
-            codes, distinct = pd.factorize(batch["app_name"])
-            return np.array([_names(target["app_name"], n) for n in distinct] + [0.0])[codes]
-
-        dims = [
-            ("input_size", ["input_bytes"], lambda: ratio("input_bytes")),
-            ("app_name", ["app_name"], names),
-            ("num_stages", ["total_stages"], lambda: ratio("total_stages")),
-            (
-                "executor_config",
-                ["num_executors", "executor_cores", "executor_memory_mb"],
-                lambda: (ratio("num_executors") + ratio("executor_cores") + ratio("executor_memory_mb")) / 3,
-            ),
-            ("shuffle_size", ["shuffle_write_bytes"], lambda: ratio("shuffle_write_bytes")),
-            ("output_size", ["output_bytes"], lambda: ratio("output_bytes")),
-        ]
-        total, weight = np.zeros(len(batch)), np.zeros(len(batch))
-        for name, columns, value in dims:
-            if any(target[c] is None for c in columns):
-                continue
-            present = batch[columns].notna().all(axis=1).to_numpy()
-            total += np.where(present, value() * w[name], 0.0)
-            weight += np.where(present, w[name], 0.0)
-        return np.divide(total, weight, out=np.zeros(len(batch)), where=weight > 0)
+Scorer = Callable[[pd.DataFrame], Callable[[dict], np.ndarray]]
 
-    return score
 
-
-def vector_scores(method: str = "cosine") -> Callable[[pd.DataFrame, dict], np.ndarray]:
+def weighted_scores(weights: dict[str, float] | None = None) -> Scorer:
+    """Weighted similarity of a batch of runs to one target; dimensions missing on either side do not count."""
+    w = weights or DEFAULT_WEIGHTS
+    dims = [
+        ("input_size", ["input_bytes"]),
+        ("app_name", ["app_name"]),
+        ("num_stages", ["total_stages"]),
+        ("executor_config", ["num_executors", "executor_cores", "executor_memory_mb"]),
+        ("shuffle_size", ["shuffle_write_bytes"]),
+        ("output_size", ["output_bytes"]),
+    ]
+
+    def prepare(batch: pd.DataFrame) -> Callable[[dict], np.ndarray]:
+        numbers = {c: batch[c].to_numpy(dtype="float64") for c in WEIGHTED_COLUMNS if c != "app_name"}
+        codes, distinct = pd.factorize(batch["app_name"])
+        known = {name: batch[columns].notna().all(axis=1).to_numpy() for name, columns in dims}
+
+        def score(target: dict) -> np.ndarray:
+            total, weight = np.zeros(len(batch)), np.zeros(len(batch))
+            for name, columns in dims:
+                if any(target[c] is None for c in columns):
+                    continue
+                if name == "app_name":
+                    value = np.array([_names(target["app_name"], n) for n in distinct] + [0.0])[codes]
+                else:
+                    parts = [_ratio(numbers[c], float(target[c])) for c in columns]
+                    value = parts[0] if len(parts) == 1 else (parts[0] + parts[1] + parts[2]) / 3
+                total += np.where(known[name], value * w[name], 0.0)
+                weight += np.where(known[name], w[name], 0.0)
+            return np.divide(total, weight, out=np.zeros(len(batch)), where=weight > 0)
+
+        return score
+
+    return prepare
+
+
+def vector_scores(method: str = "cosine") -> Scorer:
     """Cosine similarity or 1 / (1 + Euclidean distance) of column ``vector``. Fixed value: 1e-10 guards the norms."""
     if method not in ("cosine", "euclidean"):
         raise ValueError(f"unknown similarity method {method}")
 
-    def score(batch: pd.DataFrame, target: dict) -> np.ndarray:
+    def prepare(batch: pd.DataFrame) -> Callable[[dict], np.ndarray]:
         m = np.stack(batch["vector"].to_numpy()).astype("float64")
-        v = np.asarray(target["vector"], dtype="float64")
-        if method == "euclidean":
-            return 1.0 / (1.0 + np.sqrt(((m - v) ** 2).sum(axis=1)))
-        m = m / (np.sqrt((m * m).sum(axis=1, keepdims=True)) + 1e-10)
-        return (m * (v / (np.sqrt((v * v).sum()) + 1e-10))).sum(axis=1)
+        unit = m / (np.sqrt((m * m).sum(axis=1, keepdims=True)) + 1e-10)
 
-    return score
+        def score(target: dict) -> np.ndarray:
+            v = np.asarray(target["vector"], dtype="float64")
+            if method == "euclidean":
+                return 1.0 / (1.0 + np.sqrt(((m - v) ** 2).sum(axis=1)))
+            return unit @ (v / (np.sqrt((v * v).sum()) + 1e-10))
+
+        return score
+
+    return prepare
 
 
 def top_similar(
     candidates: DataFrame,
     targets: DataFrame,
     columns: Sequence[str],
-    score: Callable[[pd.DataFrame, dict], np.ndarray],
+    score: Scorer,
     k: int = 5,
     key: str = "app_id",
     digits: int = 9,
@@ -236,20 +252,25 @@ def top_similar(
     return ranked.filter(F.col("place") <= k)
 
 
-def _best_of_task(targets: list[dict], score, k: int, key: str, digits: int):
+def _best_of_task(targets: list[dict], scorer: Scorer, k: int, key: str, digits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {}
+        best: dict = {t[key]: (np.empty(0, dtype=object), np.empty(0)) for t in targets}
         for batch in batches:
-            ids = batch[key].to_numpy()
+            if not len(batch):
+                continue
+            ids, score = batch[key].to_numpy(), scorer(batch)
             for t in targets:
-                s = np.round(score(batch, t), digits)
-                mine = pd.DataFrame({"candidate": ids, "score": s})
-                mine = mine[mine["candidate"] != t[key]]
-                held = best.get(t[key])
-                mine = mine if held is None else pd.concat([held, mine])
-                best[t[key]] = mine.sort_values(["score", "candidate"], ascending=[False, True]).head(k)
-        for target, rows in best.items():
-            if len(rows):
-                yield rows.assign(target=target)[["target", "candidate", "score"]]
+                s = np.round(score(t), digits)
+                s[ids == t[key]] = -np.inf
+                # everything that ties with the k-th best stays in until the ids decide
+                cut = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+                held_ids, held = best[t[key]]
+                near = np.flatnonzero((s >= cut) & (s > -np.inf))
+                all_ids, all_scores = np.append(held_ids, ids[near]), np.append(held, s[near])
+                order = np.lexsort((all_ids, -all_scores))[:k]
+                best[t[key]] = (all_ids[order], all_scores[order])
+        for target, (ids, scores) in best.items():
+            if len(ids):
+                yield pd.DataFrame({"target": target, "candidate": ids, "score": scores})
 
     return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobsight.functions.numeric import compact, half_even, to_gib
+from jobsight.functions.numeric import collected, half_even, to_gib
 from jobsight.operators import neighbors, rules
 from jobsight.operators.search import newest, successful
 from jobsight.schemas import zero_filled
@@ -231,11 +231,15 @@ def executors_within(budget: Column, unit_cost: Column, executors: Column) -> Co
 def config_errors(max_cluster_cores: int) -> Column:
     """Array of failed checks of a configuration. Limits and texts."""
     total = F.col("num_executors") * F.col("executor_cores")
-    return compact(
-        F.when(F.col("num_executors") < 1, "Must have at least 1 executor"),
-        F.when(F.col("executor_memory_mb") < 1024, "Executor memory must be at least 1GB"),
-        F.when(
-            F.col("executor_memory_mb") / F.col("executor_cores") < 1024, "Memory per core should be at least 1GB"
+    return collected(
+        (F.col("num_executors") < 1, F.lit("Must have at least 1 executor")),
+        (F.col("executor_memory_mb") < 1024, F.lit("Executor memory must be at least 1GB")),
+        (
+            F.col("executor_memory_mb") / F.col("executor_cores") < 1024,
+            F.lit("Memory per core should be at least 1GB"),
+        ),
+        (
+            total > max_cluster_cores,
+            F.format_string("Total cores (%d) exceeds cluster capacity", total.cast("long")),
         ),
-        F.when(total > max_cluster_cores, F.format_string("Total cores (%d) exceeds cluster capacity", total.cast("long"))),
     )

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobsight.functions.numeric import MIB, compact, ratio, to_gib
+from jobsight.functions.numeric import MIB, collected, ratio, sum_of, to_gib
 
 CRITICAL, WARNING, INFO = "critical", "warning", "info"
 
@@ -41,18 +41,15 @@ class Rule:
         configs = self.spark_configs()
         entries = [x for k, v in configs.items() for x in (F.lit(k), v)]
         config_map = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
-        return F.when(
-            self.applies(),
-            F.struct(
-                F.lit(self.rule_id).alias("rule_id"),
-                F.lit(self.title).alias("title"),
-                F.lit(self.severity).alias("severity"),
-                self.description().alias("description"),
-                self.current_value().alias("current_value"),
-                self.recommended_value().alias("recommended_value"),
-                F.lit(self.expected_improvement).cast("string").alias("expected_improvement"),
-                config_map.alias("spark_configs"),
-            ),
+        return F.struct(
+            F.lit(self.rule_id).alias("rule_id"),
+            F.lit(self.title).alias("title"),
+            F.lit(self.severity).alias("severity"),
+            self.description().alias("description"),
+            self.current_value().alias("current_value"),
+            self.recommended_value().alias("recommended_value"),
+            F.lit(self.expected_improvement).cast("string").alias("expected_improvement"),
+            config_map.alias("spark_configs"),
         )
 
 
@@ -214,7 +211,7 @@ DEFAULT_RULES: tuple[Rule, ...] = (
 
 def findings(rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
     """Array of the findings of a run, in the order of the rules."""
-    return compact(*[r.finding() for r in rules])
+    return collected(*[(r.applies(), r.finding()) for r in rules])
 
 
 def evaluate(jobs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, severity: str | None = None) -> DataFrame:
@@ -223,8 +220,16 @@ def evaluate(jobs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, severity: s
     return jobs.select("app_id", "app_name", F.inline(findings(wanted)))
 
 
-def severity_count(found: Column, severity: str) -> Column:
-    return F.size(F.filter(found, lambda f: f["severity"] == severity))
+def severity_count(severity: str, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
+    """Findings of one severity of a run, counted without building them."""
+    return sum_of(*[r.applies() for r in rules if r.severity == severity])
+
+
+def severity_totals(jobs: DataFrame, group: str, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
+    """Findings per severity and group: the runs are counted in place, no finding is built or exploded."""
+    return jobs.groupBy(group).agg(
+        *[F.sum(severity_count(s, rules)).cast("long").alias(s) for s in (CRITICAL, WARNING, INFO)]
+    )
 
 
 def merge_configs(found: Column) -> Column:
@@ -254,13 +259,13 @@ def optimized_memory(rules: Sequence[Rule] = DEFAULT_RULES) -> tuple[Column, Col
 def report(jobs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """Counts, score, current and advised configuration and the findings of every run."""
     found = F.col("findings")
-    counts = {s: severity_count(found, s) for s in (CRITICAL, WARNING, INFO)}
+    counts = {s: severity_count(s, rules) for s in (CRITICAL, WARNING, INFO)}
     score = 100.0 - counts[CRITICAL] * 30.0 - counts[WARNING] * 10.0 - counts[INFO] * 2.0
     executor, driver = optimized_memory(rules)
     return jobs.withColumn("findings", findings(rules)).select(
         "app_id",
         "app_name",
-        F.size(found).alias("total_recommendations"),
+        sum_of(*[r.applies() for r in rules]).alias("total_recommendations"),
         counts[CRITICAL].alias("critical"),
         counts[WARNING].alias("warnings"),
         counts[INFO].alias("info"),

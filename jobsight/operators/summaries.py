@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobsight.functions.numeric import half_even, long_sum, mean_of, share, to_gib
@@ -66,13 +65,14 @@ def fleet_summary(jobs: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 
 def common_issues(jobs: DataFrame, k: int = 5) -> DataFrame:
     """The most frequent issue types with the percent of all runs that show them."""
-    kinds = F.transform(diagnose.issues(), lambda i: i["type"])
-    # every run counts once through the marker, so one pass gives both numbers
-    marked = jobs.select(F.explode(F.concat(F.array(F.lit("")), kinds)).alias("type"))
-    counts = marked.groupBy("type").agg(F.count(F.lit(1)).alias("count"))
-    with_total = counts.withColumn("_jobs", F.max(F.when(F.col("type") == "", F.col("count"))).over(W.partitionBy()))
+    counted = jobs.agg(
+        F.count(F.lit(1)).alias("_jobs"),
+        *[F.count_if(found).alias(kind) for kind, found in diagnose.issue_conditions().items()],
+    )
+    kinds = F.array(*[F.struct(F.lit(k).alias("type"), F.col(k).alias("count")) for k in diagnose.issue_conditions()])
     return (
-        with_total.filter(F.col("type") != "")
+        counted.select("_jobs", F.inline(kinds))
+        .filter(F.col("count") > 0)
         .select("type", "count", (F.col("count") / F.col("_jobs") * 100).alias("percentage"))
         .orderBy(F.desc("count"), "type")
         .limit(k)

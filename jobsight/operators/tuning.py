@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobsight.functions.numeric import clamp, compact, half_even
+from jobsight.functions.numeric import clamp, collected, half_even
 from jobsight.operators.ordered import with_running
 
 # Parameter -> current, min, max, step, unit
@@ -157,7 +157,7 @@ def adjustments(cfg: Column, m: Column, strategy: Column, target_metric: Column,
     items = []
     for column, (when, new, reason) in _steps(cfg, m, strategy, on_cost, ranges).items():
         items.append(
-            F.when(
+            (
                 when & (new != cfg[column]),
                 F.struct(
                     F.lit(SESSION_CONFIG[column]).alias("parameter"),
@@ -167,7 +167,7 @@ def adjustments(cfg: Column, m: Column, strategy: Column, target_metric: Column,
                 ),
             )
         )
-    return compact(*items)
+    return collected(*items)
 
 
 def first_iterations(iterations: DataFrame, order: Sequence[str], limit: int = MAX_ITERATIONS) -> DataFrame:

@@ -269,7 +269,7 @@ def _top_fits(name, prefer, order, spark_tier, price):
         fits = cost.matching_instances(
             F.col("executor_cores"), F.col("executor_memory_mb") / 1024.0, F.col("provider"), spark_tier, prefer
         )
-        names = F.transform(F.slice(fits, 1, 3), lambda i: i["instance_type"])
+        names = F.slice(fits, 1, 3)["instance_type"]
         rows = jobs(t).select("app_id", F.array_join(names, ",").alias("instances"))
         return rows.filter(F.col("instances") != "")
 

@@ -157,7 +157,7 @@ def _(t):
       GROUP BY app_id) i USING (app_id)""",
 )
 def _(t):
-    issue = F.transform("issues", lambda i: F.concat(i["type"], F.lit(":"), i["severity"]))
+    issue = F.zip_with("issues.type", "issues.severity", lambda a, b: F.concat(a, F.lit(":"), b))
     return diagnose.analyze(jobs(t)).select(
         "app_id",
         "app_name",
@@ -217,7 +217,7 @@ def _(t):
       FROM finding_rows GROUP BY app_id) c USING (app_id)""",
 )
 def _(t):
-    ids = F.array_sort(F.transform("findings", lambda f: f["rule_id"]))
+    ids = F.sort_array(F.col("findings.rule_id"))
     return rules.report(jobs(t)).select(
         "app_id",
         "app_name",
@@ -420,9 +420,7 @@ def _(t):
     FROM finding_rows JOIN jobs USING (app_id) GROUP BY app_name""",
 )
 def _(t):
-    wanted = [rules.CRITICAL, rules.WARNING, rules.INFO]
-    pivoted = rules.evaluate(jobs(t)).groupBy("app_name").pivot("severity", wanted).agg(F.count(F.lit(1)))
-    return pivoted.fillna(0, wanted)
+    return rules.severity_totals(jobs(t), "app_name")
 
 
 @diag(
