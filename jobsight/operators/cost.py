@@ -38,11 +38,19 @@ DEFAULT_PRICING = Pricing()
 
 def tier_factor(tier: str | Column, provider: str | Column) -> Column:
     """Share of the on-demand price, by tier and provider."""
-    t = F.lit(tier) if isinstance(tier, str) else tier
-    p = F.lit(provider) if isinstance(provider, str) else provider
+    if isinstance(tier, str):
+        if tier in (SPOT, PREEMPTIBLE):
+            factors, default = cat.SPOT_FACTORS, cat.DEFAULT_SPOT
+        elif tier in (RESERVED, SAVINGS_PLAN):
+            factors, default = cat.RESERVED_FACTORS, cat.DEFAULT_RESERVED
+        else:
+            return F.lit(1.0)
+        if isinstance(provider, str):
+            return F.lit(factors.get(provider, default))
+        return cat.lookup(factors, provider, default)
     return (
-        F.when(t.isin(SPOT, PREEMPTIBLE), cat.lookup(cat.SPOT_FACTORS, p, cat.DEFAULT_SPOT))
-        .when(t.isin(RESERVED, SAVINGS_PLAN), cat.lookup(cat.RESERVED_FACTORS, p, cat.DEFAULT_RESERVED))
+        F.when(tier.isin(SPOT, PREEMPTIBLE), tier_factor(SPOT, provider))
+        .when(tier.isin(RESERVED, SAVINGS_PLAN), tier_factor(RESERVED, provider))
         .otherwise(F.lit(1.0))
     )
 
@@ -369,11 +377,16 @@ def optimize(
     rows = rows.withColumn("_current", option(executors, memory)).withColumn("_best", F.col("_current"))
     # a budget of zero counts as none
     limit = F.coalesce(F.nullif(F.col("_budget"), F.lit(0.0)), F.lit(float("inf")))
-    for ok, e, m in candidates(F.col("_goal"), executors, memory, limits):
-        # one projection per candidate keeps the fold in generated code
-        rows = rows.withColumn("_option", option(e.cast("long"), m.cast("long")))
-        wins = ok & (F.col("_option.cost") <= limit) & _improves(F.col("_option"), F.col("_best"), F.col("_goal"))
-        rows = rows.withColumn("_best", F.when(wins, F.col("_option")).otherwise(F.col("_best")))
+    tries = candidates(F.col("_goal"), executors, memory, limits)
+    rows = rows.withColumns(
+        {f"_option{i}": F.when(ok, option(e.cast("long"), m.cast("long"))) for i, (ok, e, m) in enumerate(tries)}
+    )
+    for i in range(len(tries)):
+        # one projection per candidate keeps the fold in generated code; a candidate out of bounds is null
+        o = F.col(f"_option{i}")
+        wins = (o["cost"] <= limit) & _improves(o, F.col("_best"), F.col("_goal"))
+        rows = rows.withColumn("_best", F.when(wins, o).otherwise(F.col("_best")))
+    rows = rows.drop(*[f"_option{i}" for i in range(len(tries))])
     saved = F.col("_current.cost") - F.col("_best.cost")
     fewer = F.col("_best.executors") < F.col("_current.executors")
     more = F.col("_best.executors") > F.col("_current.executors")
@@ -415,7 +428,7 @@ def optimize(
             "recommendations": advice,
             "trade_offs": trade_offs,
         }
-    ).drop("_goal", "_hours", "_budget", "_current", "_option", "_best")
+    ).drop("_goal", "_hours", "_budget", "_current", "_best")
 
 
 def frontier(runs: DataFrame, hours: Column, points: int = 5, pricing: Pricing = DEFAULT_PRICING) -> DataFrame:

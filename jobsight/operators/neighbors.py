@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +43,12 @@ def _bucket(column: str, bounds: Sequence[float]) -> Column:
     return search(0, len(bounds))
 
 
-def ranked_sizes(sizes: DataFrame, column: str, buckets: int = 200) -> tuple[DataFrame, list[float], DataFrame]:
+def _buckets(spark: SparkSession) -> int:
+    """Two buckets per core, so ranking uses the whole cluster."""
+    return max(16, min(1000, 2 * spark.sparkContext.defaultParallelism))
+
+
+def ranked_sizes(sizes: DataFrame, column: str, buckets: int) -> tuple[DataFrame, list[float], DataFrame]:
     """(sizes with global rank from 0, bucket bounds, first rank per bucket) of distinct sizes.
 
     Approximate quantiles cut the order into buckets, ranks are counted inside
@@ -72,7 +77,7 @@ def nearest_by_size(
     threshold: float = 0.7,
     newest: str = "end_time",
     key: str = "app_id",
-    buckets: int = 200,
+    buckets: int | None = None,
 ) -> DataFrame:
     """For every distinct ``input_bytes`` of the requests, the k most similar runs as a sorted array ``matches``.
 
@@ -88,7 +93,7 @@ def nearest_by_size(
         ),
         "sizes",
     )
-    ranked, bounds, offsets = ranked_sizes(by_size, "input_bytes", buckets)
+    ranked, bounds, offsets = ranked_sizes(by_size, "input_bytes", buckets or _buckets(history.sparkSession))
 
     wanted = requests.select("input_bytes").filter(F.col("input_bytes").isNotNull()).distinct()
     marks = wanted.select("input_bytes", F.lit(0).alias("_is_run")).unionByName(

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsight.session import pin_utc
+from jobsight.session import prepare
 from jobsight.streaming.feeds import stream_files
 
 TASK_SUMS = [
@@ -42,7 +42,7 @@ class Tables:
     """Lazy views of one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, streamed: tuple[str, ...] = ()):
-        pin_utc(spark)
+        prepare(spark)
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.streamed = streamed

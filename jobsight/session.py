@@ -51,7 +51,13 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pin_utc(spark: SparkSession) -> None:
-    """Timestamps of the telemetry are UTC; make the session read them that way."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+# Generated methods above 8000 bytes are never compiled by the JVM, so a wide projection runs many times faster as
+# split expressions than inside one huge whole-stage method.
+RUNTIME_SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings the jobs rely on: timestamps of the telemetry are UTC, wide projections stay compilable."""
+    for key, value in RUNTIME_SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)

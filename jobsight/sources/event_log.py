@@ -1,7 +1,10 @@
 """Event logs of past applications: text lines in, one row per application or stage out.
 
-One scan, one shuffle on the log key. Only the lines of the wanted event types
-are decoded, and only the wanted fields of them.
+Lines are told apart by a text test before any JSON is decoded, and every line
+is decoded once, into the few fields that are wanted. The many task and stage
+lines are summed up by hash aggregation before the shuffle; the few lines that
+carry texts go their own way, since texts would force a sort of all rows.
+Both sides end up partitioned by the log, so joining them moves nothing.
 """
 
 from __future__ import annotations
@@ -15,12 +18,14 @@ from jobsight.functions.units import memory_mb
 APP_START, APP_END = "SparkListenerApplicationStart", "SparkListenerApplicationEnd"
 ENVIRONMENT = "SparkListenerEnvironmentUpdate"
 TASK_END, STAGE_DONE = "SparkListenerTaskEnd", "SparkListenerStageCompleted"
-WANTED = [APP_START, APP_END, ENVIRONMENT, TASK_END, STAGE_DONE]
+HEAD_EVENTS = [APP_START, APP_END, ENVIRONMENT]
+WORK_EVENTS = [TASK_END, STAGE_DONE]
+WANTED = HEAD_EVENTS + WORK_EVENTS
 
 # Field names of the log format. Old and current writers differ in the shuffle and failure fields.
-EVENT_SCHEMA = """
-`Event` STRING, `App ID` STRING, `App Name` STRING, `User` STRING, `Timestamp` BIGINT, `Spark Properties` STRING,
-`Stage ID` INT, `Stage Info` STRUCT<`Stage ID`: INT, `Stage Name`: STRING>,
+HEAD_SCHEMA = "`Event` STRING, `App ID` STRING, `App Name` STRING, `User` STRING, `Timestamp` BIGINT, `Spark Properties` STRING"
+WORK_SCHEMA = """
+`Event` STRING, `Stage ID` INT, `Stage Info` STRUCT<`Stage ID`: INT, `Stage Name`: STRING>,
 `Task Info` STRUCT<`Task ID`: BIGINT, `Successful`: BOOLEAN, `Failed`: BOOLEAN, `Killed`: BOOLEAN>,
 `Task Metrics` STRUCT<
   `Executor Run Time`: BIGINT, `Executor CPU Time`: BIGINT, `JVM GC Time`: BIGINT, `Peak Execution Memory`: BIGINT,
@@ -47,11 +52,12 @@ def as_lines(raw: DataFrame) -> DataFrame:
     return raw.select(F.coalesce(F.nullif(folder, F.lit("")), F.col("file")).alias("log"), F.col("value").alias("line"))
 
 
-def decode(lines: DataFrame) -> DataFrame:
+def decode(lines: DataFrame, events: list[str] = WANTED, schema: str | None = None) -> DataFrame:
     """Decoded events of the wanted types; a line that is no JSON is dropped here and shown by ``rejects``."""
-    types = "|".join(WANTED)
-    hinted = lines.filter(F.col("line").rlike(rf'"Event"\s*:\s*"({types})"'))
-    return hinted.select("log", F.from_json("line", EVENT_SCHEMA).alias("e")).filter(F.col("e.Event").isin(WANTED))
+    fields = schema or (HEAD_SCHEMA + "," + WORK_SCHEMA.replace("`Event` STRING,", "", 1))
+    hinted = lines.filter(F.col("line").rlike(rf'"Event"\s*:\s*"({"|".join(events)})"'))
+    # inline keeps the filter behind the decoding; pushed before it, the filter would decode every line again
+    return hinted.select("log", F.inline(F.array(F.from_json("line", fields)))).filter(F.col("Event").isin(events))
 
 
 def rejects(lines: DataFrame) -> DataFrame:
@@ -60,16 +66,16 @@ def rejects(lines: DataFrame) -> DataFrame:
 
 
 def _is(event: str) -> Column:
-    return F.col("e.Event") == event
+    return F.col("Event") == event
 
 
 def _m(path: str) -> Column:
     parts = ".".join(f"`{p}`" for p in path.split("/"))
-    return F.coalesce(F.col(f"e.`Task Metrics`.{parts}"), F.lit(0))
+    return F.coalesce(F.col(f"`Task Metrics`.{parts}"), F.lit(0))
 
 
 def _failed() -> Column:
-    info = "e.`Task Info`"
+    info = "`Task Info`"
     return (
         ~F.coalesce(F.col(f"{info}.Successful"), F.lit(True))
         | F.coalesce(F.col(f"{info}.Failed"), F.lit(False))
@@ -108,8 +114,8 @@ def task_sums(cpu_unit: str = "ns") -> dict[str, Column]:
 
 def _first(event: str, *fields: str) -> Column:
     """Fields of the earliest event of a type."""
-    value = F.struct(*[F.col(f"e.`{f}`").alias(f.replace(" ", "_").lower()) for f in fields])
-    return F.min_by(F.when(_is(event), value), F.when(_is(event), F.col("e.Timestamp")))
+    value = F.struct(*[F.col(f"`{f}`").alias(f.replace(" ", "_").lower()) for f in fields])
+    return F.min_by(F.when(_is(event), value), F.when(_is(event), F.col("Timestamp")))
 
 
 def properties(text: Column) -> Column:
@@ -121,18 +127,27 @@ def properties(text: Column) -> Column:
 
 def applications(lines: DataFrame, cpu_unit: str = "ns") -> DataFrame:
     """One row per log that has a start event; end and duration are null while the application runs."""
-    grouped = (
-        decode(lines)
+    head = (
+        decode(lines, HEAD_EVENTS, HEAD_SCHEMA)
         .groupBy("log")
         .agg(
             _first(APP_START, "App ID", "App Name", "User", "Timestamp").alias("start"),
-            F.min(F.when(_is(APP_END), F.col("e.Timestamp"))).alias("end_ms"),
-            F.min(F.when(_is(ENVIRONMENT), F.col("e.`Spark Properties`"))).alias("props"),
-            F.count_distinct(F.when(_is(STAGE_DONE), F.col("e.`Stage Info`.`Stage ID`"))).alias("total_stages"),
-            *[v.alias(k) for k, v in task_sums(cpu_unit).items()],
+            F.min(F.when(_is(APP_END), F.col("Timestamp"))).alias("end_ms"),
+            F.min(F.when(_is(ENVIRONMENT), F.col("`Spark Properties`"))).alias("props"),
         )
         .filter(F.col("start").isNotNull())
-        .withColumn("spark_configs", properties(F.col("props")))
+    )
+    work = (
+        decode(lines, WORK_EVENTS, WORK_SCHEMA)
+        .groupBy("log")
+        .agg(
+            F.count_distinct(F.when(_is(STAGE_DONE), F.col("`Stage Info`.`Stage ID`"))).alias("total_stages"),
+            *[v.alias(k) for k, v in task_sums(cpu_unit).items()],
+        )
+    )
+    counted = ["total_stages", *task_sums(cpu_unit)]
+    grouped = (
+        head.join(work, "log", "left").fillna(0, counted).withColumn("spark_configs", properties(F.col("props")))
     )
     conf = F.col("spark_configs")
 
@@ -161,12 +176,14 @@ def applications(lines: DataFrame, cpu_unit: str = "ns") -> DataFrame:
 
 def stages(lines: DataFrame, cpu_unit: str = "ns") -> DataFrame:
     """One row per log and stage with its task sums; the name comes from the stage-completed event."""
-    stage_id = F.coalesce(F.col("e.`Stage Info`.`Stage ID`"), F.col("e.`Stage ID`"))
-    rows = decode(lines).filter(_is(TASK_END) | _is(STAGE_DONE)).withColumn("stage_id", stage_id)
-    return rows.groupBy("log", "stage_id").agg(
-        F.max(F.when(_is(STAGE_DONE), F.col("e.`Stage Info`.`Stage Name`"))).alias("stage_name"),
-        *[v.alias("num_tasks" if k == "total_tasks" else k) for k, v in task_sums(cpu_unit).items()],
+    tasks = decode(lines, [TASK_END], WORK_SCHEMA).withColumn("stage_id", F.col("`Stage ID`"))
+    names = decode(lines, [STAGE_DONE], WORK_SCHEMA).select(
+        "log", F.col("`Stage Info`.`Stage ID`").alias("stage_id"), F.col("`Stage Info`.`Stage Name`").alias("stage_name")
+    )
+    sums = tasks.groupBy("log", "stage_id").agg(
+        *[v.alias("num_tasks" if k == "total_tasks" else k) for k, v in task_sums(cpu_unit).items()]
     )
+    return sums.join(names.groupBy("log", "stage_id").agg(F.max("stage_name").alias("stage_name")), ["log", "stage_id"], "left")
 
 
 def flat_or_nested(record: DataFrame) -> DataFrame:
