@@ -230,7 +230,8 @@ def top_similar(
 
     Scores are rounded before they are ranked, ties go to the smallest key.
     """
-    wanted = targets.select(key, *columns)
+    # counted and read once per pass, so it is not worked out again each time
+    wanted = stored(targets.select(key, *columns), "targets")
     passes = max(1, math.ceil(wanted.count() / MAX_TARGETS_PER_PASS))
     numbered = wanted.withColumn("_pass", F.pmod(F.xxhash64(key), F.lit(passes)))
     id_type = candidates.schema[key].dataType

@@ -96,7 +96,14 @@ def where_all(df: DataFrame, predicates: Sequence[Column]) -> DataFrame:
 
 
 def matching(apps: DataFrame, criteria: Criteria) -> DataFrame:
-    return where_all(apps, criteria.predicates())
+    """Runs that meet the criteria. On the stored table a date range also leaves out the months outside it."""
+    wanted = criteria.predicates()
+    if "start_month" in apps.columns:
+        if criteria.started_from is not None:
+            wanted.append(F.col("start_month") >= criteria.started_from[:7])
+        if criteria.started_to is not None:
+            wanted.append(F.col("start_month") <= criteria.started_to[:7])
+    return where_all(apps, wanted)
 
 
 def newest(df: DataFrame, by: str = "end_time", key: str = "app_id", limit: int | None = None) -> DataFrame:

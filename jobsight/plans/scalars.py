@@ -92,7 +92,7 @@ _FIELDS = ["input_bytes", "total_stages", "num_executors", "executor_cores", "ex
 def _pairs(t):
     """Every run beside the one before it of the same user."""
     order = ["start_ms", "app_id"]
-    paired = with_previous(jobs(t), ["user_name"], block_of("start_ms", 365 * 86_400_000), order, _FIELDS, "a")
+    paired = with_previous(jobs(t), ["user_name"], block_of("start_ms", 30 * 86_400_000), order, _FIELDS, "a")
     return paired.filter(F.col("a").isNotNull()).select("app_id", "a", F.struct(*_FIELDS).alias("b"))
 
 

@@ -166,7 +166,7 @@ _W = "(PARTITION BY session ORDER BY seq, tie ROWS BETWEEN UNBOUNDED PRECEDING A
     recursive=False,
 )
 def _(t):
-    out = tuning.running_best(iterations(t), ORDER, block_of("seq", 365 * 86_400_000))
+    out = tuning.running_best(iterations(t), ORDER, block_of("seq", 30 * 86_400_000))
     return out.select("session", "tie", half_even("best_so_far", 6).alias("best_so_far"))
 
 
@@ -180,7 +180,7 @@ def _(t):
     recursive=False,
 )
 def _(t):
-    rows = tuning.running_best(iterations(t), ORDER, block_of("seq", 365 * 86_400_000))
+    rows = tuning.running_best(iterations(t), ORDER, block_of("seq", 30 * 86_400_000))
     hit = rows.withColumn("hit", tuning.converges())
     place = F.row_number().over(W.partitionBy("session").orderBy(*ORDER))
     return (
@@ -277,7 +277,7 @@ def session_events(t):
     {"session_events": _EVENTS},
 )
 def _(t):
-    out = tuning.session_starts(session_events(t), "session", ["start_ms", "event"], block_of("start_ms", 365 * 86_400_000))
+    out = tuning.session_starts(session_events(t), "session", ["start_ms", "event"], block_of("start_ms", 30 * 86_400_000))
     return out.select("session", "event")
 
 
@@ -435,7 +435,7 @@ def change_log(t):
     )
     limits = tuning.constraints(t.spark)
     typed = raw.join(F.broadcast(limits), "parameter")
-    return tuning.replay(typed, ["config", "parameter"], ["start_ms", "event"], block_of("start_ms", 365 * 86_400_000))
+    return tuning.replay(typed, ["config", "parameter"], ["start_ms", "event"], block_of("start_ms", 30 * 86_400_000))
 
 
 @query(

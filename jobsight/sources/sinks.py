@@ -74,10 +74,11 @@ def _nested(df: DataFrame, group: str, name: str) -> bool:
 
 
 def write_applications(apps: DataFrame, path: str, mode: str = "append") -> None:
-    """One folder per start month; rows of a month are spread over tasks by id, so a busy month is no single file."""
+    """One folder per start month. Rebalancing gives a quiet month one file and splits a busy one into several."""
     (
         schemas.conform(apps, schemas.APPLICATIONS, schemas.RENAMES)
         .withColumn("start_month", F.date_format("start_time", "yyyy-MM"))
+        .hint("rebalance", "start_month")
         .write.mode(mode)
         .partitionBy("start_month")
         .parquet(path)

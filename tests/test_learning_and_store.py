@@ -72,3 +72,15 @@ def test_update_and_delete(spark):
     assert new["a"]["n"] == 5 and new["a"]["s"] == "x" and new["a"]["updated_at"] is not None
     assert new["b"]["n"] == 2 and new["b"]["updated_at"] is None and "zz" not in new
     assert [r["app_id"] for r in sinks.without(table, changes, "app_id").collect()] == ["b"]
+
+
+def test_date_search_reads_only_its_months(spark, tmp_path):
+    from jobsight.operators.search import Criteria, matching
+
+    rows = spark.createDataFrame([(f"a{i}", f"2024-{i:02d}-15") for i in range(1, 13)], "app_id string, d string")
+    path = str(tmp_path / "store")
+    sinks.write_applications(rows.withColumn("start_time", F.col("d").cast("timestamp")), path)
+    found = matching(sinks.read_applications(spark, path), Criteria(started_from="2024-03-01", started_to="2024-04-30"))
+    assert sorted(r["app_id"] for r in found.collect()) == ["a3", "a4"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "start_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
