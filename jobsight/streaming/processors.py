@@ -2,20 +2,32 @@
 
 Each processor sorts the rows of a batch by event time before it looks at them.
 The state of a key is small: one value, or at most the retained points.
+
+Spark also unpickles a processor in a helper process that does not see the
+files shipped to the workers, so this module is pickled by value and its
+classes use plain values and functions of this module only.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from jobsight.operators import tuning
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HOUR_US = 3_600_000_000
+SESSION_CONFIG, TUNABLE = dict(tuning.SESSION_CONFIG), dict(tuning.TUNABLE)
+STEP_METRICS, STRATEGIES = dict(tuning.STEP_METRICS), dict(tuning.STRATEGIES)
+LOWER_IS_BETTER = list(tuning.LOWER_IS_BETTER)
+CONVERGENCE, MAX_ITERATIONS = tuning.CONVERGENCE, tuning.MAX_ITERATIONS
 
 
 def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -120,7 +132,7 @@ def status_changes(updates: DataFrame) -> DataFrame:
     )
 
 
-_CONFIG = list(tuning.SESSION_CONFIG)
+_CONFIG = list(SESSION_CONFIG)
 _STATE = "status STRING, iterations INT, best_value DOUBLE, adjustments INT, " + ", ".join(f"{c} DOUBLE" for c in _CONFIG)
 
 
@@ -140,18 +152,18 @@ class TuningSession(StatefulProcessor):
             first = batch[batch["target"].notna()].head(1).to_dict("records")
             given = first[0] if first else {}
             cfg = {
-                c: float(given[c]) if given.get(c) == given.get(c) and given.get(c) is not None else tuning.TUNABLE[p][0]
-                for c, p in tuning.SESSION_CONFIG.items()
+                c: float(given[c]) if given.get(c) == given.get(c) and given.get(c) is not None else TUNABLE[p][0]
+                for c, p in SESSION_CONFIG.items()
             }
         for row in batch.to_dict("records"):
             if status != "active" or row["target"] != row["target"]:
                 continue
-            x, lower = row["target"], any(m in row["target_metric"].lower() for m in tuning.LOWER_IS_BETTER)
+            x, lower = row["target"], any(m in row["target_metric"].lower() for m in LOWER_IS_BETTER)
             better = best is not None and (x < best if lower else x > best)
-            converged = better and abs(x - best) / max(abs(best), 1.0) < tuning.CONVERGENCE
+            converged = better and abs(x - best) / max(abs(best), 1.0) < CONVERGENCE
             best = x if best is None or better else best
             iterations += 0 if converged else 1
-            if converged or iterations >= tuning.MAX_ITERATIONS:
+            if converged or iterations >= MAX_ITERATIONS:
                 status = "completed"
                 continue
             moved = next_config(cfg, row)
@@ -169,13 +181,13 @@ def next_config(cfg: dict[str, float], row: dict[str, Any]) -> dict[str, float]:
 
     def metric(name: str) -> float:
         v = row.get(name)
-        return tuning.STEP_METRICS[name] if v is None or v != v else v
+        return STEP_METRICS[name] if v is None or v != v else v
 
     def span(column: str) -> tuple[float, float, float]:
-        _, low, high, step, _ = tuning.TUNABLE[tuning.SESSION_CONFIG[column]]
+        _, low, high, step, _ = TUNABLE[SESSION_CONFIG[column]]
         return low, high, step
 
-    factor = tuning.STRATEGIES[row["strategy"]]
+    factor = STRATEGIES[row["strategy"]]
     raise_if = {
         "executor_memory": metric("memory_spill_ratio") > 0.1 or metric("disk_spill_bytes") > 0,
         "parallelism": metric("cpu_utilization") < 50,
