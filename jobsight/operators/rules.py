@@ -277,5 +277,6 @@ def report(jobs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
         executor.alias("recommended_executor_memory_mb"),
         driver.alias("recommended_driver_memory_mb"),
         merge_configs(found).alias("spark_configs"),
+        collected(*[(r.applies(), F.lit(r.rule_id)) for r in rules]).alias("rule_ids"),
         "findings",
     )

@@ -122,13 +122,3 @@ def describe(df: DataFrame, column: str) -> DataFrame:
         F.min(c).alias("min"),
         F.max(c).alias("max"),
     )
-
-
-def last_state(df: DataFrame, key: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Last known value of every field per key; a null leaves the value before it."""
-    place = F.struct(*order)
-    return df.groupBy(key).agg(
-        *[F.max_by(f, F.when(F.col(f).isNotNull(), place)).alias(f) for f in fields]
-    )
-
-

@@ -217,7 +217,7 @@ def _(t):
       FROM finding_rows GROUP BY app_id) c USING (app_id)""",
 )
 def _(t):
-    ids = F.sort_array(F.col("findings.rule_id"))
+    ids = F.sort_array("rule_ids")
     return rules.report(jobs(t)).select(
         "app_id",
         "app_name",

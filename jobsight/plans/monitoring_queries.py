@@ -99,9 +99,9 @@ _LIFE = {
     **ALERT_SQL,
     "actions": """
 SELECT 'alert-' || rule || '-' || CAST(event_id AS VARCHAR) AS alert_id, 'acknowledge' AS kind, us + 60000000 * k AS at_us,
-  'user-' || CAST(k AS VARCHAR) AS actor FROM met, (VALUES (1), (2)) v(k) WHERE user_id % 2 = 0
+  'user-' || CAST(k AS VARCHAR) AS actor FROM met, (VALUES (1), (2)) v(k) WHERE severity <> 'info'
 UNION ALL SELECT 'alert-' || rule || '-' || CAST(event_id AS VARCHAR), 'resolve', us + 3600000000 * k, 'user-0'
-  FROM met, (VALUES (1), (2)) v(k) WHERE user_id % 3 <> 1""",
+  FROM met, (VALUES (1), (2)) v(k) WHERE severity IN ('info', 'warning')""",
     "alerts_now": """
 SELECT a.*, x.* EXCLUDE (alert_id), 'alert-' || rule || '-' || CAST(event_id AS VARCHAR) AS alert_id FROM alert_rows a
 LEFT JOIN (SELECT alert_id, MIN(at_us) FILTER (kind = 'acknowledge') AS acknowledged_us,
@@ -111,11 +111,11 @@ LEFT JOIN (SELECT alert_id, MIN(at_us) FILTER (kind = 'acknowledge') AS acknowle
 
 
 def _alerts_now(t):
-    """Alerts, each acknowledged and resolved twice over by the readers of its event, which counts once."""
+    """Alerts, the serious ones acknowledged and the harmless ones resolved, each twice over, which counts once."""
     hits = found(t).withColumn("alert_id", alerts.alert_id(F.col("rule"), F.col("event_id")))
     k = F.explode(F.array(F.lit(1), F.lit(2))).alias("k")
     ack = (
-        hits.filter(F.col("user_id") % 2 == 0)
+        hits.filter(F.col("severity") != "info")
         .select("alert_id", "us", k)
         .select(
             "alert_id",
@@ -125,7 +125,7 @@ def _alerts_now(t):
         )
     )
     done = (
-        hits.filter(F.col("user_id") % 3 != 1)
+        hits.filter(F.col("severity").isin("info", "warning"))
         .select("alert_id", "us", k)
         .select(
             "alert_id",

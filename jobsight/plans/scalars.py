@@ -14,7 +14,6 @@ from jobsight.plans.diagnosis import jobs, r
 from jobsight.plans.recommending import _NAME_SIM, _ratio_sql
 from jobsight.plans.registry import query
 
-_TEXT = "CASE app_key % 5 WHEN 0 THEN '{}k' WHEN 1 THEN ' {}M' WHEN 2 THEN '{}g' WHEN 3 THEN '1.5t' ELSE '{}' END"
 
 
 def _memory_text():

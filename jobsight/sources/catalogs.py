@@ -1,7 +1,7 @@
 """Price and node catalogs: small dimension tables held in code.
 
-All of them are fixed values. ``literal`` turns such a table into an array
-column, so that a lookup by range is a filter inside one row and no join.
+All of them are fixed values. Lookups by key are maps and lookups by range are
+unrolled conditions, so that neither needs a join.
 """
 
 from __future__ import annotations
@@ -184,18 +184,6 @@ def regions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "provider string, region string, region_factor double")
 
 
-def literal(rows: Sequence[Sequence], columns: Sequence[str]) -> Column:
-    """Array of structs with the position first, for tables that live in code."""
-    if len(rows) > MAX_LITERAL_ROWS:
-        raise ValueError(f"{len(rows)} rows are too many for a literal; join a DataFrame instead")
-    return F.array(
-        *[
-            F.struct(F.lit(i).alias("position"), *[F.lit(v).alias(c) for c, v in zip(columns, row)])
-            for i, row in enumerate(rows)
-        ]
-    )
-
-
 def lookup(values: dict[str, float], key: Column | str, default: float | None = None) -> Column:
     """Value of a small code table for a column, or the default."""
     entries = [x for k, v in values.items() for x in (F.lit(k), F.lit(v))]
