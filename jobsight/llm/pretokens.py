@@ -133,3 +133,12 @@ class PartTable:
         ends = np.concatenate([[0], np.cumsum(self._lengths[numbers])])
         done()
         return np.diff(ends[offsets])
+
+
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of the texts, cut at spaces and line ends; the number of every word; where each text's words end."""
+    plain = pc.replace_substring_regex(texts.cast(pa.large_string()), r"[\t\n\r]", " ")
+    pieces = pc.split_pattern(plain, " ")
+    offsets = pieces.offsets.to_numpy().astype(np.int64)
+    coded = pieces.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), offsets - offsets[0]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsight.llm import direct_codes, packing, piece_bpe, sharding, token_counts, top_k
+from jobsight.llm import direct_codes, language, near_dup, packing, piece_bpe, sharding, token_counts, top_k
 from jobsight.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,16 @@ def _op1(docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_bpe.round_trip(docs)
 
 
+@_query("op2_chosen_path", "documents")
+def _op2(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(docs, 3, 85)
+
+
+@_query("op4_cross_parsing", "documents")
+def _op4(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.predictions(docs)
+
+
 # The generator's state is kept below 2^64 in a HUGEINT; a jump of a key whose place is past the last shard is done.
 _JUMP = """
 WITH RECURSIVE keys AS (SELECT DISTINCT doc_id FROM documents),
