@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsight.llm import direct_codes, language, near_dup, packing, piece_bpe, sharding, token_counts, top_k
+from jobsight.llm import digest, direct_codes, language, near_dup, packing, piece_bpe, sharding, token_counts, top_k, toxicity
 from jobsight.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def _op2(docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(docs, 3, 85)
 
 
+@_query("op3_noisy_channel", "documents")
+def _op3(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(docs, _table(docs, sf_dir, "labels"))
+
+
 @_query("op4_cross_parsing", "documents")
 def _op4(docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.predictions(docs)
@@ -73,6 +78,11 @@ def _op6(docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
+@_query("op7_improbable_features", "documents")
+def _op7(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return digest.compared(docs)
+
+
 @_query("op8_direct_codes", "documents")
 def _op8(docs: DataFrame, sf_dir: str) -> DataFrame:
     return direct_codes.stored_digests(docs)
