@@ -49,6 +49,21 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.Array], list[bool]]], text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text the result of ``make()`` keeps; all columns pass through."""
+
+    def maker():
+        keeps = make()
+
+        def work(batch):
+            kept = pa.array(keeps(filled(batch.column(text))), pa.bool_())
+            return dict(zip(batch.schema.names, batch.filter(kept).columns, strict=True))
+
+        return work
+
+    return map_batches(df, maker, df.schema, text)
+
+
 def filled(texts: pa.Array) -> pa.Array:
     """The texts of a batch, null as the empty text."""
     return pc.fill_null(texts, "")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobsight.llm.batches import filled, map_batches
+from jobsight.llm.batches import filled, filter_batches, map_batches
 from jobsight.llm.pretokens import words_of
 
 DOCUMENTS, LETTERS = 150, 300
@@ -176,6 +176,16 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFrame
     return map_batches(docs, make, schema, "text")
 
 
+def identified(docs: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFrame:
+    """The rows of ``docs`` that are in a language of the samples, with all their columns."""
+
+    def make():
+        tool = judge_of(samples)
+        return lambda texts: [name != UNKNOWN for name in tool.judge(texts)[0]]
+
+    return filter_batches(docs, make)
+
+
 def learned(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     return samples_of(docs.filter(fold(FOLDS) != HELD_OUT).select("doc_id", "text", "lang"))
 

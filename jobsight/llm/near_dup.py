@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from jobsight.llm.batches import filled, map_batches, slices
 from jobsight.llm.components import Forest, components
-from jobsight.llm.ordering import shuffle_width
+from jobsight.llm.ordering import order_key, shuffle_width
 from jobsight.session import stored
 
 WORDS, PERCENT = 5, 80
@@ -298,25 +298,32 @@ def confirm(docs: DataFrame, classes: DataFrame, grouped: DataFrame, width: int,
     return _confirmed(met, width, percent)
 
 
-def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_shingles, component_id and kept."""
-    similarity = percent / 100
+def grouped_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_hash, n_shingles and group, a number that linked rows share."""
     rows = stored(signed(docs, width).withColumn("row", F.monotonically_increasing_id()), "signed")
     first = F.min_by(F.struct(F.col("row").alias("class"), "doc_id", "text_hash", "signature"), "row")
     classes = rows.filter("n_shingles > 0").groupBy("digest").agg(first.alias("f")).select("digest", "f.*")
     classes = stored(classes, "classes")
-    grouped = stored(components(candidates(classes, similarity)), "candidates")
-    linked = components(stored(confirm(docs, classes, grouped, width, percent), "confirmed"))
-    by_class = rows.filter("n_shingles > 0").select("row", "doc_id", "n_shingles", "digest").join(classes.select("digest", "class"), "digest")
-    by_class = by_class.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    # Copies are summed up before their component's least id goes back to them.
-    least = by_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    full = by_class.join(least, "component").select("doc_id", "n_shingles", "component_id")
-    empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = stored(components(candidates(classes, percent / 100)), "candidates")
+    linked = components(stored(confirm(docs, classes, found, width, percent), "confirmed"))
+    full = rows.filter("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "digest").join(classes.select("digest", "class"), "digest")
+    full = full.join(linked.withColumnRenamed("node", "class"), "class", "left")
+    full = full.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "class").alias("group"))
+    empty = rows.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("row").alias("group"))
+    return full.unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): n_shingles, component_id and kept."""
+    rows = stored(grouped_rows(docs, width, percent), "groups")
+    least = rows.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "group").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_per_group(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each group: the one with the group's id; of rows with equal doc_ids, one."""
-    kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each group, the least by doc_id and then by the hash of its text."""
+    # Compared by id (null first) and text hash, which only rows that repeat share.
+    kept = grouped_rows(docs, width, percent).groupBy("group").agg(F.min(F.struct(order_key().alias("_id"), F.col("text_hash").alias("_text"))).alias("k"))
+    kept = kept.select("k._id", "k._text").distinct()
+    keyed = docs.withColumn("_id", order_key()).withColumn("_text", F.xxhash64("text"))
+    return keyed.join(kept, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select(*docs.columns)

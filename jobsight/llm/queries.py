@@ -113,3 +113,12 @@ WHERE rank <= 10
 @_query("op10_exact_top_k", "embeddings", _TOP_K)
 def _op10(vectors: DataFrame, sf_dir: str) -> DataFrame:
     return top_k.top_k(vectors)
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
