@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from jobsight.llm.batches import filled, map_batches, slices
 from jobsight.llm.ordering import bucketed, order_key, shuffle_width
-from jobsight.llm.pretokens import PartTable
+from jobsight.llm.pretokens import PartTable, byte_letters
 from jobsight.session import shared_dir
 
 VOCABULARY = "word_bpe_49k.json"
@@ -135,12 +135,32 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer, self._glued = Tokenizer.from_file(path), glued
+        self._model, self._letters = self._tokenizer.model, dict(enumerate(byte_letters()))
         self._table = PartTable(self._many, glued)
+        # Words of Latin-1 letters are one pre-token each, which the library's model takes directly; the file must agree.
+        probe = [space + w for space in ("", " ") for w in ["the", "Words", *(c + c for c in map(chr, range(256)) if c.isalpha())]]
+        self._direct = list(map(self._word, probe)) == self._encoded(probe)
 
-    def _many(self, parts: list[str]) -> list[list[int]]:
+    def _word(self, part: str) -> list[int]:
+        shown = (part if self._glued else part.strip().lower()).encode().decode("latin-1").translate(self._letters)
+        return [t.id for t in self._model.tokenize(shown)]
+
+    def _encoded(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _many(self, parts: list[str]) -> list[list[int]]:
+        if not self._direct:
+            return self._encoded(parts)
+        out: list[list[int] | None] = []
+        for part in parts:
+            word = part[1:] if part[:1] == " " else part
+            out.append(self._word(part) if word.isalpha() and max(word) < "\u0100" else None)
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._encoded([parts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return self._table.ids(texts)
 

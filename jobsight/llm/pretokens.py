@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,33 +58,44 @@ class PartTable:
         self._flat, self._starts, self._lengths = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         self._kept = self._used = 0
 
-    def _add(self, ids: Sequence[int]) -> int:
-        n, at = len(ids), self._kept
+    def _append(self, flat: np.ndarray, lengths: np.ndarray) -> range:
+        """Add entries given their ids one after the other; their numbers."""
+        n, at, end = len(flat), self._kept, self._kept + len(lengths)
         if self._used + n > len(self._flat):
             self._flat = np.resize(self._flat, max(2 * len(self._flat), self._used + n))
-        if at == len(self._starts):
-            self._starts, self._lengths = np.resize(self._starts, 2 * at), np.resize(self._lengths, 2 * at)
-        self._flat[self._used : self._used + n] = ids
-        self._starts[at], self._lengths[at] = self._used, n
-        self._used, self._kept = self._used + n, at + 1
-        return at
+        if end > len(self._starts):
+            room = max(2 * len(self._starts), end)
+            self._starts, self._lengths = np.resize(self._starts, room), np.resize(self._lengths, room)
+        self._flat[self._used : self._used + n] = flat
+        self._lengths[at:end] = lengths
+        self._starts[at:end] = self._used + np.cumsum(lengths) - lengths
+        self._used, self._kept = self._used + n, end
+        return range(at, end)
 
     def _find(self, parts: list[str]) -> tuple[list[int], dict[str, int]]:
         """The number of each part, and those that are new."""
-        known, fresh = self._number, {}
+        known = self._number
         missing = [p for p in parts if p not in known]
-        if missing:
-            cores = {}
-            for p in missing:
-                core = p.rstrip(_TAIL)
-                cores[p] = core if core and core[-1].isalpha() else p
-            needed = list({x for p, core in cores.items() for x in (core, p[len(core) :]) if x not in known})
-            for part, ids in zip(needed, self._make(needed), strict=True):
-                fresh[part] = self._add(ids)
-            for p, core in cores.items():
-                if p not in fresh:
-                    both = [fresh[x] if x in fresh else known[x] for x in (core, p[len(core) :])]
-                    fresh[p] = self._add(np.concatenate([self._flat[self._starts[k] : self._starts[k] + self._lengths[k]] for k in both]))
+        if not missing:
+            return [known[p] for p in parts], {}
+        # A part with a tail is its core and its tail. Latin-1 letters stay letters under any normalisation.
+        cut = {}
+        for p in missing:
+            core = p.rstrip(_TAIL)
+            if core != p and core and core[-1].isalpha() and core[-1] < "\u0100":
+                cut[p] = (core, p[len(core) :])
+        needed = dict.fromkeys(p for p in missing if p not in cut)
+        for pair in cut.values():
+            needed.update(dict.fromkeys(x for x in pair if x not in known))
+        made = self._make(list(needed))
+        lengths = np.fromiter(map(len, made), np.int64, len(made))
+        flat = np.fromiter(chain.from_iterable(made), np.int32, int(lengths.sum()))
+        fresh = dict(zip(needed, self._append(flat, lengths), strict=True))
+        if cut:
+            pairs = np.array([fresh[x] if x in fresh else known[x] for pair in cut.values() for x in pair], np.int64)
+            lengths = self._lengths[pairs]
+            flat = self._flat[ragged(self._starts[pairs], lengths)]
+            fresh.update(zip(cut, self._append(flat, lengths.reshape(-1, 2).sum(axis=1)), strict=True))
         return [fresh[p] if p in fresh else known[p] for p in parts], fresh
 
     def _forget(self, fresh: dict[str, int], kept: int, used: int) -> None:
