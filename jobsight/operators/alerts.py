@@ -97,7 +97,7 @@ def with_texts(triggers: DataFrame, rules: Sequence[AlertRule] = DEFAULT_RULES)
 
 def triggers(points: DataFrame, rules: DataFrame) -> DataFrame:
     """Points that meet a rule, one row per point and rule."""
-    joined = points.join(F.broadcast(rules), "metric_name")
+    joined = points.join(rules, "metric_name")
     met = joined.filter(holds(F.col("condition"), F.col("value"), F.col("threshold")))
     return met.withColumn("us", F.unix_micros("ts"))
 
@@ -173,9 +173,14 @@ def _fires(keys: Sequence[str]):
 
 
 def cooled_down(found: DataFrame, keys: Sequence[str] = ("rule", "app_id")) -> DataFrame:
-    """The triggers that fire: (keys, us, event_id). Of triggers at the same time the smallest event fires."""
+    """The triggers that fire: (keys, us, event_id). Of triggers at the same time the smallest event fires.
+
+    A rule without cooldown fires at every trigger, also at those of the same time.
+    """
     keys = list(keys)
-    once = found.groupBy(*keys, "cooldown_us", "us").agg(F.min("event_id").alias("event_id"))
+    every = found.filter(F.col("cooldown_us") <= 0).select(*keys, "us", "event_id")
+    once = found.filter(F.col("cooldown_us") > 0)
+    once = once.groupBy(*keys, "cooldown_us", "us").agg(F.min("event_id").alias("event_id"))
     blocked = once.withColumn("_block", F.floor(F.col("us") / (F.col("cooldown_us") * BLOCK_COOLDOWNS)).cast("long"))
     fields = {f.name: f for f in blocked.schema.fields}
     key_fields = [fields[k] for k in keys]
@@ -187,9 +192,10 @@ def cooled_down(found: DataFrame, keys: Sequence[str] = ("rule", "app_id")) -> D
         _openings(keys), T.StructType(key_fields + longs("_block", "_allowed"))
     )
     ready = blocked.join(openings, [*keys, "_block"])
-    return ready.groupBy(*keys, "_block").applyInPandas(
+    cooled = ready.groupBy(*keys, "_block").applyInPandas(
         _fires(keys), T.StructType(key_fields + longs("us", "event_id"))
     )
+    return cooled.unionByName(every.withColumns({c: F.col(c).cast("long") for c in ("us", "event_id")}))
 
 
 # Life of an alert -----------------------------------------------------------------

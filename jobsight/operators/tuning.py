@@ -328,9 +328,9 @@ Validator = Callable[[Column, Column], Column]
 def validate(entries: DataFrame, rules: DataFrame, validators: Sequence[Validator] = ()) -> DataFrame:
     """Add ``valid`` to entries (parameter, number, flag): numbers for numeric types in range, flags for booleans.
 
-    A custom validator gives a predicate of parameter and number; null counts as invalid. Rules are a small table.
+    A custom validator gives a predicate of parameter and number; null counts as invalid.
     """
-    joined = entries.join(F.broadcast(rules), "parameter", "left")
+    joined = entries.join(rules, "parameter", "left")
     kind = F.col("type")
     whole = F.when(
         kind.isin("integer", "memory"),

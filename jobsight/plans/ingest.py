@@ -608,14 +608,19 @@ def _(t):
         "app_id", F.lit("completed").alias("status"), (F.col("duration_ms") + 1).alias("duration_ms"),
         F.lit(1).alias("unknown_field"),
     )
-    out = sinks.updated(table, changes, "app_id", F.lit("2002-01-01").cast("timestamp"))
-    return out.withColumn("touched", F.col("updated_at").isNotNull()).drop("updated_at")
+    # Every change comes twice, the older one with another status; the new version is written and read back.
+    older = changes.withColumns({"status": F.lit("lost"), "at": F.lit(1)})
+    changes = changes.withColumn("at", F.lit(2)).unionByName(older)
+    out = sinks.updated(table, changes, "app_id", F.lit("2002-01-01").cast("timestamp"), "at")
+    path = sinks.write_version(out, shared_dir(t.spark, "updated"))
+    return t.spark.read.parquet(path).withColumn("touched", F.col("updated_at").isNotNull()).drop("updated_at")
 
 
 @query("snk_05_delete_applications", "SELECT app_id FROM order_info WHERE status <> 'failed'")
 def _(t):
     gone = t.orders.filter(F.col("status") == "failed")
-    return sinks.without(t.orders.select("app_key", "app_id"), gone, "app_key").select("app_id")
+    path = sinks.write_version(sinks.without(t.orders.select("app_key", "app_id"), gone, "app_key"), shared_dir(t.spark, "deleted"))
+    return t.spark.read.parquet(path).select("app_id")
 
 
 @query(
@@ -624,7 +629,8 @@ def _(t):
 )
 def _(t):
     gone = t.orders.filter(F.col("status") == "failed")
-    return sinks.without(t.stages.select("app_key", "stage_id"), gone, "app_key")
+    path = sinks.write_version(sinks.without(t.stages.select("app_key", "stage_id"), gone, "app_key"), shared_dir(t.spark, "deleted"))
+    return t.spark.read.parquet(path)
 
 
 @query(

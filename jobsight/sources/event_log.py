@@ -119,9 +119,15 @@ def _first(event: str, *fields: str) -> Column:
 
 
 def properties(text: Column) -> Column:
-    """Settings map from its JSON, an object in current logs, a list of pairs in old ones."""
-    pairs = F.from_json(text, "array<array<string>>")
-    from_pairs = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p[0].alias("key"), p[1].alias("value"))))
+    """Settings map from its JSON, an object in current logs, a list of pairs in old ones.
+
+    Of pairs with the same name the last wins; a pair that lacks its name or value is left out.
+    """
+    whole = lambda p: (F.size(p) >= 2) & F.get(p, 0).isNotNull()
+    pairs = F.filter(F.from_json(text, "array<array<string>>"), whole)
+    names = F.array_distinct(F.transform(pairs, lambda p: F.get(p, 0)))
+    last = lambda name: F.get(F.element_at(F.filter(pairs, lambda p: F.get(p, 0) == name), -1), 1)
+    from_pairs = F.map_from_arrays(names, F.transform(names, last))
     return F.when(F.ltrim(text).startswith("["), from_pairs).otherwise(F.from_json(text, "map<string,string>"))
 
 

@@ -7,6 +7,8 @@ folder and returns its path; the caller switches readers to it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,10 +91,23 @@ def read_applications(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def ingest(incoming: DataFrame, spark: SparkSession, path: str, exists: bool) -> None:
-    """Append what the store does not hold yet; a second run of the same input appends nothing."""
-    known = read_applications(spark, path) if exists else incoming.sparkSession.createDataFrame([], schemas.APPLICATIONS)
-    write_applications(new_rows(incoming, known.select("app_id")), path)
+def holds_data(spark: SparkSession, path: str) -> bool:
+    """Whether the store's folder is there, in whatever file system it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def ingest(incoming: DataFrame, spark: SparkSession, path: str) -> None:
+    """Append what the store does not hold yet; a second run of the same input appends nothing.
+
+    What is known is read from the store itself, so a replayed first batch finds what its first run wrote, and a first
+    batch that failed before it committed anything finds an empty store.
+    """
+    if holds_data(spark, path):
+        known = spark.read.schema("app_id STRING").parquet(path)
+    else:
+        known = spark.createDataFrame([], "app_id STRING")
+    write_applications(new_rows(incoming, known), path)
 
 
 def write_recommendations(recs: DataFrame, path: str) -> None:
@@ -103,15 +118,40 @@ def write_stages(stages: DataFrame, path: str) -> None:
     schemas.conform(stages, schemas.STAGES).write.mode("append").parquet(path)
 
 
-def updated(table: DataFrame, updates: DataFrame, key: str, now: Column) -> DataFrame:
-    """New version of a table: fields given for a key replace the old ones, unknown keys and fields are ignored."""
-    fields = [c for c in updates.columns if c in table.columns and c != key]
-    u = updates.select(key, F.struct(*fields).alias("_u"), F.lit(True).alias("_hit"))
+CLEARED = "cleared_fields"
+
+
+def updated(table: DataFrame, updates: DataFrame, key: str, now: Column, order: str | None = None) -> DataFrame:
+    """New version of a table: fields given for a key replace the old ones, unknown keys and fields are ignored.
+
+    A null field is not given; to set fields to null, name them in an array column ``cleared_fields``. Several updates
+    of a key are folded first: of each field the last given value by ``order`` wins, or the largest without an order.
+    """
+    fields = [c for c in updates.columns if c in table.columns and c not in (key, order)]
+    at = F.col(order) if order else F.lit(0)
+    cleared = F.col(CLEARED) if CLEARED in updates.columns else F.array().cast("array<string>")
+    folded = {}
+    for c in fields:
+        is_cleared = F.coalesce(F.array_contains(cleared, c), F.lit(False))
+        # The value travels in a struct, so that a cleared field is given and null.
+        given = F.when(is_cleared | F.col(c).isNotNull(), F.struct(F.when(~is_cleared, F.col(c)).alias("v")))
+        folded[c] = F.max_by(given, F.when(given.isNotNull(), F.struct(at, given)))
+    u = updates.groupBy(key).agg(*[v.alias(f"_new_{c}") for c, v in folded.items()], F.lit(True).alias("_hit"))
     joined = table.join(u, key, "left")
-    cols = [F.coalesce(F.col(f"_u.{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in table.columns]
+    cols = [
+        F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}.v")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
+        for c in table.columns
+    ]
     return joined.select(*cols, F.when(F.col("_hit"), now).alias("updated_at"))
 
 
+def write_version(table: DataFrame, store: str) -> str:
+    """Write a new version of a table beside the older ones and return its folder."""
+    path = f"{store.rstrip('/')}/version-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return path
+
+
 def without(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """New version of a table (or of one that hangs on it) without the given keys."""
     return table.join(keys.select(key).distinct(), key, "left_anti")

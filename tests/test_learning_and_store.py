@@ -58,8 +58,8 @@ def test_ingest_twice_adds_nothing(spark, tmp_path):
         "start_time", F.lit("2024-01-02").cast("timestamp")
     )
     path = str(tmp_path / "store")
-    sinks.ingest(rows, spark, path, exists=False)
-    sinks.ingest(rows, spark, path, exists=True)
+    sinks.ingest(rows, spark, path)
+    sinks.ingest(rows, spark, path)
     store = sinks.read_applications(spark, path)
     assert sorted(r["app_id"] for r in store.collect()) == ["a", "b"]
     assert set(schemas.APPLICATIONS.fieldNames()) <= set(store.columns)
