@@ -154,8 +154,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     for row in a:
         own = int(np.bitwise_count(row).sum())
         shared = np.bitwise_count(b & row).sum(axis=1, dtype=np.int64)
-        chance, most = own * bits_b / size, np.minimum(own, bits_b)
-        total += own * float(np.clip((shared - chance) / np.maximum(most - chance, 1e-9), 0, 1).max())
+        # What the best of so many unrelated filters shares by chance does not count.
+        mean, most = own * bits_b / size, np.minimum(own, bits_b)
+        chance = mean + np.sqrt(mean * (1 - bits_b / size) * 2 * np.log(1 + len(b)))
+        total += own * float(np.where(shared >= most, 1.0, np.clip((shared - chance) / np.maximum(most - chance, 1), 0, 1)).max())
         weight += own
     return total / weight
 
