@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows and bytes of text worked on at once inside a batch; they bound the objects alive, not the rows handled.
-SLICE_ROWS, SLICE_BYTES = 4096, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 4096, 4 << 20
 
 
 def slices(batch: pa.RecordBatch, sized_by: str | None) -> Iterator[pa.RecordBatch]:
@@ -37,6 +37,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What earlier tasks of this worker freed goes back first: the next stage may need other tables.
+        pa.default_memory_pool().release_unused()
         work, arrow = make(), to_arrow_schema(schema)
         for batch in batches:
             for part in slices(batch, sized_by):

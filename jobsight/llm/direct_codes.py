@@ -165,7 +165,7 @@ class WordIds:
         return self._table.ids(texts)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def word_ids(path: str, glued: bool) -> WordIds:
     """One tokenizer per worker process. ``glued``: spaces belong to the part after them, as in byte-level files; else
     the tokenizer drops white space. Either way no token reaches over the place before a space."""

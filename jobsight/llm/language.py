@@ -31,7 +31,7 @@ from jobsight.llm.pretokens import words_of
 DOCUMENTS, LETTERS = 150, 300
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
-_MEMO = 300_000
+_MEMO = 100_000
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -141,7 +141,7 @@ class Judge:
         return names, scores
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def judge_of(samples: tuple[tuple[str, str], ...]) -> Judge:
     """One judge per worker process and sample."""
     return Judge(samples)

@@ -43,7 +43,7 @@ BLOCK = 256
 DEVIATIONS = 4.5
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORD_MEMO = 300_000
+_WORD_MEMO = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

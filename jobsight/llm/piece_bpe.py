@@ -110,7 +110,7 @@ class Codec:
         return pc.binary_join(list_of(bounds, self._bytes.take(pa.array(ids))), pa.scalar(b"", pa.large_binary()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(path: str, pattern: str) -> Codec:
     """One codec per worker process."""
     return Codec(path, pattern)

@@ -20,7 +20,7 @@ import regex
 _SPACE_THEN_SPACE = re.compile(r" \s")
 
 #: Parts remembered by one worker at most, and their longest length; both only bound memory.
-MEMO_ENTRIES, MEMO_LENGTH = 400_000, 48
+MEMO_ENTRIES, MEMO_LENGTH = 250_000, 48
 
 #: What a word is often followed by. A letter before it always ends a pre-token, so it is handled as a part of its own.
 _TAIL = ".,"

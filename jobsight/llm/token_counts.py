@@ -77,7 +77,7 @@ class Counter:
         return self._table.counts(texts)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def counter(path: str) -> Counter:
     """One counter per worker process."""
     return Counter(path)
