@@ -51,6 +51,21 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, schema)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(make: Callable, *args):
+    """``make(*args)``, kept by this worker process until another is asked for.
+
+    A worker goes on from one stage to the next; the tables of the last one must be gone before the next are built.
+    """
+    key = make, args
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make(*args)
+    return _HELD[key]
+
+
 def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.Array], list[bool]]], text: str = "text") -> DataFrame:
     """The rows of ``df`` whose text the result of ``make()`` keeps; all columns pass through."""
 

@@ -20,7 +20,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobsight.llm.batches import filled, map_batches, slices
+from jobsight.llm.batches import filled, held, map_batches, slices
 from jobsight.llm.ordering import bucketed, order_key, shuffle_width
 from jobsight.llm.pretokens import PartTable, byte_letters
 from jobsight.session import shared_dir
@@ -165,14 +164,13 @@ class WordIds:
         return self._table.ids(texts)
 
 
-@lru_cache(maxsize=1)
 def word_ids(path: str, glued: bool) -> WordIds:
     """One tokenizer per worker process. ``glued``: spaces belong to the part after them, as in byte-level files; else
     the tokenizer drops white space. Either way no token reaches over the place before a space."""
     with open(path, encoding="utf-8") as f:
         if json.load(f).get("truncation"):
             raise ValueError("a tokenizer that truncates can't be used part by part")
-    return WordIds(path, glued)
+    return held(WordIds, path, glued)
 
 
 FILE_SCHEMA = T.StructType(

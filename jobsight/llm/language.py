@@ -17,7 +17,6 @@ table without rows gives none.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from math import log2
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobsight.llm.batches import filled, filter_batches, map_batches
+from jobsight.llm.batches import filled, filter_batches, held, map_batches
 from jobsight.llm.pretokens import words_of
 
 DOCUMENTS, LETTERS = 150, 300
@@ -141,10 +140,9 @@ class Judge:
         return names, scores
 
 
-@lru_cache(maxsize=1)
 def judge_of(samples: tuple[tuple[str, str], ...]) -> Judge:
     """One judge per worker process and sample."""
-    return Judge(samples)
+    return held(Judge, samples)
 
 
 def samples_of(labelled: DataFrame, documents: int = DOCUMENTS, letters: int = LETTERS) -> tuple[tuple[str, str], ...]:

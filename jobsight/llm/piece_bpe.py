@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from jobsight.llm.batches import filled, list_of, map_batches
+from jobsight.llm.batches import filled, held, list_of, map_batches
 from jobsight.llm.pretokens import PartTable, byte_letters, splitter
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -110,10 +109,9 @@ class Codec:
         return pc.binary_join(list_of(bounds, self._bytes.take(pa.array(ids))), pa.scalar(b"", pa.large_binary()))
 
 
-@lru_cache(maxsize=1)
 def codec(path: str, pattern: str) -> Codec:
     """One codec per worker process."""
-    return Codec(path, pattern)
+    return held(Codec, path, pattern)
 
 
 def _with(df: DataFrame, *fields: T.StructField) -> T.StructType:

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from jobsight.llm.batches import filled, map_batches
+from jobsight.llm.batches import filled, held, map_batches
 from jobsight.llm.pretokens import PartTable, byte_letters, splitter
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -77,10 +76,9 @@ class Counter:
         return self._table.counts(texts)
 
 
-@lru_cache(maxsize=1)
 def counter(path: str) -> Counter:
     """One counter per worker process."""
-    return Counter(path)
+    return held(Counter, path)
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512) -> DataFrame:
