@@ -51,22 +51,6 @@ def _op4(docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.predictions(docs)
 
 
-# The generator's state is kept below 2^64 in a HUGEINT; a jump of a key whose place is past the last shard is done.
-_JUMP = """
-WITH RECURSIVE keys AS (SELECT DISTINCT doc_id FROM documents),
-jumps AS (
-  SELECT doc_id, n.shards, (CASE WHEN doc_id < 0 THEN 18446744073709551616::HUGEINT ELSE 0::HUGEINT END) + doc_id AS state,
-         -1::BIGINT AS shard, 0::BIGINT AS place
-  FROM keys, (VALUES (16), (17)) n(shards)
-  UNION ALL
-  SELECT doc_id, shards, s, place AS shard,
-         CAST(floor((place + 1) * (2147483648.0::DOUBLE / ((s // 8589934592) + 1)::DOUBLE)) AS BIGINT) AS place
-  FROM (SELECT *, (state * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS s FROM jumps WHERE place < shards)
-),
-landed AS (SELECT doc_id, shards, max(shard) AS shard FROM jumps GROUP BY 1, 2)
-"""
-
-
 @_query("op5_jump_shards", "documents")
 def _op5(docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = sharding.shard(docs.select("doc_id", "text"))
