@@ -5,8 +5,10 @@
 2. Independent trees branch the classes: a node picks one or more signature places by its own hash, 1 / similarity of
    them on average, and sends each class to the child that its token there names. A pair as similar as the threshold
    stays together on some path of a tree with a chance that falls slowly with the depth; ``TREES`` trees make a miss
-   unlikely (below 1e-6 at depth 2, 1e-4 at depth 6). Small nodes are compared exhaustively on signatures. Nodes that
-   stay large to the last level are dense; all their members are kept together.
+   unlikely (below 1e-6 at depth 2, 1e-4 at depth 6). Small nodes are compared exhaustively on signatures. A large node
+   compares all members with one of them, its pivot. Members very close to the pivot branch no further: by the triangle
+   inequality, whatever agrees with them agrees with the pivot nearly as well, and is kept together with it. So a large
+   group of copies does not multiply level by level. Nodes that stay large to the last level are kept together whole.
 3. What was found so far only says who may be linked. Connected candidates meet once, in blocks of bounded size, and
    are linked on their full sets; every pair of a candidate component is looked at, and only a spanning forest of the
    links leaves a task.
@@ -37,6 +39,8 @@ from jobsight.session import stored
 WORDS, PERCENT = 5, 80
 #: Minwise tokens of a signature, trees, levels at which nodes are counted, and the size up to which a node is small.
 PLACES, TREES, LEVELS, NODE_LIMIT = 64, 12, (2, 4, 6, 8), 48
+#: Members of a large node whose signatures differ from its pivot's in at most so many places branch no further.
+CLOSE = 12
 #: Candidates that meet in one block; two blocks meet in one task.
 BLOCK = 256
 #: Signatures agree in at least this many standard deviations below the threshold; confirmed links decide.
@@ -172,9 +176,32 @@ def _descend(rows: DataFrame, levels: int, similarity: float) -> DataFrame:
 _EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
+def least_agreement(similarity: float) -> float:
+    """Signature places in which two sets of the similarity agree at least, but for a negligible chance."""
+    return similarity * PLACES - DEVIATIONS * (similarity * (1 - similarity) * PLACES) ** 0.5
+
+
+_MET = T.StructType([*_NODES, T.StructField("pivot", T.LongType()), T.StructField("agreement", T.LongType())])
+
+
+def _met_pivot(large: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(class, node, pivot, agreement) for the members (class, node, pivot) of large nodes."""
+    pivots = large.select("node", "pivot").distinct().join(signatures.select(F.col("class").alias("pivot"), F.col("signature").alias("theirs")), "pivot")
+    rows = large.select("class", "node").join(signatures, "class").join(pivots, "node")
+
+    def make():
+        def work(batch):
+            agreement = (_signatures(batch.column("signature")) == _signatures(batch.column("theirs"))).sum(axis=1)
+            return {name: batch.column(name) for name in ("class", "node", "pivot")} | {"agreement": agreement}
+
+        return work
+
+    return map_batches(rows, make, _MET)
+
+
 def _edges_of_small(rows: DataFrame, similarity: float) -> DataFrame:
     """Links between classes of one small node whose signatures agree enough; rows come sorted by node."""
-    least = similarity * PLACES - DEVIATIONS * (similarity * (1 - similarity) * PLACES) ** 0.5
+    least = least_agreement(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
@@ -209,7 +236,8 @@ def candidates(classes: DataFrame, similarity: float) -> DataFrame:
     for level in LEVELS:
         placed = stored(_descend(rows, level - depth, similarity), "nodes")
         depth = level
-        sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("first")).filter("size > 1")
+        pivot = F.min_by("class", F.xxhash64("class", "node")).alias("pivot")
+        sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("size"), pivot).filter("size > 1")
         shared = stored(placed.join(sizes, "node"), "nodes")
         small = shared.filter(F.col("size") <= NODE_LIMIT).select("class", "node").join(signatures, "class")
         small = small.repartition(shuffle_width(classes), "node").sortWithinPartitions("node", "class")
@@ -218,8 +246,12 @@ def candidates(classes: DataFrame, similarity: float) -> DataFrame:
         large = shared.filter(F.col("size") > NODE_LIMIT)
         if not large.take(1):
             return edges
-        rows = large.select("class", "node").join(signatures, "class")
-    return edges.unionByName(large.select(F.col("class").alias("a"), F.col("first").alias("b")))
+        if level == LEVELS[-1]:
+            return edges.unionByName(large.select(F.col("class").alias("a"), F.col("pivot").alias("b")))
+        met = stored(_met_pivot(large, signatures), "met")
+        near = met.filter(F.col("agreement") >= least_agreement(similarity) - CLOSE)
+        edges = edges.unionByName(near.select(F.col("class").alias("a"), F.col("pivot").alias("b")))
+        rows = met.filter(F.col("agreement") < PLACES - CLOSE).select("class", "node").join(signatures, "class")
 
 
 def similar_pairs(sets: list[np.ndarray], percent: int, split: int) -> Iterator[tuple[int, int]]:
