@@ -37,19 +37,25 @@ WORK_SCHEMA = """
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of every log below ``path`` as (log, line). Hidden files are left out, gzip is read by its extension.
+    """Lines of every log below ``path`` as (log, line, position). Hidden files are left out, gzip is read by its extension.
 
-    The parts of a rolling log share the folder they are in as their key.
+    The parts of a rolling log share the folder they are in as their key; their numbers come first in the position.
     """
-    return as_lines(
-        spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    )
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"^events_(\d+)_", 1).try_cast("long"), F.lit(0))
+    # Lines of one block are read in order by one task, so the id orders them; blocks are ordered by where they start.
+    position = F.struct(part, "_metadata.file_block_start", F.monotonically_increasing_id())
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    return as_lines(raw.select(F.col("_metadata.file_path").alias("file"), "value", position.alias("position")))
 
 
 def as_lines(raw: DataFrame) -> DataFrame:
-    """(file, value) -> (log, line)."""
+    """(file, value) -> (log, line); a position stays."""
     folder = F.regexp_extract("file", r"^(.*/eventlog_v2_[^/]+)/[^/]+$", 1)
-    return raw.select(F.coalesce(F.nullif(folder, F.lit("")), F.col("file")).alias("log"), F.col("value").alias("line"))
+    return raw.select(F.coalesce(F.nullif(folder, F.lit("")), F.col("file")).alias("log"), F.col("value").alias("line"), *_position(raw))
+
+
+def _position(lines: DataFrame) -> list[str]:
+    return [c for c in lines.columns if c == "position"]
 
 
 def decode(lines: DataFrame, events: list[str] = WANTED, schema: str | None = None) -> DataFrame:
@@ -57,7 +63,7 @@ def decode(lines: DataFrame, events: list[str] = WANTED, schema: str | None = No
     fields = schema or (HEAD_SCHEMA + "," + WORK_SCHEMA.replace("`Event` STRING,", "", 1))
     hinted = lines.filter(F.col("line").rlike(rf'"Event"\s*:\s*"({"|".join(events)})"'))
     # inline keeps the filter behind the decoding; pushed before it, the filter would decode every line again
-    return hinted.select("log", F.inline(F.array(F.from_json("line", fields)))).filter(F.col("Event").isin(events))
+    return hinted.select("log", *_position(lines), F.inline(F.array(F.from_json("line", fields)))).filter(F.col("Event").isin(events))
 
 
 def rejects(lines: DataFrame) -> DataFrame:
@@ -118,6 +124,14 @@ def _first(event: str, *fields: str) -> Column:
     return F.min_by(F.when(_is(event), value), F.when(_is(event), F.col("Timestamp")))
 
 
+def _first_properties(lines: DataFrame) -> Column:
+    """Properties of the first environment event by position; of lines without one, the least text."""
+    text = F.when(_is(ENVIRONMENT), F.col("`Spark Properties`"))
+    if not _position(lines):
+        return F.min(text)
+    return F.min_by(text, F.when(text.isNotNull(), F.col("position")))
+
+
 def properties(text: Column) -> Column:
     """Settings map from its JSON, an object in current logs, a list of pairs in old ones.
 
@@ -139,7 +153,7 @@ def applications(lines: DataFrame, cpu_unit: str = "ns") -> DataFrame:
         .agg(
             _first(APP_START, "App ID", "App Name", "User", "Timestamp").alias("start"),
             F.min(F.when(_is(APP_END), F.col("Timestamp"))).alias("end_ms"),
-            F.min(F.when(_is(ENVIRONMENT), F.col("`Spark Properties`"))).alias("props"),
+            _first_properties(lines).alias("props"),
         )
         .filter(F.col("start").isNotNull())
     )

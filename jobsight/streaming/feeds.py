@@ -31,7 +31,10 @@ def stream_files(
 
 @contextmanager
 def _stateful(spark: SparkSession) -> Iterator[None]:
-    """RocksDB state, as many state partitions as the cluster has cores."""
+    """RocksDB state, as many state partitions as the cluster has cores, for a stream that starts inside.
+
+    A stream works on a copy of the session's settings taken when it starts, so these are put back right after.
+    """
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
         "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
@@ -62,7 +65,7 @@ def run(
             .trigger(availableNow=True)
             .start()
         )
-        query.awaitTermination()
+    query.awaitTermination()
 
 
 def parquet_batches(folder: str) -> Callable[[DataFrame, int], None]:

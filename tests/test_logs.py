@@ -65,6 +65,18 @@ def test_known_log_and_broken_logs(spark, tmp_path):
     assert event_log.rejects(lines).count() == 2
 
 
+def test_first_environment_event_counts(spark, tmp_path):
+    later = {"Event": "SparkListenerEnvironmentUpdate", "Spark Properties": [["spark.executor.cores", "1"], ["a", "b"]]}
+    single = "\n".join(json.dumps(e) for e in [*EVENTS[:2], later, *EVENTS[2:]])
+    (tmp_path / "one.log").write_text(single)
+    rolling = tmp_path / "eventlog_v2_app-2"
+    rolling.mkdir()
+    (rolling / "events_2_app-2").write_text("\n".join(json.dumps(e) for e in EVENTS[:2]).replace("app-1", "app-2"))
+    (rolling / "events_10_app-2").write_text(json.dumps(later))
+    rows = event_log.applications(event_log.read_lines(spark, str(tmp_path)), cpu_unit="ms").collect()
+    assert {(r["app_id"], r["executor_cores"]) for r in rows} == {("app-1", 4), ("app-2", 4)}
+
+
 JOB = """
 import sys
 from pyspark.sql import SparkSession
