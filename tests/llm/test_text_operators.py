@@ -304,6 +304,33 @@ def test_toxic_words_in_disguise(spark, docs, few_labels, none):
     assert toxicity.clean(docs, toxicity.fit(docs, few_labels)).columns == docs.columns
 
 
+@pytest.fixture(scope="module")
+def insulted(spark):
+    """A fitted model of texts with insults among made-up and common words, and clean texts of the others."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(["the", "an", "ri", "on", "ed", "ly"], 2)) for _ in range(300)] + ["you", "are", "a", "and", "i"] * 10
+    insults = ["moron", "stupid", "loser", "idiot", "pathetic", "fool", "ass"]
+    rows = []
+    for i in range(1400):
+        text = rng.choice(words, 40).tolist()
+        if i % 4 == 0:
+            for at in rng.integers(0, 40, 2):
+                text[at] = str(rng.choice(insults))
+        rows.append((i, " ".join(text), int(i % 4 == 0)))
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, toxic INT")
+    return toxicity.Scorer(*toxicity.fit(table.drop("toxic"), table.drop("text")))
+
+
+def called_toxic(scorer, *texts):
+    return [s >= toxicity.THRESHOLD for s in scorer.scores(pa.array(texts))]
+
+
+def test_disguise_of_any_length(insulted):
+    long = ["idi" + "o" * 60 + "t", "st" + "u" * 5000 + "pid", "m" * 70 + "0" + "r" * 70 + "on"]
+    assert all(called_toxic(insulted, *long, *(f"theri {w} anly" for w in long)))
+    assert not any(called_toxic(insulted, "theri" * 4000, "t-h-e-r-i" * 400, "a" * 5000))
+
+
 def test_entropies_and_fingerprints(spark, docs, none):
     rng = np.random.default_rng(9)
     data = rng.integers(97, 101, 300).astype(np.uint8)
