@@ -335,12 +335,19 @@ def test_spelt_runs_of_several_words(insulted):
     spelt = ["you are a l o s e r", "i d i o t a n d f o o l", "y o u a r e p a t h e t i c", "I a m a n i d i o t", "l o s e r  i d i o t"]
     assert all(called_toxic(insulted, *spelt, " ".join("theri" * 60) + " i d i o t"))
     assert not any(called_toxic(insulted, "y o u a r e", "t h e r i a n d o n e d", "a b c d e f g"))
-    assert toxicity.restore("i d i o t a n d f o o l", insulted._model) == ["idiot", "and", "fool"]
+    assert toxicity.decoded("i d i o t a n d f o o l", insulted._model) == ["idiot", "and", "fool"]
     # Contexts of spelt words differ, so such words can be learned.
     seen = {a for i in range(9) for f, a in toxicity._seen(f"w{i} i d i o t v{i}", insulted._model, {}) if f == "idiot"}
     assert len(seen) == 9
 
 
+def test_disguise_of_every_kind(insulted):
+    hidden = ["iiddiioott", "id-iot", "idi.ot", "a.s.s", "a s s", "@$$", "a$$", "iid10t", "f-oo-l", "p@th.et1c!", "(l,o,s,e,r)"]
+    missed = [w for w, toxic in zip(hidden, called_toxic(insulted, *(f"theri {w} anly" for w in hidden)), strict=True) if not toxic]
+    assert not missed
+    assert not any(called_toxic(insulted, "theri 108.51.216.133 2024-05-06 12.50", "$$$ !!! | + ***", "theri! an-ri (onan) theeri"))
+
+
 def test_entropies_and_fingerprints(spark, docs, none):
     rng = np.random.default_rng(9)
     data = rng.integers(97, 101, 300).astype(np.uint8)
