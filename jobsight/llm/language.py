@@ -6,8 +6,9 @@ own. A phrase costs the bits that point into the sample, so a language's measure
 letter, and the language with the least wins. Phrases end with words: a word is parsed with the space before it, and
 once however often it occurs.
 
-The sample is the documented bound: ``DOCUMENTS`` texts a language, the least by the hash of their id, of each the first
-``LETTERS`` characters. Texts to be judged are parsed whole.
+The sample is the documented bound: ``DOCUMENTS`` different texts a language, the least by their hash, of each an excerpt
+of ``LETTERS`` characters from a hashed place, so neither copies nor shared openings fill it. Texts without a letter
+give none. Texts to be judged are parsed whole.
 
 Null texts and texts without a letter are ``und`` with score 0. With no labelled text at all, everything is. Ties go to
 the language that comes first in alphabetical order. Repeated rows are judged alike; extra columns do not matter; a
@@ -148,8 +149,11 @@ def judge_of(samples: tuple[tuple[str, str], ...]) -> Judge:
 def samples_of(labelled: DataFrame, documents: int = DOCUMENTS, letters: int = LETTERS) -> tuple[tuple[str, str], ...]:
     """The bounded sample text of every language: rows (doc_id, text, lang)."""
     order = Window.partitionBy("lang").orderBy("h", "text")
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, letters).alias("text"))
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    plain = rows.select("lang", F.xxhash64("text").alias("h"), F.trim(F.regexp_replace("text", r"[^\p{L}]+", " ")).alias("text"))
+    # Hashed again, as those of the least hash would all be cut at like places.
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - letters + 1, F.lit(1))).cast("int") + 1
+    rows = plain.select("lang", "h", F.substring("text", start, F.lit(letters)).alias("text")).distinct()
     rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= documents)
     by_lang: dict[str, list[str]] = {}
     for row in sorted(rows.collect(), key=lambda r: (r.lang, r.n)):

@@ -264,6 +264,29 @@ def test_language_of_held_out_texts(spark, docs, none):
     assert {r.lang_pred for r in language.predictions(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_samples_hold_neither_copies_nor_openings_alone(spark):
+    rng = np.random.default_rng(11)
+    parts = {"aa": ["ka", "lo", "mi", "tu", "re"], "bb": ["sch", "ein", "ung", "ver", "ach"]}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(parts[lang], 3)) for _ in range(n))
+
+    opening = text("bb", 100)
+    # The rare language opens with words of the other, and one text, mostly of foreign words, is most of its rows.
+    rows = [(i, text("bb", 150), "bb") for i in range(400)]
+    rows += [(1000 + i, f"{opening} {text('aa', 600)}", "aa") for i in range(60)]
+    rows += [(2000 + i, f"{text('bb', 1)} 1234", "aa") for i in range(2)] + [(3000 + i, opening, "aa") for i in range(3000)]
+    rows += [(9000 + i, "12 34 ...", "aa") for i in range(300)] + [(9500, "", "aa"), (9501, None, "aa")]
+    rows += [(20000 + i, text("aa", 60), None) for i in range(50)]
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    sample = dict(language.samples_of(table))["aa"]
+    assert len(sample) > 60 * 250 and sample.count(opening[:200]) <= 5
+    got = {r.doc_id: r.lang_pred for r in language.predictions(table.filter("doc_id < 2000 OR doc_id >= 3000")).collect()}
+    assert sum(got[20000 + i] == "aa" for i in range(50)) == 50
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % language.FOLDS == language.HELD_OUT]
+    assert held and all(got[i] == "bb" for i in held)
+
+
 def test_phrases_are_greedy_longest_matches():
     rng = np.random.default_rng(7)
     known = "".join(rng.choice(list("abc"), 300))
