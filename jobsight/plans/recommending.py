@@ -591,22 +591,31 @@ def _(t):
     )
 
 
-def _learned(t, **options):
-    settings = {"trees": 5, "depth": 5, "folds": 0, **options}
-    return learn.train(t.apps, **settings)
+#: Folders of the models trained by this process, by application, input and kind.
+_TRAINED: dict[tuple[str, str, str], str] = {}
+
+
+def _learned(t, kind="random_forest"):
+    """The models at the operator's own size, trained once, saved to the shared folder and loaded from there."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir, kind
+    if key not in _TRAINED:
+        path = shared_dir(t.spark, "models")
+        learn.save(learn.train(t.apps, kind=kind), path)
+        _TRAINED[key] = path
+    return learn.load(t.spark, _TRAINED[key])
 
 
 @query("rec_15_training_metrics")
 def _(t):
     """Quality of the four forests on held-out runs and in cross-validation."""
-    metrics = _learned(t, trees=3, depth=3, folds=2).metrics
-    rows = [(target, name, float(value)) for target, m in metrics.items() for name, value in m.items()]
+    metrics = _learned(t).metrics
+    rows = [(target, name, float(value)) for target, m in metrics.items() for name, value in m.items() if name != "samples"]
     return t.spark.createDataFrame(rows, "target string, metric string, value double")
 
 
 @query("rec_16_boosted_predictions")
 def _(t):
-    learned = _learned(t, kind="gradient_boosting", trees=3, depth=3)
+    learned = _learned(t, kind="gradient_boosting")
     rows = learn.predict(learned, t.requests, learn.request_features())
     return rows.select("request_id", *[f"predicted_{x}" for x in learn.TARGETS])
 

@@ -84,3 +84,20 @@ def test_date_search_reads_only_its_months(spark, tmp_path):
     assert sorted(r["app_id"] for r in found.collect()) == ["a3", "a4"]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "start_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_learned_queries_share_models_of_full_size(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from jobsight.plans import recommending
+
+    calls, saved = [], {}
+    monkeypatch.setattr(learn, "train", lambda runs, **options: calls.append(options) or learn.Learned({}, {"t": {"r2": 0.5, "samples": 9.0}}))
+    monkeypatch.setattr(learn, "save", lambda learned, path: saved.setdefault(path, learned))
+    monkeypatch.setattr(learn, "load", lambda spark, path: saved[path])
+    t = SimpleNamespace(spark=spark, sf_dir="/nowhere", apps=None)
+    for _ in range(2):
+        assert recommending._learned(t) is recommending._learned(t)
+    recommending._learned(t, kind="gradient_boosting")
+    # The operator's own number of trees, depth and folds: no option but the kind, and one training a kind.
+    assert calls == [{"kind": "random_forest"}, {"kind": "gradient_boosting"}]
