@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsight.llm import digest, direct_codes, language, near_dup, packing, piece_bpe, sharding, token_counts, top_k, toxicity
+from jobsight.llm import digest, direct_codes, filter_audit, language, near_dup, packing, piece_bpe, sharding, token_counts, top_k, toxicity
 from jobsight.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,58 @@ def _op10(vectors: DataFrame, sf_dir: str) -> DataFrame:
     return top_k.top_k(vectors)
 
 
+_AUDIT = r"""
+WITH marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+texts AS (
+  SELECT d.doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, coalesce(good, 0) AS good, coalesce(m.toxic, 0) AS toxic
+  FROM documents d LEFT JOIN marks m USING (doc_id)
+),
+judged AS (
+  SELECT part, good, toxic, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS copied
+  FROM texts
+),
+fails AS (
+  SELECT part, good, toxic,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN copied THEN 'E' ELSE '' END AS failed,
+    count(*) AS n
+  FROM judged GROUP BY ALL
+),
+letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letters a JOIN letters b ON b.f <> a.f JOIN letters c ON c.f NOT IN (a.f, b.f) JOIN letters d ON d.f NOT IN (a.f, b.f, c.f)
+  JOIN letters e ON e.f NOT IN (a.f, b.f, c.f, d.f)
+),
+steps AS (
+  SELECT filter_order, step, filter_order[step] AS f, '[' || filter_order[1:step - 1] || '_]' AS earlier, '[' || filter_order[1:step] || ']' AS until
+  FROM orders, range(1, 6) r(step)
+),
+counted AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN NOT regexp_matches(failed, until) THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(failed, f) AND NOT regexp_matches(failed, earlier) THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(failed, f) AND regexp_matches(failed, earlier) THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(failed, f) AND NOT regexp_matches(failed, earlier) THEN n * good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(failed, f) AND NOT regexp_matches(failed, earlier) THEN n * toxic ELSE 0 END) AS toxic_lost
+  FROM fails, steps GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+@_query("op13_filter_audit", "documents", _AUDIT)
+def _op13(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(docs, _table(docs, sf_dir, "labels"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
