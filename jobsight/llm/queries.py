@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsight.llm import digest, direct_codes, filter_audit, language, near_dup, packing, piece_bpe, sharding, token_counts, top_k, toxicity
+from jobsight.llm import digest, direct_codes, filter_audit, language, near_dup, packing, piece_bpe, prefix_trie, sharding, token_counts, top_k, toxicity
 from jobsight.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,32 @@ def _op10(vectors: DataFrame, sf_dir: str) -> DataFrame:
     return top_k.top_k(vectors)
 
 
+_JACCARD = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w] ELSE list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3]) END) AS s
+  FROM words
+),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+reached AS (SELECT DISTINCT x, x AS y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y),
+least AS (SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY x)
+SELECT doc_id, len(s) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM sets LEFT JOIN least USING (doc_id)
+"""
+
+
+@_query("op12_prefix_trie", "documents", _JACCARD)
+def _op12(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return prefix_trie.jaccard_components(docs)
+
+
 _AUDIT = r"""
 WITH marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
 texts AS (
