@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsight.llm import digest, direct_codes, filter_audit, language, near_dup, packing, piece_bpe, prefix_trie, sharding, token_counts, top_k, toxicity
+from jobsight.llm import collocations, digest, direct_codes, filter_audit, language, near_dup, packing, piece_bpe, prefix_trie, sharding, token_counts, top_k, toxicity
 from jobsight.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,47 @@ def _op10(vectors: DataFrame, sf_dir: str) -> DataFrame:
     return top_k.top_k(vectors)
 
 
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+words AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY 1),
+placed AS (SELECT lang, piece, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM words),
+followed AS (SELECT lang, w AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4 FROM placed WINDOW p AS (PARTITION BY piece ORDER BY i)),
+runs AS (
+  SELECT lang, [w1] AS p, count(*) AS f FROM followed GROUP BY lang, w1 HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2], count(*) FROM followed WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM followed WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM followed WHERE w4 IS NOT NULL GROUP BY lang, w1, w2, w3, w4 HAVING count(*) >= 30
+),
+f AS (SELECT * FROM runs),
+cuts AS (
+  SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * c.f // (x.f + y.f) AS BIGINT) AS score
+  FROM f c, range(1, 4) t(k), f x, f y
+  WHERE len(c.p) > k AND x.lang = c.lang AND x.p = c.p[1:k] AND y.lang = c.lang AND y.p = c.p[k + 1:len(c.p)]
+),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, p[i:i + k - 1] AS p, max(f) AS longest
+  FROM f, range(1, 4) s(i), range(2, 4) t(k) WHERE k < len(p) AND i + k - 1 <= len(p) GROUP BY 1, 2
+),
+kept AS (
+  SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, score
+  FROM best b LEFT JOIN inside s ON s.lang = b.lang AND s.p = b.p WHERE longest IS NULL OR 100 * longest < 80 * a
+)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@_query("op11_collocations", "documents", _PHRASES)
+def _op11(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return collocations.collocations(docs)
+
+
 _JACCARD = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
