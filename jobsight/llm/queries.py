@@ -115,20 +115,24 @@ runs AS (
   UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM followed WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 30
   UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM followed WHERE w4 IS NOT NULL GROUP BY lang, w1, w2, w3, w4 HAVING count(*) >= 30
 ),
-f AS (SELECT * FROM runs),
+f AS MATERIALIZED (SELECT lang, array_to_string(p, ' ') AS phrase, p, f FROM runs),
+parts AS MATERIALIZED (
+  SELECT lang, phrase, f AS a, k, array_to_string(p[1:k], ' ') AS head, array_to_string(p[k + 1:len(p)], ' ') AS tail
+  FROM f, range(1, 4) t(k) WHERE len(p) > k
+),
+heads AS MATERIALIZED (SELECT c.*, x.f AS l FROM parts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head),
 cuts AS (
-  SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * c.f // (x.f + y.f) AS BIGINT) AS score
-  FROM f c, range(1, 4) t(k), f x, f y
-  WHERE len(c.p) > k AND x.lang = c.lang AND x.p = c.p[1:k] AND y.lang = c.lang AND y.p = c.p[k + 1:len(c.p)]
+  SELECT c.lang, c.phrase, a, k, l, y.f AS r, CAST(2000000::HUGEINT * a // (l + y.f) AS BIGINT) AS score
+  FROM heads c JOIN f y ON y.lang = c.lang AND y.phrase = c.tail
 ),
-best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inside AS (
-  SELECT lang, p[i:i + k - 1] AS p, max(f) AS longest
+  SELECT lang, array_to_string(p[i:i + k - 1], ' ') AS phrase, max(f) AS longest
   FROM f, range(1, 4) s(i), range(2, 4) t(k) WHERE k < len(p) AND i + k - 1 <= len(p) GROUP BY 1, 2
 ),
 kept AS (
-  SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, score
-  FROM best b LEFT JOIN inside s ON s.lang = b.lang AND s.p = b.p WHERE longest IS NULL OR 100 * longest < 80 * a
+  SELECT b.lang, b.phrase, a, l, r, score
+  FROM best b LEFT JOIN inside s ON s.lang = b.lang AND s.phrase = b.phrase WHERE longest IS NULL OR 100 * longest < 80 * a
 )
 SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, score
 FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
