@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from jobsight.llm.batches import filled, slices
+from jobsight.llm.batches import filled, packed, slices, small_batches, unpacked
 from jobsight.llm.near_dup import mix
 from jobsight.llm.ordering import shuffle_width
 from jobsight.session import stored
 
 DEPTH, LEAST, TOP = 4, 30, 2000
 #: Words of one block of documents, bytes of text cut into words at once, bytes of text whose pointers share a bucket.
-BLOCK_WORDS, CHUNK, BUCKET_BYTES = 2_000_000, 1 << 20, 16 << 20
+BLOCK_WORDS, CHUNK, BUCKET_BYTES = 2_000_000, 1 << 20, 8 << 20
 #: Bits that say which pairs of words may be frequent; 8 MB, whatever the input.
 CELLS = 1 << 26
 #: Parts of a language ranked on their own first.
@@ -150,13 +150,13 @@ def _pairs(lang: str, words: Words, hashes: np.ndarray, stream: np.ndarray, buck
     present = np.flatnonzero(counts)
     for bucket, at in _dealt(hashes[present], buckets):
         own = present[at]
-        yield bucket, lang, 1, [words.seen[i] for i in own], hashes[own].tobytes(), counts[own].astype(np.uint32).tobytes()
+        yield bucket, lang, 1, [words.seen[i] for i in own], hashes[own].tobytes(), packed(counts[own].astype(np.uint32))
     first, second = _followed(stream, 2)
     both = (first >= 0) & (second >= 0)
     keys, weights = np.unique(first[both] * len(hashes) + second[both], return_counts=True)
     first, second = hashes[keys // max(len(hashes), 1)], hashes[keys % max(len(hashes), 1)]
     for bucket, at in _dealt(mix(mix(first) + second), buckets):
-        yield bucket, lang, 2, None, np.concatenate([first[at], second[at]]).tobytes(), weights[at].astype(np.uint32).tobytes()
+        yield bucket, lang, 2, None, np.concatenate([first[at], second[at]]).tobytes(), packed(weights[at].astype(np.uint32))
 
 
 def _runs(lang: str, hashes: np.ndarray, stream: np.ndarray, buckets: int, may: np.ndarray) -> Iterator[tuple]:
@@ -183,7 +183,7 @@ def _runs(lang: str, hashes: np.ndarray, stream: np.ndarray, buckets: int, may:
     padded = np.concatenate([hashes, np.zeros(1, np.uint64)])
     found = [hashes[head // max(size, 1)], hashes[head % max(size, 1)], hashes[tail // (size + 1)], padded[tail % (size + 1) - 1]]
     for bucket, at in _dealt(mix(mix(mix(found[0]) + found[1]) + found[2]), buckets):
-        yield bucket, lang, DEPTH, None, np.concatenate([c[at] for c in found]).tobytes(), weights[at].astype(np.uint32).tobytes()
+        yield bucket, lang, DEPTH, None, np.concatenate([c[at] for c in found]).tobytes(), packed(weights[at].astype(np.uint32))
 
 
 def _frequent(lang: str, hashes: np.ndarray, pairs: np.ndarray, may: np.ndarray) -> np.ndarray:
@@ -238,7 +238,7 @@ def _singles(lang: str, rows: list[dict], least: int) -> list[tuple]:
     total, by_hash = {}, {}
     for row in rows:
         hashes = np.frombuffer(row["pointers"], np.int64).tolist()
-        for word, h, count in zip(row["words"], hashes, np.frombuffer(row["weights"], np.uint32).tolist(), strict=True):
+        for word, h, count in zip(row["words"], hashes, unpacked(row["weights"], np.uint32).tolist(), strict=True):
             if by_hash.setdefault(h, word) != word:
                 raise ValueError(f"two words of {lang!r} have the hash {h}: {word!r}, {by_hash[h]!r}")
             total[h] = total.get(h, 0) + count
@@ -249,7 +249,7 @@ def _singles(lang: str, rows: list[dict], least: int) -> list[tuple]:
 def _sorted_out(lang: str, depth: int, rows: list[dict], least: int) -> list[tuple]:
     parts = [np.frombuffer(r["pointers"], np.uint64).reshape(depth, -1) for r in rows]
     columns = list(np.concatenate(parts, axis=1))
-    weights = np.concatenate([np.frombuffer(r["weights"], np.uint32) for r in rows]).astype(np.int64)
+    weights = np.concatenate([unpacked(r["weights"], np.uint32) for r in rows]).astype(np.int64)
     found: dict[int, tuple[list, list]] = {n: ([], []) for n in range(1, depth + 1)}
 
     def report(length: int, pointer: int, count: int) -> None:
@@ -310,9 +310,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     buckets = max(shuffle_width(docs), -(-size // BUCKET_BYTES))
-    short = stored(_counted(_routed(docs, buckets), least), "phrases")
-    may = spark.sparkContext.broadcast(_bitmap(short.filter("length = 2")))
-    long = stored(_counted(_routed(docs, buckets, may), least), "phrases")
+    with small_batches(spark):
+        short = stored(_counted(_routed(docs, buckets), least), "phrases")
+        may = spark.sparkContext.broadcast(_bitmap(short.filter("length = 2")))
+        long = stored(_counted(_routed(docs, buckets, may), least), "phrases")
     return short.unionByName(long)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from jobsight.llm.batches import filled, slices
+from jobsight.llm.batches import filled, packed, slices, small_batches, unpacked
 from jobsight.llm.components import Forest, components
 from jobsight.llm.near_dup import Shingler
 from jobsight.llm.ordering import shuffle_width
@@ -45,7 +45,7 @@ WIDTH, PERCENT = 4, 85
 #: Members of one trie, pivots that a group meets before it is joined whole, and members of a pivot in one task.
 NODE, PIVOTS, SLOT = 256, 2, 4096
 #: Tokens of one block of documents, and bytes of text whose tokens share a bucket.
-BLOCK_TOKENS, BUCKET_BYTES = 2_000_000, 16 << 20
+BLOCK_TOKENS, BUCKET_BYTES = 1_000_000, 8 << 20
 #: Owner of a token that several sets of its block hold.
 _SEVERAL = 0xFFFFFFFF
 
@@ -106,7 +106,7 @@ def _dealt(docs: DataFrame, width: int, buckets: int, schema: T.StructType) -> D
             sent = np.where(counts > 1, _SEVERAL, owners[starts]).astype(np.uint32)
             tokens = tokens[starts]
             bucket = (tokens % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((sent, bucket))
             tokens, sent, counts, bucket = tokens[order], sent[order], counts[order].astype(np.uint32), bucket[order]
             which = np.array(self.which, np.int32).tobytes()
             out = {"bucket": [number % buckets], "block": [number], "ids": [self.ids], "which": [which], "digests": [b"".join(self.digests)]}
@@ -114,7 +114,7 @@ def _dealt(docs: DataFrame, width: int, buckets: int, schema: T.StructType) -> D
             cuts = np.flatnonzero(np.concatenate([bucket[:1] >= 0, bucket[1:] != bucket[:-1]])).tolist() + [len(bucket)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 row = {"bucket": int(bucket[a]), "block": number, "ids": None, "which": None, "digests": None, "sizes": None}
-                row |= {"owners": sent[a:b].tobytes(), "tokens": tokens[a:b].tobytes(), "counts": counts[a:b].tobytes()}
+                row |= {"owners": packed(sent[a:b]), "tokens": tokens[a:b].tobytes(), "counts": packed(counts[a:b])}
                 for name, value in row.items():
                     out[name].append(value)
             return out
@@ -142,7 +142,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list
     """Consecutive rows with equal keys."""
     held, rows = None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (r for part in slices(batch, "tokens") for r in part.to_pylist()):
             key = [row[k] for k in keys]
             if key != held and rows:
                 yield rows
@@ -163,16 +163,17 @@ def _counted(pieces: DataFrame, schema: T.StructType) -> DataFrame:
             if parts:
                 tokens = [_u(r["tokens"], np.uint64) for r in parts]
                 values, place = np.unique(np.concatenate(tokens), return_inverse=True)
-                total = np.bincount(place, np.concatenate([_u(r["counts"], np.uint32) for r in parts]), len(values)).astype(np.int64)
+                total = np.bincount(place, np.concatenate([unpacked(r["counts"], np.uint32) for r in parts]), len(values)).astype(np.int64)
                 at = 0
                 for r, own in zip(parts, tokens, strict=True):
                     count = total[place[at : at + len(own)]]
                     at += len(own)
                     shared = count > 1
                     if shared.any():
-                        out.append(r | {"owners": _u(r["owners"], np.uint32)[shared].tobytes(), "tokens": own[shared].tobytes(), "counts": count[shared].tobytes()})
-            for a in range(0, len(out), 512):
-                yield _records(schema, {f.name: [r[f.name] for r in out[a : a + 512]] for f in schema})
+                        owners = unpacked(r["owners"], np.uint32)[shared]
+                        out.append(r | {"owners": packed(owners), "tokens": own[shared].tobytes(), "counts": packed(count[shared])})
+            for a in range(0, len(out), 64):
+                yield _records(schema, {f.name: [r[f.name] for r in out[a : a + 64]] for f in schema})
 
     width = shuffle_width(pieces)
     return pieces.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
@@ -188,9 +189,9 @@ def _sets(counted: DataFrame, percent: int) -> DataFrame:
         for rows in _groups(batches, ["block"]):
             head = next(r for r in rows if r["ids"] is not None)
             parts = [r for r in rows if r["ids"] is None]
-            owners = np.concatenate([_u(r["owners"], np.uint32) for r in parts] or [np.zeros(0, np.uint32)])
+            owners = np.concatenate([unpacked(r["owners"], np.uint32) for r in parts] or [np.zeros(0, np.uint32)])
             tokens = np.concatenate([_u(r["tokens"], np.uint64) for r in parts] or [np.zeros(0, np.uint64)])
-            counts = np.concatenate([_u(r["counts"], np.int64) for r in parts] or [np.zeros(0, np.int64)])
+            counts = np.concatenate([unpacked(r["counts"], np.int64) for r in parts] or [np.zeros(0, np.int64)])
             several = owners == _SEVERAL
             order = np.argsort(tokens[several])
             known, known_counts = tokens[several][order], counts[several][order]
@@ -227,7 +228,8 @@ def shared_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     schema = _pieces_schema(docs)
     pieces = _dealt(docs, width, max(shuffle_width(docs), -(-size // BUCKET_BYTES)), schema)
-    return stored(_sets(_counted(pieces, schema), percent), "sets")
+    with small_batches(docs.sparkSession):
+        return stored(_sets(_counted(pieces, schema), percent), "sets")
 
 
 class Trie:
