@@ -591,24 +591,29 @@ def _(t):
     )
 
 
-#: Folders of the models trained by this process, by application, input and kind.
-_TRAINED: dict[tuple[str, str, str], str] = {}
+#: Folders of the models trained by this process, by application, input, kind and folds.
+_TRAINED: dict[tuple[str, str, str, int], str] = {}
 
 
-def _learned(t, kind="random_forest"):
-    """The models at the operator's own size, trained once, saved to the shared folder and loaded from there."""
-    key = t.spark.sparkContext.applicationId, t.sf_dir, kind
-    if key not in _TRAINED:
-        path = shared_dir(t.spark, "models")
-        learn.save(learn.train(t.apps, kind=kind), path)
-        _TRAINED[key] = path
-    return learn.load(t.spark, _TRAINED[key])
+def _learned(t, kind="random_forest", folds=0):
+    """The models at the operator's own size, trained once, saved to the shared folder and loaded from there.
+
+    Folds are fitted only where cross-validation is shown; the models and their metrics on held-out runs do not depend on
+    them, so models with folds serve all.
+    """
+    app = t.spark.sparkContext.applicationId
+    found = [path for (a, sf, k, f), path in _TRAINED.items() if (a, sf, k) == (app, t.sf_dir, kind) and f >= folds]
+    if not found:
+        found = [shared_dir(t.spark, "models")]
+        learn.save(learn.train(t.apps, kind=kind, folds=folds), found[0])
+        _TRAINED[app, t.sf_dir, kind, folds] = found[0]
+    return learn.load(t.spark, found[0])
 
 
 @query("rec_15_training_metrics")
 def _(t):
     """Quality of the four forests on held-out runs and in cross-validation."""
-    metrics = _learned(t).metrics
+    metrics = _learned(t, folds=5).metrics
     rows = [(target, name, float(value)) for target, m in metrics.items() for name, value in m.items() if name != "samples"]
     return t.spark.createDataFrame(rows, "target string, metric string, value double")
 
