@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobsight.functions.numeric import collected, half_even, to_gib
+from jobsight.operators.staircase import fitting_runs
 from jobsight.sources import catalogs as cat
 
 ON_DEMAND, SPOT, PREEMPTIBLE, RESERVED, SAVINGS_PLAN = "on_demand", "spot", "preemptible", "reserved", "savings_plan"
@@ -213,16 +214,14 @@ def matching_instances(
     provider: Column | None = None,
     tier: str = ON_DEMAND,
     prefer_local_storage: bool = False,
-    rows: Sequence[tuple] = cat.PRICES,
 ) -> Column:
-    """Array of the instances large enough, cheapest first; with local storage first if preferred.
+    """Array of the instances of the built-in price list that are large enough, cheapest first; with local storage first
+    if preferred.
 
-    The catalog is unrolled into the expression, so it must be small.
+    The list is unrolled into the expression; ``staircase.fitting`` does the same for a catalog table of any size.
     """
-    if len(rows) > cat.MAX_LITERAL_ROWS:
-        raise ValueError(f"{len(rows)} catalog rows are too many to unroll; join a DataFrame instead")
     items = []
-    for position, row in enumerate(rows):
+    for position, row in enumerate(cat.PRICES):
         i = dict(zip(cat.PRICE_COLUMNS, row))
         fits = (vcpus <= i["vcpus"]) & (memory_gb <= i["memory_gb"])
         if provider is not None:
@@ -448,10 +447,10 @@ def frontier(runs: DataFrame, hours: Column, points: int = 5, pricing: Pricing =
     return runs.select("app_id", F.posexplode(curve).alias("place", "_p")).select("app_id", "place", "_p.*")
 
 
-def instance_comparison(runs: DataFrame, hours: Column, provider: Column, k: int = 10) -> DataFrame:
-    """The k cheapest instances that fit the executors of a run, with the cost of the run on each."""
-    fits = matching_instances(F.col("executor_cores"), F.col("executor_memory_mb") / 1024.0, provider)
-    rows = runs.select("app_id", "num_executors", hours.alias("_hours"), F.posexplode(F.slice(fits, 1, k)).alias("place", "_i"))
+def instance_comparison(runs: DataFrame, catalog: DataFrame, hours: Column, provider: Column, k: int = 10, **how) -> DataFrame:
+    """The k cheapest instances of a catalog that fit the executors of a run, with the cost of the run on each."""
+    rows = fitting_runs(runs.withColumn("_hours", hours), catalog, k, provider, ["app_id", "num_executors", "_hours"], **how)
+    rows = rows.select("app_id", "num_executors", "_hours", F.posexplode("best").alias("place", "_i"))
     cost = F.col("_i.hourly_price") * F.col("num_executors") * F.col("_hours")
     return rows.select(
         "app_id", "place", "_i.instance_type", "_i.vcpus", "_i.memory_gb", "_i.hourly_price",

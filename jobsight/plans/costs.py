@@ -8,6 +8,7 @@ from jobsight.functions.numeric import half_even, long_sum
 from jobsight.functions.units import size_bytes
 from jobsight.operators import cost
 from jobsight.operators.cost import Pricing, Shape
+from jobsight.operators.staircase import ANY, fitting_runs
 from jobsight.plans.diagnosis import jobs, r
 from jobsight.plans.registry import query
 from jobsight.sources import catalogs as cat
@@ -238,40 +239,88 @@ def _(t):
     return rows.select("app_id", "instance_type", F.inline(tiers))
 
 
-@priced(
+_IMPORTED = """
+SELECT p_partkey AS line, CASE p_partkey % 3 WHEN 0 THEN 'aws' WHEN 1 THEN 'gcp' ELSE 'azure' END AS provider,
+  CASE WHEN p_size < 3 THEN NULL WHEN p_size < 10 THEN 'm5.large' ELSE lower(p_brand) || '-' || CAST(p_size AS VARCHAR) END
+    AS instance_type, CAST(p_size AS BIGINT) AS vcpus, p_size * 4e0 AS memory_gb, p_retailprice / 1000 AS hourly_price
+FROM part"""
+
+
+def imported_prices(t):
+    return t.raw("part").select(
+        F.col("p_partkey").alias("line"),
+        F.expr("CASE p_partkey % 3 WHEN 0 THEN 'aws' WHEN 1 THEN 'gcp' ELSE 'azure' END").alias("provider"),
+        F.expr(
+            "CASE WHEN p_size < 3 THEN NULL WHEN p_size < 10 THEN 'm5.large'"
+            " ELSE concat(lower(p_brand), '-', CAST(p_size AS STRING)) END"
+        ).alias("instance_type"),
+        F.col("p_size").cast("int").alias("vcpus"),
+        (F.col("p_size") * F.lit(4.0)).alias("memory_gb"),
+        (F.col("p_retailprice") / 1000).alias("hourly_price"),
+    )
+
+
+_MERGED = """
+SELECT provider, instance_type, vcpus, memory_gb, hourly_price FROM (
+  SELECT *, row_number() OVER (PARTITION BY provider, instance_type ORDER BY line DESC) AS n FROM (
+    SELECT -1 AS line, provider, instance_type, vcpus, memory_gb, hourly_price FROM prices
+    UNION ALL SELECT * FROM imported WHERE instance_type IS NOT NULL AND hourly_price >= 0) u) x WHERE n = 1"""
+
+
+def merged_prices(t):
+    return cost.merge_catalog(cat.prices(t.spark), imported_prices(t), "line")
+
+
+_FITS = COST_SQL["fits"]
+_LISTED_SQL = {k: v for k, v in COST_SQL.items() if k != "fits"} | {
+    "imported": _IMPORTED,
+    "merged": _MERGED,
+    "listed": """
+SELECT provider || '/' || instance_type AS position, *, CASE WHEN vcpus % 4 = 0 THEN 100 ELSE 0 END AS local_storage_gb FROM merged""",
+    "fits": _FITS.replace("prices p", "listed p"),
+}
+
+
+def _listed(t):
+    """The imported price list; every fourth size is said to have local storage."""
+    storage = F.when(F.col("vcpus") % 4 == 0, 100).otherwise(0)
+    return merged_prices(t).withColumns({"position": F.concat_ws("/", "provider", "instance_type"), "local_storage_gb": storage})
+
+
+def with_catalogs(name: str, sql: str):
+    """Register ``fn(tables, catalog)`` on the built-in price list and, as ``.._imported``, on one merged from a table."""
+
+    def register(fn):
+        priced(name, sql)(lambda t: fn(t, cat.prices(t.spark)))
+        query(f"{name}_imported", sql, _LISTED_SQL)(lambda t: fn(t, _listed(t)))
+        return fn
+
+    return register
+
+
+@with_catalogs(
     "join_05_fitting_instances",
     """SELECT app_id, COUNT(*) AS fitting, arg_min(instance_type, (hourly_price, position)) AS cheapest
     FROM fits GROUP BY app_id""",
 )
-def _(t):
-    fits = cost.matching_instances(F.col("executor_cores"), F.col("executor_memory_mb") / 1024.0)
-    return (
-        jobs(t)
-        .select("app_id", fits.alias("fits"))
-        .filter(F.size("fits") > 0)
-        .select(
-            "app_id",
-            F.size("fits").cast("long").alias("fitting"),
-            cost.first_or_null(F.col("fits"))["instance_type"].alias("cheapest"),
-        )
-    )
+def _(t, catalog):
+    rows = fitting_runs(jobs(t), catalog, 1, F.lit(ANY), ["app_id"], tie="position")
+    return rows.select("app_id", "fitting", F.col("best")[0]["instance_type"].alias("cheapest"))
 
 
 def _top_fits(name, prefer, order, spark_tier, price):
-    @priced(
+    @with_catalogs(
         name,
         f"""SELECT app_id, string_agg(instance_type, ',' ORDER BY place) AS instances FROM (
           SELECT app_id, instance_type, row_number() OVER (PARTITION BY app_id ORDER BY {order}) AS place
           FROM (SELECT * REPLACE ({price} AS hourly_price) FROM fits WHERE provider = own_provider) f) x
         WHERE place <= 3 GROUP BY app_id""",
     )
-    def _(t):
-        fits = cost.matching_instances(
-            F.col("executor_cores"), F.col("executor_memory_mb") / 1024.0, F.col("provider"), spark_tier, prefer
-        )
-        names = F.slice(fits, 1, 3)["instance_type"]
-        rows = jobs(t).select("app_id", F.array_join(names, ",").alias("instances"))
-        return rows.filter(F.col("instances") != "")
+    def _(t, catalog):
+        tier_price = cost.instance_price(F.col("hourly_price"), F.col("provider"), spark_tier)
+        last = F.col("local_storage_gb") == 0 if prefer else F.lit(False)
+        rows = fitting_runs(jobs(t), catalog, 3, F.col("provider"), ["app_id"], price=tier_price, last=last, tie="position")
+        return rows.select("app_id", F.array_join(F.col("best.instance_type"), ",").alias("instances"))
 
 
 _top_fits("cost_08_best_instances", False, "hourly_price, position", "on_demand", "hourly_price")
@@ -281,43 +330,29 @@ _top_fits(
 )
 
 
-@priced(
+@with_catalogs(
     "cost_09_cheapest_per_provider",
     """SELECT app_id, provider, arg_min(instance_type, (hourly_price, position)) AS instance_type,
       MIN(hourly_price) AS hourly_price FROM fits GROUP BY app_id, provider""",
 )
-def _(t):
-    per_provider = F.array(
-        *[
-            cost.first_or_null(
-                cost.matching_instances(F.col("executor_cores"), F.col("executor_memory_mb") / 1024.0, F.lit(p))
-            )
-            for p in cat.PROVIDERS
-        ]
-    )
-    rows = jobs(t).select("app_id", F.explode(F.array_compact(per_provider)).alias("i"))
-    return rows.select("app_id", "i.provider", "i.instance_type", "i.hourly_price")
+def _(t, catalog):
+    each = jobs(t).withColumn("_provider", F.explode(F.array(*[F.lit(p) for p in cat.PROVIDERS])))
+    rows = fitting_runs(each, catalog, 1, F.col("_provider"), ["app_id"], tie="position")
+    best = F.col("best")[0]
+    return rows.select("app_id", "provider", best["instance_type"].alias("instance_type"), best["hourly_price"].alias("hourly_price"))
 
 
-@priced(
+@with_catalogs(
     "cost_10_regional_prices",
     f"""SELECT provider, instance_type, region, COUNT(*) AS runs, {r('ANY_VALUE(hourly_price) * ANY_VALUE(region_factor)', 4)} AS price
     FROM (SELECT app_id, own_provider AS provider, arg_min(instance_type, (hourly_price, position)) AS instance_type,
         MIN(hourly_price) AS hourly_price FROM fits WHERE provider = own_provider GROUP BY ALL) b
     JOIN region_prices USING (provider) GROUP BY provider, instance_type, region""",
 )
-def _(t):
+def _(t, catalog):
     """Price in every region of the instances the runs need."""
-    best = cost.first_or_null(
-        cost.matching_instances(F.col("executor_cores"), F.col("executor_memory_mb") / 1024.0, F.col("provider"))
-    )
-    used = (
-        jobs(t)
-        .select("provider", best.alias("i"))
-        .filter(F.col("i").isNotNull())
-        .groupBy("provider", "i.instance_type", "i.hourly_price")
-        .agg(F.count(F.lit(1)).alias("runs"))
-    )
+    best = fitting_runs(jobs(t), catalog, 1, F.col("provider"), tie="position").select(F.col("best")[0].alias("i"))
+    used = best.groupBy("i.provider", "i.instance_type", "i.hourly_price").agg(F.count(F.lit(1)).alias("runs"))
     return used.join(F.broadcast(cat.regions(t.spark)), "provider").select(
         "provider", "instance_type", "region", "runs",
         cost.regional_price(F.col("hourly_price"), F.col("region_factor")).alias("price"),
@@ -486,14 +521,14 @@ def _(t):
     return cost.frontier(jobs(t), cost.run_shape().hours).select("app_id", F.col("place").cast("long"), "scale")
 
 
-@priced(
+@with_catalogs(
     "cost_17_compare_instance_types",
     f"""SELECT app_id, place - 1 AS place, instance_type, {r('hourly_price * num_executors * hours', 4)} AS total_cost FROM (
       SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY hourly_price, position) AS place FROM fits
       WHERE provider = own_provider) x WHERE place <= 10""",
 )
-def _(t):
-    out = cost.instance_comparison(jobs(t), cost.run_shape().hours, F.col("provider"))
+def _(t, catalog):
+    out = cost.instance_comparison(jobs(t), catalog, cost.run_shape().hours, F.col("provider"), tie="position")
     return out.select("app_id", F.col("place").cast("long"), "instance_type", "total_cost")
 
 
@@ -719,38 +754,13 @@ def _(t):
     return fit.select("provider", "instance_type", "hourly_price").orderBy("provider", "hourly_price", "instance_type")
 
 
-_IMPORTED = """
-SELECT p_partkey AS line, CASE p_partkey % 3 WHEN 0 THEN 'aws' WHEN 1 THEN 'gcp' ELSE 'azure' END AS provider,
-  CASE WHEN p_size < 3 THEN NULL WHEN p_size < 10 THEN 'm5.large' ELSE lower(p_brand) || '-' || CAST(p_size AS VARCHAR) END
-    AS instance_type, CAST(p_size AS BIGINT) AS vcpus, p_size * 4e0 AS memory_gb, p_retailprice / 1000 AS hourly_price
-FROM part"""
-
-
-def imported_prices(t):
-    return t.raw("part").select(
-        F.col("p_partkey").alias("line"),
-        F.expr("CASE p_partkey % 3 WHEN 0 THEN 'aws' WHEN 1 THEN 'gcp' ELSE 'azure' END").alias("provider"),
-        F.expr(
-            "CASE WHEN p_size < 3 THEN NULL WHEN p_size < 10 THEN 'm5.large'"
-            " ELSE concat(lower(p_brand), '-', CAST(p_size AS STRING)) END"
-        ).alias("instance_type"),
-        F.col("p_size").cast("int").alias("vcpus"),
-        (F.col("p_size") * F.lit(4.0)).alias("memory_gb"),
-        (F.col("p_retailprice") / 1000).alias("hourly_price"),
-    )
-
-
 @priced(
     "set_05_catalog_merge",
-    """SELECT provider, instance_type, vcpus, memory_gb, hourly_price FROM (
-      SELECT *, row_number() OVER (PARTITION BY provider, instance_type ORDER BY line DESC) AS n FROM (
-        SELECT -1 AS line, provider, instance_type, vcpus, memory_gb, hourly_price FROM prices
-        UNION ALL SELECT * FROM imported WHERE instance_type IS NOT NULL AND hourly_price >= 0) u) x WHERE n = 1""",
+    _MERGED,
     {"imported": _IMPORTED},
 )
 def _(t):
-    merged = cost.merge_catalog(cat.prices(t.spark), imported_prices(t), "line")
-    return merged.withColumn("vcpus", F.col("vcpus").cast("long"))
+    return merged_prices(t).withColumn("vcpus", F.col("vcpus").cast("long"))
 
 
 @priced(

@@ -11,8 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_LITERAL_ROWS = 2000
-
 # instance_type, provider, vcpus, memory_gb, hourly_price, local_storage_gb
 PRICES = [
     ("m5.large", "aws", 2, 8.0, 0.096, 0),
