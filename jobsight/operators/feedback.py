@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobsight.operators.ordered import with_running
+from jobsight.operators.ordered import equi_depth, with_running
+from jobsight.session import stored
 
 # Metrics that are better when lower; smallest sample, full sample, least confidence of a pattern
 LOWER = ["duration", "cost", "gc_time", "latency"]
@@ -138,24 +139,74 @@ def undominated(patterns: DataFrame, key: str) -> DataFrame:
     )
 
 
+def learn_conditions(observed: DataFrame, key: str, order: Column) -> DataFrame:
+    """(key, conditions): one condition per metric of the pattern's feedback, each from the first observation of it."""
+    first = inferred_condition(F.col("metric_name"), F.col("metric_before"))
+    each = observed.groupBy(key, "metric_name").agg(F.min_by(first, order).alias("condition"))
+    return each.groupBy(key).agg(F.array_sort(F.collect_list("condition")).alias("conditions"))
+
+
+def _steps(points: DataFrame, conditions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Thresholds of every (metric, operator) in order from the one that is met first, and how many each value meets.
+
+    ``points`` are (metric, value), ``conditions`` (metric, operator, threshold). Returns (metric, operator, threshold, step)
+    and (metric, value, operator, passed): the condition holds where passed >= step, for eq where they are equal and for
+    neq where they are not. Values and thresholds are put into one order, in blocks of bounded size; a value meets what
+    lies before it, so no value is compared with a threshold.
+    """
+    wanted = conditions.select("metric", "operator", "threshold").distinct()
+    kinds = wanted.select("metric", "operator").distinct()
+    asked = points.select("metric", "value").filter("value IS NOT NULL").distinct().join(kinds, "metric")
+    sign = F.when(F.col("operator").isin("lt", "lte"), -1.0).otherwise(1.0)
+    # A value equal to a threshold comes before it where equality does not meet the condition.
+    late = F.col("operator").isin("gt", "lt")
+    thresholds = wanted.select("metric", "operator", F.col("threshold").alias("own"), (F.col("threshold") * sign).alias("at"), F.when(late, 2).otherwise(0).alias("tie"), F.lit(1).alias("is_threshold"))
+    values = asked.select("metric", "operator", F.col("value").alias("own"), (F.col("value") * sign).alias("at"), F.lit(1).alias("tie"), F.lit(0).alias("is_threshold"))
+    both = equi_depth(thresholds.unionByName(values), ["metric", "operator"], "at")
+    placed = with_running(both.drop("_rows"), ["metric", "operator"], F.col("_depth"), ["at", "tie"], {"passed": ("sum", F.col("is_threshold"))})
+    placed = stored(placed.drop("_depth"), "steps")
+    steps = placed.filter("is_threshold = 1").select("metric", "operator", F.col("own").alias("threshold"), F.col("passed").alias("step"))
+    passed = placed.filter("is_threshold = 0").select("metric", F.col("own").alias("value"), "operator", "passed")
+    equal = steps.select("metric", "operator", F.col("threshold").alias("value"), F.lit(True).alias("met_equal"))
+    passed = passed.join(equal, ["metric", "operator", "value"], "left")
+    exact = F.col("operator").isin("eq", "neq")
+    return steps, passed.select("metric", "value", "operator", F.when(exact & F.col("met_equal").isNull(), 0).otherwise(F.col("passed")).alias("passed"))
+
+
+def matched(metrics: DataFrame, patterns: DataFrame, key: str, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """Patterns all of whose conditions hold, by relational division: (cell, key) pairs, and (id, cell) of every row.
+
+    ``metrics`` has an id and a map of metrics, ``patterns`` a key and ``conditions``, an array of (metric, operator,
+    threshold). Rows whose metrics meet the same thresholds are one cell, so patterns are matched with cells and not with
+    rows. A metric that a row lacks meets no condition; a pattern without conditions fits every row.
+    """
+    conditions = patterns.select(F.col(key), F.size("conditions").alias("_needed"), F.inline("conditions")).distinct()
+    points = metrics.select(id_column, F.explode("metrics").alias("metric", "value")).filter("value IS NOT NULL")
+    steps, passed = _steps(points, conditions)
+    ranked = conditions.join(steps, ["metric", "operator", "threshold"])
+    met = points.join(passed, ["metric", "value"])
+    own = met.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct("metric", "operator", "passed"))).alias("cell"))
+    empty = F.array().cast(own.schema["cell"].dataType)
+    cells = stored(metrics.select(id_column).join(own, id_column, "left").withColumn("cell", F.coalesce("cell", empty)), "cells")
+    different = cells.select("cell").distinct()
+    operator, passes, step = F.col("operator"), F.col("passed"), F.col("step")
+    hold = F.when(operator == "eq", passes == step).when(operator == "neq", passes != step).otherwise(passes >= step)
+    pairs = different.select("cell", F.inline("cell")).join(ranked, ["metric", "operator"]).filter(hold)
+    full = pairs.groupBy("cell", key, "_needed").agg(F.count(F.lit(1)).alias("_met")).filter("_met = _needed").select("cell", key)
+    always = patterns.filter(F.size("conditions") == 0).agg(F.collect_list(key).alias("_keys")).select("_keys", F.lit(1).alias("_one"))
+    every = different.withColumn("_one", F.lit(1)).join(always, "_one").select("cell", F.explode("_keys").alias(key))
+    return full.unionByName(every), cells
+
+
 def recommend(metrics: DataFrame, patterns: DataFrame, key: str, id_column: str) -> DataFrame:
     """Best usable pattern for every row of metrics (id, metrics map): all its conditions must hold.
 
-    Conditions are matched by metric name; a pattern with several conditions fits when each of them found its match.
+    Patterns of one condition that a weaker and better one always beats are left out first; the rest is matched with
+    cells of rows, and every cell has one best pattern.
     """
-    conditions = undominated(patterns, key).select(
-        F.col(key).alias("_pattern"), "confidence", F.array("condition").alias("_conditions")
-    )
-    needed = conditions.select(
-        "_pattern", "confidence", F.size("_conditions").alias("_needed"), F.inline("_conditions")
-    )
-    points = metrics.select(id_column, F.explode("metrics").alias("metric", "value"))
-    met = points.join(needed, "metric").filter(holds(F.col("operator"), F.col("value"), F.col("threshold")))
-    full = met.groupBy(id_column, "_pattern", "confidence", "_needed").agg(F.count(F.lit(1)).alias("_met"))
-    best = F.min(F.struct((-F.col("confidence")).alias("c"), F.col("_pattern").alias("p")))
-    return (
-        full.filter(F.col("_met") == F.col("_needed"))
-        .groupBy(id_column)
-        .agg(best.alias("_b"))
-        .select(id_column, F.col("_b.p").alias(key), (-F.col("_b.c")).alias("confidence"))
-    )
+    if "conditions" not in patterns.columns:
+        patterns = undominated(patterns, key).withColumn("conditions", F.array("condition"))
+    pairs, cells = matched(metrics, patterns, key, id_column)
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), F.col(key).alias("p"))).alias("_b")
+    answers = pairs.join(patterns.select(key, "confidence"), key).groupBy("cell").agg(best)
+    return cells.join(answers, "cell").select(id_column, F.col("_b.p").alias(key), (-F.col("_b.c")).alias("confidence"))

@@ -23,6 +23,24 @@ def block_of(ms: Column | str, width_ms: int = DAY_MS) -> Column:
     return F.floor(c / F.lit(width_ms)).cast("long")
 
 
+#: Quantiles of a key's rows that bound its blocks, and rows up to which a key is one block.
+QUANTILES, WHOLE_ROWS = 256, 20_000
+
+
+def equi_depth(df: DataFrame, keys: Sequence[str], by: str, whole: int = WHOLE_ROWS) -> DataFrame:
+    """Add ``_depth``, ascending blocks of ``by`` within the keys with about as many rows each: a key with more than
+    ``whole`` rows is cut at its quantiles, whatever the distance between its values; equal values stay together."""
+    keys = list(keys)
+    shares = [i / QUANTILES for i in range(1, QUANTILES)]
+    value = F.col(by).cast("double")
+    bounds = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.percentile_approx(value, shares, 4 * QUANTILES).alias("_cuts"))
+    bounds = bounds.filter(F.col("_rows") > whole).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.array_distinct("_cuts").alias("_cuts"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    rows = df.join(bounds, same, "left")
+    depth = F.coalesce(F.size(F.filter("_cuts", lambda c: c < value)), F.lit(0))
+    return rows.withColumn("_depth", F.when(F.col("_cuts").isNull(), 0).otherwise(depth)).drop("_cuts", *[f"_k{i}" for i in range(len(keys))])
+
+
 def with_previous(
     df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], columns: Sequence[str], name: str
 ) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobsight.functions.numeric import half_even, ratio
+from jobsight.functions.numeric import half_even, long_sum, ratio
 from jobsight.operators import cost, feedback, tuning
 from jobsight.operators.ordered import block_of
 from jobsight.plans.costs import COST_SQL
 from jobsight.plans.diagnosis import jobs, r
 from jobsight.plans.registry import query
-from jobsight.session import shared_dir
+from jobsight.session import shared_dir, stored
 from jobsight.sources import sinks
 from jobsight.streaming import feeds, processors
 
@@ -603,20 +603,58 @@ def _(t):
     return out.withColumn("confidence", half_even("confidence", 6))
 
 
+# Patterns with a condition for every metric that their feedback was about.
+_EACH = """
+SELECT config_key, metric_name AS metric, arg_min(metric_before, (ts_ms, session_id, part_key)) AS before FROM scored GROUP BY ALL"""
+_ALL_CONDITIONS = f"""
+SELECT e.config_key, confidence, e.metric, CASE WHEN e.metric IN ('duration', 'cost') THEN 'gt' ELSE 'lt' END AS operator,
+  CASE WHEN e.metric IN ('duration', 'cost') THEN e.before * 0.8e0 ELSE e.before * 1.2e0 END AS threshold,
+  COUNT(*) OVER (PARTITION BY e.config_key) AS needed
+FROM each e JOIN patterns p USING (config_key) WHERE samples >= 5 AND confidence >= {_LEAST}"""
+_FULLY_MET = """
+SELECT app_key, config_key, ANY_VALUE(confidence) AS confidence, ANY_VALUE(needed) AS needed FROM (
+  SELECT app_key, 'duration' AS metric, duration_ms / 1000e0 AS value FROM order_info
+  UNION ALL SELECT app_key, 'throughput', num_executors * 2000e0 FROM order_info
+  UNION ALL SELECT app_key, 'cost', executor_cores * 3000e0 FROM order_info) j
+JOIN all_conditions c USING (metric) WHERE CASE operator WHEN 'gt' THEN value > threshold ELSE value < threshold END
+GROUP BY app_key, config_key HAVING COUNT(*) = ANY_VALUE(needed)"""
+_DIVIDED = {**FEEDBACK_SQL, "each": _EACH, "all_conditions": _ALL_CONDITIONS, "fully_met": _FULLY_MET}
+
+
+def _with_conditions(t):
+    seen = observed(t)
+    good = feedback.usable(feedback.learn(seen, "config_key", F.struct(*FIRST)), min_confidence=_LEAST)
+    return stored(good.join(feedback.learn_conditions(seen, "config_key", F.struct(*FIRST)), "config_key"), "patterns")
+
+
 @query(
     "join_08_metrics_to_patterns",
-    """SELECT metric, COUNT(*) AS runs FROM (SELECT DISTINCT app_key, metric FROM met JOIN patterns USING (config_key)) x GROUP BY metric""",
-    {**FEEDBACK_SQL, "met": _MET},
+    """SELECT config_key, ANY_VALUE(needed) AS conditions, COUNT(*) AS runs FROM fully_met GROUP BY config_key""",
+    _DIVIDED,
 )
 def _(t):
-    """Runs that meet the weakest usable condition on a metric, so at least one pattern fits them."""
-    good = feedback.usable(patterns(t), min_confidence=_LEAST)
-    points = _live_metrics(t).select("app_key", F.explode("metrics").alias("metric", "value"))
-    weakest = good.select("condition.*").groupBy("metric", "operator").agg(
-        F.when(F.first("operator") == "gt", F.min("threshold")).otherwise(F.max("threshold")).alias("threshold")
-    )
-    met = points.join(weakest, "metric").filter(feedback.holds(F.col("operator"), F.col("value"), F.col("threshold")))
-    return met.groupBy("metric").agg(F.count_distinct("app_key").alias("runs"))
+    """Patterns all of whose conditions hold, with the number of runs they fit."""
+    rules = _with_conditions(t)
+    pairs, cells = feedback.matched(_live_metrics(t), rules, "config_key", "app_key")
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    counts = pairs.join(sizes, "cell").groupBy("config_key").agg(long_sum("n").alias("runs"))
+    return counts.join(rules.select("config_key", F.size("conditions").cast("long").alias("conditions")), "config_key")
+
+
+@query(
+    "join_08_best_pattern_of_all_conditions",
+    f"""SELECT app_key, COUNT(*) AS patterns, arg_min(config_key, (-confidence, config_key)) AS config_key, {r('MAX(confidence)')} AS confidence
+    FROM fully_met GROUP BY app_key""",
+    _DIVIDED,
+)
+def _(t):
+    """How many patterns fit a run, and the best of them."""
+    rules = _with_conditions(t)
+    metrics = _live_metrics(t)
+    pairs, cells = feedback.matched(metrics, rules, "config_key", "app_key")
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), "config_key")).alias("b")
+    found = pairs.join(rules.select("config_key", "confidence"), "config_key").groupBy("cell").agg(F.count(F.lit(1)).alias("patterns"), best)
+    return cells.join(found, "cell").select("app_key", "patterns", "b.config_key", half_even(-F.col("b.c"), 6).alias("confidence"))
 
 
 @learned("snk_08_pattern_export_import", f"SELECT config_key, success_count, {r('confidence')} AS confidence, operator FROM conditions")
