@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobsight.operators.ordered import equi_depth, with_running
+from jobsight.operators.ordered import with_running
 from jobsight.session import stored
 
 # Metrics that are better when lower; smallest sample, full sample, least confidence of a pattern
@@ -92,7 +92,7 @@ def statistics(observed: DataFrame, patterns: DataFrame, min_confidence: float =
     return facts.select("*", one).join(learned.select("*", one), "_one").drop("_one").fillna(0.0)
 
 
-def running_improvement(observed: DataFrame, key: str, order: list[str], block: Column) -> DataFrame:
+def running_improvement(observed: DataFrame, key: str, order: list[str], block: Column | None = None) -> DataFrame:
     """Mean improvement of a pattern after every observation; stays parallel when one pattern is very common."""
     rows = with_running(
         observed,
@@ -162,9 +162,8 @@ def _steps(points: DataFrame, conditions: DataFrame) -> tuple[DataFrame, DataFra
     late = F.col("operator").isin("gt", "lt")
     thresholds = wanted.select("metric", "operator", F.col("threshold").alias("own"), (F.col("threshold") * sign).alias("at"), F.when(late, 2).otherwise(0).alias("tie"), F.lit(1).alias("is_threshold"))
     values = asked.select("metric", "operator", F.col("value").alias("own"), (F.col("value") * sign).alias("at"), F.lit(1).alias("tie"), F.lit(0).alias("is_threshold"))
-    both = equi_depth(thresholds.unionByName(values), ["metric", "operator"], "at")
-    placed = with_running(both.drop("_rows"), ["metric", "operator"], F.col("_depth"), ["at", "tie"], {"passed": ("sum", F.col("is_threshold"))})
-    placed = stored(placed.drop("_depth"), "steps")
+    placed = with_running(thresholds.unionByName(values), ["metric", "operator"], None, ["at", "tie"], {"passed": ("sum", F.col("is_threshold"))})
+    placed = stored(placed, "steps")
     steps = placed.filter("is_threshold = 1").select("metric", "operator", F.col("own").alias("threshold"), F.col("passed").alias("step"))
     passed = placed.filter("is_threshold = 0").select("metric", F.col("own").alias("value"), "operator", "passed")
     equal = steps.select("metric", "operator", F.col("threshold").alias("value"), F.lit(True).alias("met_equal"))

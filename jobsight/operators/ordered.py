@@ -2,7 +2,8 @@
 
 A window partitioned by the key alone puts a hot key into one task. Here the
 window is partitioned by key and block, a block being a coarse step of the
-order (a day, say). The blocks of a key are summed up to one row each, the
+order (a day, say) or, where none is given, one of the blocks of about as many
+rows each into which a hot key is cut. The blocks of a key are summed up to one row each, the
 carry from earlier blocks is computed over those few rows, and joined back on
 the same (key, block) the rows are already partitioned by.
 """
@@ -41,12 +42,18 @@ def equi_depth(df: DataFrame, keys: Sequence[str], by: str, whole: int = WHOLE_R
     return rows.withColumn("_depth", F.when(F.col("_cuts").isNull(), 0).otherwise(depth)).drop("_cuts", *[f"_k{i}" for i in range(len(keys))])
 
 
+def _in_blocks(df: DataFrame, keys: Sequence[str], block: Column | None, order: Sequence[str]) -> DataFrame:
+    if block is not None:
+        return df.withColumn("_block", block)
+    return equi_depth(df, keys, order[0]).withColumnRenamed("_depth", "_block")
+
+
 def with_previous(
-    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], columns: Sequence[str], name: str
+    df: DataFrame, keys: Sequence[str], block: Column | None, order: Sequence[str], columns: Sequence[str], name: str
 ) -> DataFrame:
     """Add struct ``name`` holding ``columns`` of the row before, within the key; null on the first row."""
     keys = list(keys)
-    rows = df.withColumn("_block", block)
+    rows = _in_blocks(df, keys, block, order)
     value = F.struct(*columns)
     last = rows.groupBy(*keys, "_block").agg(F.max_by(value, F.struct(*order)).alias("_last"))
     carried = last.select(
@@ -73,14 +80,14 @@ _COMBINE = {
 def with_running(
     df: DataFrame,
     keys: Sequence[str],
-    block: Column,
+    block: Column | None,
     order: Sequence[str],
     running: dict[str, tuple[str, Column]],
     inclusive: bool = True,
 ) -> DataFrame:
     """Add running aggregates, each given as name -> (sum | min | max, value), up to the row, with it or without."""
     keys = list(keys)
-    rows = df.withColumn("_block", block)
+    rows = _in_blocks(df, keys, block, order)
     totals = rows.groupBy(*keys, "_block").agg(*[_COMBINE[k][0](v).alias(f"_t_{n}") for n, (k, v) in running.items()])
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(

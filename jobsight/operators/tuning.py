@@ -258,7 +258,7 @@ def run_sessions(
     )
 
 
-def running_best(iterations: DataFrame, order: Sequence[str], block: Column) -> DataFrame:
+def running_best(iterations: DataFrame, order: Sequence[str], block: Column | None = None) -> DataFrame:
     """Best target value up to and before every row of a session, for sessions of any length."""
     rows = iterations.filter(F.col("target").isNotNull()).withColumn("_lower", lower_is_better(F.col("target_metric")))
     both = {"_lo": ("min", F.col("target")), "_hi": ("max", F.col("target"))}
@@ -296,7 +296,7 @@ def session_status(events: DataFrame, key: str = "session") -> DataFrame:
     )
 
 
-def session_starts(events: DataFrame, key: str, order: Sequence[str], block: Column) -> DataFrame:
+def session_starts(events: DataFrame, key: str, order: Sequence[str], block: Column | None = None) -> DataFrame:
     """Start events that open a session: one that comes while an active session exists is answered by that one."""
     place = F.struct(*order)
 
@@ -375,7 +375,7 @@ def suggest_related(configs: DataFrame) -> DataFrame:
 CHUNK = 2000
 
 
-def replay(changes: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column) -> DataFrame:
+def replay(changes: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None = None) -> DataFrame:
     """Change log with ``old_value`` and ``new_value`` for increase, decrease, set and reset requests.
 
     ``changes`` has action, amount and the constraint columns of its parameter. A request maps a value x to

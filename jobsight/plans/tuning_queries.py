@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobsight.functions.numeric import half_even, long_sum, ratio
 from jobsight.operators import cost, feedback, tuning
-from jobsight.operators.ordered import block_of
+from jobsight.operators.ordered import with_running
 from jobsight.plans.costs import COST_SQL
 from jobsight.plans.diagnosis import jobs, r
 from jobsight.plans.registry import query
@@ -166,7 +165,7 @@ _W = "(PARTITION BY session ORDER BY seq, tie ROWS BETWEEN UNBOUNDED PRECEDING A
     recursive=False,
 )
 def _(t):
-    out = tuning.running_best(iterations(t), ORDER, block_of("seq", 30 * 86_400_000))
+    out = tuning.running_best(iterations(t), ORDER)
     return out.select("session", "tie", half_even("best_so_far", 6).alias("best_so_far"))
 
 
@@ -180,11 +179,10 @@ def _(t):
     recursive=False,
 )
 def _(t):
-    rows = tuning.running_best(iterations(t), ORDER, block_of("seq", 30 * 86_400_000))
+    rows = tuning.running_best(iterations(t), ORDER)
     hit = rows.withColumn("hit", tuning.converges())
-    place = F.row_number().over(W.partitionBy("session").orderBy(*ORDER))
     return (
-        hit.withColumn("i", place)
+        with_running(hit, ["session"], None, ORDER, {"i": ("sum", F.lit(1))})
         .groupBy("session")
         .agg(F.min(F.when(F.col("hit"), F.col("i"))).cast("long").alias("first_hit"), F.count_if("hit").alias("hits"))
     )
@@ -277,7 +275,7 @@ def session_events(t):
     {"session_events": _EVENTS},
 )
 def _(t):
-    out = tuning.session_starts(session_events(t), "session", ["start_ms", "event"], block_of("start_ms", 30 * 86_400_000))
+    out = tuning.session_starts(session_events(t), "session", ["start_ms", "event"])
     return out.select("session", "event")
 
 
@@ -435,7 +433,7 @@ def change_log(t):
     )
     limits = tuning.constraints(t.spark)
     typed = raw.join(F.broadcast(limits), "parameter")
-    return tuning.replay(typed, ["config", "parameter"], ["start_ms", "event"], block_of("start_ms", 30 * 86_400_000))
+    return tuning.replay(typed, ["config", "parameter"], ["start_ms", "event"])
 
 
 @query(
@@ -564,7 +562,7 @@ def _(t):
 )
 def _(t):
     out = feedback.running_improvement(
-        observed(t), "config_key", [*FIRST, "app_key"], block_of("ts_ms", 30 * 86_400_000)
+        observed(t), "config_key", [*FIRST, "app_key"]
     )
     return out.select(
         "config_key", "session_id", "part_key", "app_key", "ts_ms", "observations",
