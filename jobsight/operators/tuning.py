@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from jobsight.functions.numeric import clamp, collected, half_even
 from jobsight.operators.ordered import with_running
+from jobsight.session import stored
 
 # Parameter -> current, min, max, step, unit
 TUNABLE = {
@@ -372,16 +373,18 @@ def suggest_related(configs: DataFrame) -> DataFrame:
     )
 
 
-CHUNK = 2000
+#: Changes, or composed maps of changes, that a node of the tree has below it.
+CHUNK = 32
 
 
 def replay(changes: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None = None) -> DataFrame:
     """Change log with ``old_value`` and ``new_value`` for increase, decrease, set and reset requests.
 
     ``changes`` has action, amount and the constraint columns of its parameter. A request maps a value x to
-    min(high, max(low, x + shift)); such maps compose to one of the same form. The requests of a key are numbered,
-    cut into chunks of fixed size, every chunk is composed to one map, and the value at the start of each chunk
-    follows from the maps before it. So a key with very many requests is worked on in many tasks.
+    min(high, max(low, x + shift)); such maps compose to one of the same form. So the requests of a key are the leaves of
+    a tree: every ``CHUNK`` neighbours are composed to one map, these again, up to one root, and on the way down every
+    node hands each of its children the value that it starts from. No array is longer than ``CHUNK``, and a key with very
+    many requests is worked on in many tasks, in as many rounds as its tree has levels.
     """
     keys = list(keys)
     a = F.col("action")
@@ -398,12 +401,7 @@ def replay(changes: DataFrame, keys: Sequence[str], order: Sequence[str], block:
             "_high": F.coalesce(fixed, F.col("max_value"), F.lit(float("inf"))),
         }
     )
-    numbered = with_running(rows, keys, block, order, {"_no": ("sum", F.lit(1))})
-    chunked = numbered.withColumn("_chunk", F.floor((F.col("_no") - 1) / CHUNK).cast("long"))
-    fn = lambda r: F.struct(r["_shift"].alias("s"), r["_low"].alias("l"), r["_high"].alias("h"))
-    identity = F.struct(
-        F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("l"), F.lit(float("inf")).alias("h")
-    )
+    identity = F.struct(F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("l"), F.lit(float("inf")).alias("h"))
 
     def apply(f: Column, x: Column) -> Column:
         return F.least(f["h"], F.greatest(f["l"], x + f["s"]))
@@ -413,38 +411,32 @@ def replay(changes: DataFrame, keys: Sequence[str], order: Sequence[str], block:
         return F.struct((f["s"] + g["s"]).alias("s"), apply(g, f["l"]).alias("l"), apply(g, f["h"]).alias("h"))
 
     payload = [c for c in changes.columns if c not in keys]
-    grouped = chunked.groupBy(*keys, "_chunk").agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.col("_no"), F.col("_shift"), F.col("_low"), F.col("_high"), F.struct(*payload).alias("_row")))
-        ).alias("_rows")
-    )
-    grouped = grouped.withColumn("_map", F.aggregate("_rows", identity, lambda f, r: after(f, fn(r))))
-    maps = grouped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_map"))).alias("_maps"))
-    # a value never set counts as zero
-    starts = maps.withColumn(
-        "_states",
-        F.aggregate(
-            "_maps",
-            F.array(F.lit(0.0)),
-            lambda xs, m: F.array_append(xs, apply(m["_map"], F.element_at(xs, -1))),
-        ),
-    ).select(*keys, F.posexplode("_states").alias("_chunk", "_start"))
-    opened = grouped.join(starts.withColumn("_chunk", F.col("_chunk").cast("long")), [*keys, "_chunk"])
-    values = F.aggregate(
-        "_rows",
-        F.array(F.col("_start")),
-        lambda xs, r: F.array_append(xs, apply(fn(r), F.element_at(xs, -1))),
-    )
-    out = opened.select(*keys, "_rows", values.alias("_values")).select(
-        *keys, F.posexplode("_rows").alias("_i", "_r"), "_values"
-    )
-    first = F.col("_r._no") == 1
-    return out.select(
-        *keys,
-        "_r._row.*",
-        F.when(~first, F.get("_values", F.col("_i"))).alias("old_value"),
-        F.get("_values", F.col("_i") + 1).alias("new_value"),
-    )
+    numbered = with_running(rows, keys, block, order, {"_no": ("sum", F.lit(1))})
+    own = F.struct(F.col("_shift").alias("s"), F.col("_low").alias("l"), F.col("_high").alias("h"))
+    level = stored(numbered.select(*keys, (F.col("_no") - 1).alias("_at"), own.alias("_f"), F.struct(*payload).alias("_row")), "changes")
+    most, nodes = (level.agg(F.max("_at")).first()[0] or 0) + 1, []
+    while not nodes or most > 1:
+        child = F.struct("_at", "_f", *(["_row"] if not nodes else []))
+        above = level.groupBy(*keys, F.floor(F.col("_at") / CHUNK).cast("long").alias("_up")).agg(F.array_sort(F.collect_list(child)).alias("_below"))
+        nodes.append(stored(above.withColumn("_f", F.aggregate("_below", identity, lambda f, c: after(f, c["_f"]))), "changes"))
+        level, most = nodes[-1].select(*keys, F.col("_up").alias("_at"), "_f"), -(-most // CHUNK)
+    # A value never set counts as zero.
+    starts = nodes[-1].select(*keys, "_up", F.lit(0.0).alias("_start"))
+    for depth, node in reversed(list(enumerate(nodes))):
+
+        def start_of(child: Column, place: Column) -> Column:
+            begun = F.aggregate(F.slice("_below", F.lit(1), place), F.col("_start"), lambda x, c: apply(c["_f"], x))
+            return F.struct(child.alias("c"), begun.alias("x"))
+
+        opened = node.join(starts, [*keys, "_up"]).select(*keys, F.explode(F.transform("_below", start_of)).alias("_n"))
+        starts = opened.select(*keys, F.col("_n.c._at").alias("_up"), F.col("_n.x").alias("_start"))
+        if depth == 0:
+            return opened.select(
+                *keys,
+                "_n.c._row.*",
+                F.when(F.col("_n.c._at") > 0, F.col("_n.x")).alias("old_value"),
+                apply(F.col("_n.c._f"), F.col("_n.x")).alias("new_value"),
+            )
 
 
 def rollback(log: DataFrame, config: str, order: Sequence[str], steps: int) -> DataFrame:

@@ -120,6 +120,29 @@ def test_replay_in_small_chunks(spark, monkeypatch):
     assert [(r["old_value"], r["new_value"]) for r in out] == seen
 
 
+def test_replay_of_a_hot_key(spark):
+    n = 300_000
+    actions = F.array(*[F.lit(a) for a in ("increase", "decrease", "increase", "set", "increase", "reset", "decrease")])
+    rows = spark.range(n).select(
+        F.lit(1).alias("c"),
+        F.col("id").alias("ms"),
+        F.when(F.col("id") % 1009 == 0, "set").otherwise(F.get(actions, F.pmod(F.xxhash64("id"), F.when(F.col("id") % 50 == 0, 7).otherwise(3)).cast("int"))).alias("action"),
+        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(30)).cast("double").alias("amount"),
+        F.lit("integer").alias("type"),
+        F.lit(0.0).alias("min_value"),
+        F.lit(400.0).alias("max_value"),
+        F.lit(10.0).alias("default_value"),
+    )
+    got = {r.ms: (r.old_value, r.new_value) for r in tuning.replay(rows, ["c"], ["ms"]).collect()}
+    value = None
+    for r in rows.orderBy("ms").toLocalIterator():
+        base, step = value or 0.0, r.amount or 1.0
+        new = {"increase": base + step, "decrease": base - step, "set": r.amount, "reset": 10.0}[r.action]
+        old, value = value, min(400.0, max(0.0, new))
+        assert got[r.ms] == (old, value)
+    assert len(got) == n
+
+
 def test_salted_join_and_join_size(spark, hot):
     other = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3)], "k string, w int")
     plain = hot.join(other, "k")
