@@ -6,15 +6,18 @@ larger distinct sizes. Every distinct size gets its global rank, a request
 looks up 2k ranks, and no pair beyond those is ever formed, however many runs
 share a size.
 
-``top_similar`` ranks by a score over several columns against a set of targets.
-Each task keeps only its best k per target, so the shuffle carries targets x k
-rows per task. Targets travel to the tasks in chunks of bounded size.
+``top_similar`` ranks by a score over several columns against a table of targets.
+Candidates lie in blocks and targets in chunks along one number of theirs, the
+lead. A chunk first meets the block around its own leads, which gives every
+target a k-th best score; then only the blocks that could hold a better one,
+by a bound on the score from the leads. Nothing but block counts reaches the
+driver, and every task holds one block and one chunk.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,8 @@ from pyspark.sql import types as T
 from jobsight.functions.similarity import DEFAULT_WEIGHTS, magnitude_similarity
 from jobsight.session import stored
 
-MAX_TARGETS_PER_PASS = 1000
+#: Targets of a chunk, candidates of a block, and meetings up to which bounds would cost more rounds than they save.
+MAX_TARGETS_PER_PASS, BLOCK_ROWS, FEW_MEETINGS = 1000, 16_384, 64
 
 
 def _bucket(column: str, bounds: Sequence[float]) -> Column:
@@ -158,7 +162,18 @@ WEIGHTED_COLUMNS = [
 ]
 
 
-Scorer = Callable[[pd.DataFrame], Callable[[dict], np.ndarray]]
+@dataclass(frozen=True)
+class Scorer:
+    """A score of candidates for a target, and what it can be at most.
+
+    ``prepare`` takes a batch of candidates and returns the scores of all of them for one target. ``lead`` is the number
+    along which rows are dealt out, and ``bound(x, low, high)`` at least the score of a target with lead x for any
+    candidate with a lead from low to high.
+    """
+
+    prepare: Callable[[pd.DataFrame], Callable[[dict], np.ndarray]]
+    lead: Column
+    bound: Callable[[float, float, float], float]
 
 
 def weighted_scores(weights: dict[str, float] | None = None) -> Scorer:
@@ -194,7 +209,14 @@ def weighted_scores(weights: dict[str, float] | None = None) -> Scorer:
 
         return score
 
-    return prepare
+    def bound(x: float, low: float, high: float) -> float:
+        # Only the size is bounded; everything else may agree.
+        nearest = min(max(x, low), high)
+        small, large = min(x, nearest), max(x, nearest)
+        ratio = 1.0 if large == small else small / large
+        return 1.0 - w["input_size"] * (1.0 - ratio) / sum(w.values())
+
+    return Scorer(prepare, F.col("input_bytes").cast("double"), bound)
 
 
 def vector_scores(method: str = "cosine") -> Scorer:
@@ -214,7 +236,17 @@ def vector_scores(method: str = "cosine") -> Scorer:
 
         return score
 
-    return prepare
+    def bound(x: float, low: float, high: float) -> float:
+        # Vectors are no nearer than their lengths are; directions are not bounded by lengths.
+        return 1.0 / (1.0 + max(low - x, x - high, 0.0)) if method == "euclidean" else np.inf
+
+    square = F.aggregate(F.transform("vector", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x)
+    return Scorer(prepare, F.sqrt(square), bound)
+
+
+def _along(rows: DataFrame, lead: Column, key: str, parts: int, name: str) -> DataFrame:
+    """``rows`` with ``lead`` and ``name``, the number of one of ``parts`` ranges of it."""
+    return stored(rows.withColumn("lead", lead).repartitionByRange(parts, "lead", key).withColumn(name, F.spark_partition_id()), name)
 
 
 def top_similar(
@@ -228,55 +260,89 @@ def top_similar(
 ) -> DataFrame:
     """(target, candidate, score, place): the k best candidates of every target, itself left out.
 
-    Scores are rounded before they are ranked, ties go to the smallest key.
+    Scores are rounded before they are ranked, ties go to the smallest key. A row without a lead is bounded by nothing.
     """
-    # counted and read once per pass, so it is not worked out again each time
-    wanted = stored(targets.select(key, *columns), "targets")
-    passes = max(1, math.ceil(wanted.count() / MAX_TARGETS_PER_PASS))
-    numbered = wanted.withColumn("_pass", F.pmod(F.xxhash64(key), F.lit(passes)))
     id_type = candidates.schema[key].dataType
-    schema = T.StructType(
-        [
-            T.StructField("target", id_type),
-            T.StructField("candidate", id_type),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    slim = candidates.select(key, *columns)
-    parts = []
-    for n in range(passes):
-        rows = [r.asDict() for r in numbered.filter(F.col("_pass") == n).drop("_pass").collect()]
-        if rows:
-            parts.append(slim.mapInPandas(_best_of_task(rows, score, k, key, digits), schema))
-    if not parts:
-        return candidates.sparkSession.createDataFrame([], schema.add("place", T.LongType()))
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionByName(p)
+    found = T.StructType([T.StructField("target", id_type), T.StructField("candidate", id_type), T.StructField("score", T.DoubleType())])
+    rows, wanted = stored(candidates.select(key, *columns), "candidates"), stored(targets.select(key, *columns), "targets")
+    n_blocks, n_chunks = max(1, -(-rows.count() // BLOCK_ROWS)), max(1, -(-wanted.count() // MAX_TARGETS_PER_PASS))
+    search = _best_of_block(score.prepare, score.bound, k, key, digits)
     order = W.partitionBy("target").orderBy(F.desc("score"), "candidate")
-    ranked = best.withColumn("place", F.row_number().over(order).cast("long"))
-    return ranked.filter(F.col("place") <= k)
-
-
-def _best_of_task(targets: list[dict], scorer: Scorer, k: int, key: str, digits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {t[key]: (np.empty(0, dtype=object), np.empty(0)) for t in targets}
-        for batch in batches:
-            if not len(batch):
-                continue
-            ids, score = batch[key].to_numpy(), scorer(batch)
-            for t in targets:
+    place = F.row_number().over(order).cast("long")
+    if n_blocks * n_chunks <= FEW_MEETINGS:
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        hashed = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        nothing = {c: F.lit(None).cast("double") for c in ("lead", "low", "high", "least")}
+        left = wanted.withColumns({"chunk": hashed(n_chunks), **nothing}).withColumn("block", each(n_blocks))
+        right = rows.withColumn("block", hashed(n_blocks)).withColumn("chunk", each(n_chunks))
+        best = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(search, found)
+        return best.withColumn("place", place).filter(F.col("place") <= k)
+    blocks, chunks = _along(rows, score.lead, key, n_blocks, "block"), _along(wanted, score.lead, key, n_chunks, "chunk")
+
+    def spans(rows: DataFrame, name: str) -> DataFrame:
+        open_end = F.count_if(F.col("lead").isNull() | F.isnan("lead")) > 0
+        low = F.when(open_end, float("-inf")).otherwise(F.min("lead"))
+        high = F.when(open_end, float("inf")).otherwise(F.max("lead"))
+        return rows.groupBy(name).agg(low.alias("low"), high.alias("high"))
+
+    # One row per block and per chunk: thousands of candidates to a row.
+    of_blocks = spans(blocks, "block").agg(F.collect_list(F.struct("block", "low", "high")).alias("_blocks")).withColumn("_one", F.lit(1))
+    middle = chunks.groupBy("chunk").agg(F.percentile_approx("lead", 0.5).alias("middle"))
+    meetings = middle.withColumn("_one", F.lit(1)).join(of_blocks, "_one").select("chunk", "middle", F.explode("_blocks").alias("b"))
+    meetings = stored(meetings.select("chunk", "middle", "b.block", "b.low", "b.high"), "meetings")
+    away = F.greatest(F.col("low") - F.col("middle"), F.col("middle") - F.col("high"), F.lit(0.0))
+    first = meetings.groupBy("chunk").agg(F.min_by("block", F.struct(F.coalesce(away, F.lit(0.0)), "block")).alias("block"))
+
+    def met(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+        left = asked.join(pairs, "chunk")
+        right = blocks.join(pairs.select("block", "chunk"), "block")
+        return left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(search, found)
+
+    ends = meetings.select("chunk", "block", "low", "high")
+    near = stored(met(ends.join(first, ["chunk", "block"]), chunks.withColumn("least", F.lit(None).cast("double"))), "near")
+    held = near.groupBy("target").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("least"))
+    asked = stored(chunks.join(held.withColumnRenamed("target", key), key, "left"), "asked")
+    # A chunk meets a block if one of its targets could find something better there.
+    reach = F.pandas_udf(_reaches(score.bound, digits), T.BooleanType())
+    others = asked.select("chunk", "lead", "least").join(ends.join(first, ["chunk", "block"], "left_anti"), "chunk")
+    open_pairs = others.filter(reach("lead", "low", "high", "least")).select("chunk", "block", "low", "high").distinct()
+    far = met(stored(open_pairs, "open"), asked)
+    return near.unionByName(far).withColumn("place", place).filter(F.col("place") <= k)
+
+
+def _may_reach(bound: Callable[[float, float, float], float], x: float, low: float, high: float, least: float, digits: int) -> bool:
+    """Can a target with lead x and a k-th best score find one as good from low to high? Ties count, as keys decide them."""
+    if not np.isfinite([x, low, high, least]).all():
+        return True
+    return bound(x, low, high) >= least - 10.0**-digits
+
+
+def _reaches(bound: Callable[[float, float, float], float], digits: int):
+    def reach(lead: pd.Series, low: pd.Series, high: pd.Series, least: pd.Series) -> pd.Series:
+        values = zip(*(c.to_numpy(dtype="float64", na_value=np.nan) for c in (lead, low, high, least)), strict=True)
+        return pd.Series([_may_reach(bound, *v, digits) for v in values])
+
+    return reach
+
+
+def _best_of_block(prepare: Callable, bound: Callable, k: int, key: str, digits: int):
+    """The k best of a block for each target of a chunk that may find something there."""
+
+    def run(targets: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(targets) and len(block):
+            ids, score = block[key].to_numpy(), prepare(block)
+            for t in targets.astype(object).where(targets.notna(), None).to_dict("records"):
+                numbers = [np.nan if t[c] is None else float(t[c]) for c in ("lead", "low", "high", "least")]
+                if not _may_reach(bound, *numbers, digits):
+                    continue
                 s = np.round(score(t), digits)
                 s[ids == t[key]] = -np.inf
                 # everything that ties with the k-th best stays in until the ids decide
                 cut = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                held_ids, held = best[t[key]]
-                near = np.flatnonzero((s >= cut) & (s > -np.inf))
-                all_ids, all_scores = np.append(held_ids, ids[near]), np.append(held, s[near])
-                order = np.lexsort((all_ids, -all_scores))[:k]
-                best[t[key]] = (all_ids[order], all_scores[order])
-        for target, (ids, scores) in best.items():
-            if len(ids):
-                yield pd.DataFrame({"target": target, "candidate": ids, "score": scores})
+                close = np.flatnonzero((s >= cut) & (s > -np.inf))
+                best = close[np.lexsort((ids[close], -s[close]))[:k]]
+                found.append(pd.DataFrame({"target": t[key], "candidate": ids[best], "score": s[best]}))
+        return pd.concat(found) if found else pd.DataFrame({"target": [], "candidate": [], "score": []}).astype({"target": block[key].dtype, "candidate": block[key].dtype})
 
     return run

@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -160,3 +161,40 @@ def test_top_similar_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "MAX_TARGETS_PER_PASS", 50)
     passes = neighbors.top_similar(df, df, ["vector"], neighbors.vector_scores(), k=3)
     assert passes.exceptAll(once).count() == 0 and passes.count() == 360
+
+
+@pytest.mark.parametrize("method", ["euclidean", "cosine"])
+def test_top_similar_in_blocks_is_all_pairs(spark, monkeypatch, method):
+    rng = np.random.default_rng(3)
+    vectors = [(rng.integers(1, 40) * rng.random(3)).tolist() for _ in range(90)]
+    rows = [(f"v{i:03d}", v) for i, v in enumerate(vectors + vectors[:30])]
+    df = spark.createDataFrame(rows, "app_id string, vector array<double>")
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(neighbors, "MAX_TARGETS_PER_PASS", 7)
+    monkeypatch.setattr(neighbors, "FEW_MEETINGS", 0)
+    got = {(r.target, r.place): (r.candidate, r.score) for r in neighbors.top_similar(df, df, ["vector"], neighbors.vector_scores(method), k=4).collect()}
+    m = np.array([v for _, v in rows])
+    unit = m / (np.sqrt((m * m).sum(axis=1, keepdims=True)) + 1e-10)
+    for i, (name, v) in enumerate(rows):
+        score = 1 / (1 + np.sqrt(((m - np.array(v)) ** 2).sum(axis=1))) if method == "euclidean" else unit @ unit[i]
+        best = sorted((-round(float(s), 9), rows[j][0]) for j, s in enumerate(score) if j != i)[:4]
+        for place, (s, other) in enumerate(best):
+            assert got[name, place + 1] == (other, pytest.approx(-s, abs=2e-9))
+
+
+def test_weighted_similarity_in_blocks(spark, monkeypatch):
+    rnd = random.Random(4)
+    columns = neighbors.WEIGHTED_COLUMNS
+    rows = []
+    for i in range(150):
+        row = {c: rnd.choice([None, 0, 1, 5, 100, 10**4, 10**9]) for c in columns}
+        row["app_name"] = rnd.choice([None, "daily etl", "daily report", "train"])
+        rows.append((f"a{i:03d}", *[row[c] for c in columns]))
+    types = ", ".join(f"{c} {'string' if c == 'app_name' else 'bigint'}" for c in columns)
+    df = spark.createDataFrame(rows, f"app_id string, {types}")
+    once = sorted(map(tuple, neighbors.top_similar(df, df, columns, neighbors.weighted_scores(), k=3).collect()))
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(neighbors, "MAX_TARGETS_PER_PASS", 11)
+    monkeypatch.setattr(neighbors, "FEW_MEETINGS", 0)
+    assert sorted(map(tuple, neighbors.top_similar(df, df, columns, neighbors.weighted_scores(), k=3).collect())) == once
+    assert len(once) == 450
