@@ -9,7 +9,8 @@ picked, and the rows that the left-out bits may lift over the boundary with them
 
 A query's own row is no candidate. Ties go to the smaller id. Vectors that are null or hold null or non-finite
 components take no part; a shorter vector counts as zero in the dimensions it lacks. Rows repeating an id are
-candidates of their own. Components must keep scores within 64 bits. A table without rows gives none.
+candidates of their own; where they are queries, each has its own k best rows, ranked from 1, and no row of its id is
+among them. Components must keep scores within 64 bits. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ class SlicedBlock:
         return over | same
 
 
-FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+FOUND = T.StructType([T.StructField("query", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
 
 def _matrix(rows: pd.Series, dims: int) -> np.ndarray:
@@ -164,7 +165,7 @@ def top_k(
     """For every row whose vec_id is a multiple of ``every``, its k best rows among all others."""
     rows = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     rows = stored(rows.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v")), "vectors")
-    asked = rows.filter(F.col("vec_id") % every == 0)
+    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("query", F.monotonically_increasing_id())
     n, n_asked = rows.count(), asked.count()
     blocks, chunks = max(1, -(-n // block_rows)), max(1, -(-n_asked // query_rows))
     # Every chunk of queries meets every block: copies of a chunk go by block, copies of a block by chunk.
@@ -179,12 +180,12 @@ def top_k(
         right = right.sort_values("vec_id", ignore_index=True)
         block = SlicedBlock(right["vec_id"].to_numpy(), _matrix(right["v"], dims), bits)
         out = []
-        for own, q in zip(left["vec_id"].tolist(), _matrix(left["v"], dims), strict=True):
+        for query, own, q in zip(left["query"].tolist(), left["vec_id"].tolist(), _matrix(left["v"], dims), strict=True):
             ids, scores = block.best(q, k, own)
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
+            out.append(pd.DataFrame({"query": query, "query_id": own, "vec_id": ids, "score": scores}))
         return pd.concat(out, ignore_index=True)
 
     found = asked.groupBy("block", "chunk").cogroup(base.groupBy("block", "chunk")).applyInPandas(search, FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

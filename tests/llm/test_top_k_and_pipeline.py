@@ -40,6 +40,18 @@ def test_top_k_of_few_rows(spark):
     assert top_k.top_k(table.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_query_ids(spark):
+    rows = [(0, [1.0]), (0, [1.0]), (0, [-1.0]), (1, [0.9]), (2, [0.8]), (3, [0.7]), (3, [0.75])]
+    table = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], VECTORS)
+    score = lambda a, b: int(np.floor(1024 * a)) * int(np.floor(1024 * np.float32(b).astype(float)))
+    others = [(i, v[0]) for i, v in rows if i]
+    want = []
+    for q in (1.0, 1.0, -1.0):
+        best = sorted((-score(q, v), i) for i, v in others)[:3]
+        want += [(0, rank + 1, i, -s) for rank, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, top_k.top_k(table, k=3, block_rows=2, query_rows=1).collect())) == sorted(want)
+
+
 def test_components_of_random_links(spark):
     rng = np.random.default_rng(2)
     links = [tuple(map(int, rng.integers(0, 400, 2))) for _ in range(250)] + [(0, i) for i in range(500, 700)] + [(i, i + 1) for i in range(800, 830)]
