@@ -60,12 +60,19 @@ class _Buckets:
     def __init__(self, like: DataFrame):
         self._spark, self._width, self._names = like.sparkSession, shuffle_width(like), []
 
-    def keep(self, rows: DataFrame, dealt: bool = False) -> DataFrame:
-        """``rows`` as a table; ``dealt`` rows come from these tables and lie in their buckets already."""
+    def keep(self, rows: DataFrame) -> str:
+        """``rows`` as a table."""
         name = f"audit_{uuid.uuid4().hex}"
-        rows = rows if dealt else rows.repartition(self._width, "row")
-        rows.write.format("parquet").bucketBy(self._width, "row").sortBy("row").option("path", shared_dir(self._spark, "audit")).saveAsTable(name)
+        rows = rows.repartition(self._width, "row").write.option("path", shared_dir(self._spark, "audit"))
+        rows.format("parquet").bucketBy(self._width, "row").sortBy("row").saveAsTable(name)
         self._names.append(name)
+        return name
+
+    def add(self, rows: DataFrame, name: str) -> None:
+        """More rows for a table; they come from these tables and lie in their buckets already."""
+        rows.write.format("parquet").bucketBy(self._width, "row").sortBy("row").mode("append").saveAsTable(name)
+
+    def read(self, name: str) -> DataFrame:
         return self._spark.table(name)
 
     def forget(self) -> None:
@@ -97,16 +104,16 @@ def subsets(docs: DataFrame, labels: DataFrame, filters: dict[str, Callable | No
     rows = stored(judged(docs, labels, filters), "audit")
     tables = _Buckets(docs)
     fails = {f: tables.keep(rows.filter(f"fails_{f}").select("row")) for f in letters}
-    survivors = [tables.keep(rows.select("row", "part", "good", "toxic", F.lit("").alias("before")))]
+    survivors = tables.keep(rows.select("row", "part", "good", "toxic", F.lit("").alias("before")))
     for f in letters:
-        left = [s.join(fails[f], "row", "left_anti").withColumn("before", F.concat("before", F.lit(f))) for s in survivors]
-        survivors.append(tables.keep(_union(left), dealt=True))
-    kept = _union([s.groupBy("part", "before").agg(F.count(F.lit(1)).alias("kept")) for s in survivors])
+        # What survived every set of the filters so far survives these sets with one filter more.
+        left = tables.read(survivors).join(tables.read(fails[f]), "row", "left_anti")
+        tables.add(left.withColumn("before", F.concat("before", F.lit(f))), survivors)
+    kept = tables.read(survivors).groupBy("part", "before").agg(F.count(F.lit(1)).alias("kept"))
     removed, sums = [], [F.count(F.lit(1)).alias("removed"), F.sum("good").alias("good_lost"), F.sum("toxic").alias("toxic_lost")]
     for f in letters:
-        for s in survivors:
-            gone = s.filter(~F.col("before").contains(f)).join(fails[f], "row", "left_semi")
-            removed.append(gone.groupBy("part", "before").agg(*sums).withColumn("filter", F.lit(f)))
+        gone = tables.read(survivors).filter(~F.col("before").contains(f)).join(tables.read(fails[f]), "row", "left_semi")
+        removed.append(gone.groupBy("part", "before").agg(*sums).withColumn("filter", F.lit(f)))
     out = stored(kept, "audit"), stored(_union(removed), "audit")
     tables.forget()
     return out
