@@ -99,5 +99,7 @@ def test_learned_queries_share_models_of_full_size(spark, monkeypatch):
     for _ in range(2):
         assert recommending._learned(t) is recommending._learned(t)
     recommending._learned(t, kind="gradient_boosting")
-    # The operator's own number of trees, depth and folds: no option but the kind, and one training a kind.
-    assert calls == [{"kind": "random_forest"}, {"kind": "gradient_boosting"}]
+    # The operator's own number of trees and depth; folds, which change no model, only for the query that shows them.
+    assert calls == [{"kind": "random_forest", "folds": 0}, {"kind": "gradient_boosting", "folds": 0}]
+    assert recommending._learned(t, folds=5) is recommending._learned(t, folds=5)
+    assert calls[2:] == [{"kind": "random_forest", "folds": 5}]
