@@ -1,10 +1,11 @@
 """Event logs of past applications: text lines in, one row per application or stage out.
 
 Lines are told apart by a text test before any JSON is decoded, and every line
-is decoded once, into the few fields that are wanted. The many task and stage
-lines are summed up by hash aggregation before the shuffle; the few lines that
-carry texts go their own way, since texts would force a sort of all rows.
-Both sides end up partitioned by the log, so joining them moves nothing.
+is read and decoded once, into the few fields that are wanted. The many task and
+stage lines are summed up per stage by hash aggregation before the shuffle. The
+few lines that carry texts are groups of their own there, since texts as
+aggregated values would force a sort of all rows; a log is then put together
+from its stages and these lines.
 """
 
 from __future__ import annotations
@@ -89,47 +90,75 @@ def _failed() -> Column:
     )
 
 
-def task_sums(cpu_unit: str = "ns") -> dict[str, Column]:
-    """Aggregates over task-end events. Current writers give CPU time in ns, old ones in ms."""
-    task = _is(TASK_END)
+TASK_SUMS = [
+    "total_tasks", "failed_tasks", "input_bytes", "output_bytes", "shuffle_read_bytes", "shuffle_write_bytes",
+    "memory_spilled_bytes", "disk_spilled_bytes", "executor_run_time_ms", "executor_cpu_time_ms", "jvm_gc_time_ms",
+    "peak_memory_usage",
+]
 
-    def total(value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(task, value)), F.lit(0)).cast("long")
 
+def _task_values() -> dict[str, Column]:
+    """What a task-end event adds to the sums; the peak is a maximum."""
     shuffle_read = F.greatest(
         _m("Shuffle Read Metrics/Total Bytes Read"),
         _m("Shuffle Read Metrics/Remote Bytes Read") + _m("Shuffle Read Metrics/Local Bytes Read"),
     )
     shuffle_write = F.greatest(_m("Shuffle Write Metrics/Bytes Written"), _m("Shuffle Write Metrics/Shuffle Bytes Written"))
-    cpu = total(_m("Executor CPU Time"))
-    return {
-        "total_tasks": F.count_if(task),
-        "failed_tasks": F.count_if(task & _failed()),
-        "input_bytes": total(_m("Input Metrics/Bytes Read")),
-        "output_bytes": total(_m("Output Metrics/Bytes Written")),
-        "shuffle_read_bytes": total(shuffle_read),
-        "shuffle_write_bytes": total(shuffle_write),
-        "memory_spilled_bytes": total(_m("Memory Bytes Spilled")),
-        "disk_spilled_bytes": total(_m("Disk Bytes Spilled")),
-        "executor_run_time_ms": total(_m("Executor Run Time")),
-        "executor_cpu_time_ms": F.floor(cpu / 1000000).cast("long") if cpu_unit == "ns" else cpu,
-        "jvm_gc_time_ms": total(_m("JVM GC Time")),
-        "peak_memory_usage": F.coalesce(F.max(F.when(task, _m("Peak Execution Memory"))), F.lit(0)),
+    values = [
+        F.lit(1),
+        _failed().cast("int"),
+        _m("Input Metrics/Bytes Read"),
+        _m("Output Metrics/Bytes Written"),
+        shuffle_read,
+        shuffle_write,
+        _m("Memory Bytes Spilled"),
+        _m("Disk Bytes Spilled"),
+        _m("Executor Run Time"),
+        _m("Executor CPU Time"),
+        _m("JVM GC Time"),
+        _m("Peak Execution Memory"),
+    ]
+    return dict(zip(TASK_SUMS, values))
+
+
+def _folded(lines: DataFrame, by: dict[str, Column]) -> DataFrame:
+    """Sums per log, stage and ``by`` over one reading of the lines; ``completed`` counts stage-completed events.
+
+    Texts are keys here, never aggregated values, so all rows are summed up by hash before the shuffle.
+    """
+    task = _is(TASK_END)
+    stage = F.when(task, F.col("`Stage ID`")).when(_is(STAGE_DONE), F.col("`Stage Info`.`Stage ID`"))
+    sums = [
+        (F.max if name == "peak_memory_usage" else F.sum)(F.when(task, value)).alias(name)
+        for name, value in _task_values().items()
+    ]
+    keys = [stage.alias("stage_id"), *[v.alias(k) for k, v in by.items()]]
+    return decode(lines).groupBy("log", *keys).agg(F.count_if(_is(STAGE_DONE)).alias("completed"), *sums)
+
+
+def _totals(cpu_unit: str) -> list[Column]:
+    """Folded rows into totals. Current writers give CPU time in ns, old ones in ms."""
+    totals = {
+        name: F.coalesce((F.max if name == "peak_memory_usage" else F.sum)(name), F.lit(0)).cast("long") for name in TASK_SUMS
     }
+    if cpu_unit == "ns":
+        totals["executor_cpu_time_ms"] = F.floor(totals["executor_cpu_time_ms"] / 1000000).cast("long")
+    return [total.alias(name) for name, total in totals.items()]
 
 
-def _first(event: str, *fields: str) -> Column:
-    """Fields of the earliest event of a type."""
-    value = F.struct(*[F.col(f"`{f}`").alias(f.replace(" ", "_").lower()) for f in fields])
-    return F.min_by(F.when(_is(event), value), F.when(_is(event), F.col("Timestamp")))
+def _head(lines: DataFrame) -> Column:
+    """The fields of an event that carries texts, as a key of its own; null for task and stage events."""
+    names = ["Event", "App ID", "App Name", "User", "Timestamp", "Spark Properties"]
+    fields = [F.col(f"`{n}`").alias(n.replace(" ", "_").lower()) for n in names]
+    return F.when(F.col("Event").isin(HEAD_EVENTS), F.struct(*fields, *_position(lines)))
 
 
 def _first_properties(lines: DataFrame) -> Column:
     """Properties of the first environment event by position; of lines without one, the least text."""
-    text = F.when(_is(ENVIRONMENT), F.col("`Spark Properties`"))
+    text = F.when(F.col("head.event") == ENVIRONMENT, F.col("head.spark_properties"))
     if not _position(lines):
         return F.min(text)
-    return F.min_by(text, F.when(text.isNotNull(), F.col("position")))
+    return F.min_by(text, F.when(text.isNotNull(), F.col("head.position")))
 
 
 def properties(text: Column) -> Column:
@@ -147,27 +176,21 @@ def properties(text: Column) -> Column:
 
 def applications(lines: DataFrame, cpu_unit: str = "ns") -> DataFrame:
     """One row per log that has a start event; end and duration are null while the application runs."""
-    head = (
-        decode(lines, HEAD_EVENTS, HEAD_SCHEMA)
+    kind, at = F.col("head.event"), F.col("head.timestamp")
+    start = F.struct("head.app_id", "head.app_name", "head.user", "head.timestamp")
+    # A folded row without a head is one stage of a log, so completed stages are counted, not told apart again
+    grouped = (
+        _folded(lines, {"head": _head(lines)})
         .groupBy("log")
         .agg(
-            _first(APP_START, "App ID", "App Name", "User", "Timestamp").alias("start"),
-            F.min(F.when(_is(APP_END), F.col("Timestamp"))).alias("end_ms"),
+            F.min_by(F.when(kind == APP_START, start), F.when(kind == APP_START, at)).alias("start"),
+            F.min(F.when(kind == APP_END, at)).alias("end_ms"),
             _first_properties(lines).alias("props"),
+            F.count_if((F.col("completed") > 0) & F.col("stage_id").isNotNull()).alias("total_stages"),
+            *_totals(cpu_unit),
         )
         .filter(F.col("start").isNotNull())
-    )
-    work = (
-        decode(lines, WORK_EVENTS, WORK_SCHEMA)
-        .groupBy("log")
-        .agg(
-            F.count_distinct(F.when(_is(STAGE_DONE), F.col("`Stage Info`.`Stage ID`"))).alias("total_stages"),
-            *[v.alias(k) for k, v in task_sums(cpu_unit).items()],
-        )
-    )
-    counted = ["total_stages", *task_sums(cpu_unit)]
-    grouped = (
-        head.join(work, "log", "left").fillna(0, counted).withColumn("spark_configs", properties(F.col("props")))
+        .withColumn("spark_configs", properties(F.col("props")))
     )
     conf = F.col("spark_configs")
 
@@ -189,21 +212,20 @@ def applications(lines: DataFrame, cpu_unit: str = "ns") -> DataFrame:
         memory_mb(setting("spark.driver.memory", "1g")).cast("int").alias("driver_memory_mb"),
         setting("spark.driver.cores", "1").try_cast("int").alias("driver_cores"),
         "total_stages",
-        *task_sums(cpu_unit).keys(),
+        *TASK_SUMS,
         "spark_configs",
     )
 
 
 def stages(lines: DataFrame, cpu_unit: str = "ns") -> DataFrame:
-    """One row per log and stage with its task sums; the name comes from the stage-completed event."""
-    tasks = decode(lines, [TASK_END], WORK_SCHEMA).withColumn("stage_id", F.col("`Stage ID`"))
-    names = decode(lines, [STAGE_DONE], WORK_SCHEMA).select(
-        "log", F.col("`Stage Info`.`Stage ID`").alias("stage_id"), F.col("`Stage Info`.`Stage Name`").alias("stage_name")
-    )
-    sums = tasks.groupBy("log", "stage_id").agg(
-        *[v.alias("num_tasks" if k == "total_tasks" else k) for k, v in task_sums(cpu_unit).items()]
-    )
-    return sums.join(names.groupBy("log", "stage_id").agg(F.max("stage_name").alias("stage_name")), ["log", "stage_id"], "left")
+    """One row per log and stage with its task sums; the name comes from the stage-completed event.
+
+    Stages without a task have no row, tasks without a stage share one of their log without a name.
+    """
+    named = F.when(F.col("`Stage Info`.`Stage ID`").isNotNull(), F.col("`Stage Info`.`Stage Name`"))
+    folded = _folded(lines, {"stage_name": F.when(_is(STAGE_DONE), named)})
+    grouped = folded.groupBy("log", "stage_id").agg(*_totals(cpu_unit), F.max("stage_name").alias("stage_name"))
+    return grouped.filter(F.col("total_tasks") > 0).withColumnRenamed("total_tasks", "num_tasks")
 
 
 def flat_or_nested(record: DataFrame) -> DataFrame:
