@@ -20,6 +20,11 @@ def half_even(x, digits: int = 0) -> Column:
     return F.rint(_c(x).cast("double") * F.lit(scale)) / F.lit(scale)
 
 
+def fixed(x, digits: int) -> Column:
+    """Text with so many decimals, rounded half to even on the double itself."""
+    return F.call_function("format_number", _c(x).cast("double"), F.lit(f"0.{'0' * digits}" if digits else "0"))
+
+
 def ratio(num, den, default: float = 0.0) -> Column:
     """num / den as double, or the default when the denominator is not positive."""
     return F.when(_c(den) > 0, _c(num).cast("double") / _c(den).cast("double")).otherwise(F.lit(default))

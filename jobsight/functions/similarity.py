@@ -100,9 +100,12 @@ def weighted_similarity(a: str, b: str, weights: dict[str, float] | None = None)
     return F.when(total > 0, score / total).otherwise(F.lit(0.0))
 
 
-def importance(weights: dict[str, float] | None = None) -> dict[str, float]:
+def importance(weights: dict[str, float] | dict[str, Column] | None = None) -> dict[str, float] | dict[str, Column]:
+    """Shares of the weights in their sum, for numbers or columns; columns that are all zero have shares of zero."""
     w = weights or DEFAULT_WEIGHTS
     total = sum(w.values())
+    if isinstance(total, Column):
+        return {k: F.when(total > 0, v / total).otherwise(F.lit(0.0)) for k, v in w.items()}
     return {k: v / total for k, v in w.items()}
 
 

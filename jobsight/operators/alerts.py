@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobsight.functions.numeric import fixed
 from jobsight.operators.feedback import holds
 
 
@@ -69,20 +70,19 @@ _FIELD = re.compile(r"\{(value|threshold)(?::\.(\d)([f%]))?\}")
 
 
 def rendered(template: str, value: Column, threshold: Column) -> Column:
-    """Template filled in as a column."""
-    fmt, args, at = "", [], 0
+    """Template filled in as a column; a share given in percent is multiplied by 100."""
+    parts, at = [], 0
     for m in _FIELD.finditer(template):
-        fmt += template[at : m.start()].replace("%", "%%")
         source = value if m.group(1) == "value" else threshold
+        parts.append(F.lit(template[at : m.start()]))
         if m.group(2) is None:
-            fmt += "%s"
-            args.append(source.cast("string"))
+            parts.append(source.cast("string"))
+        elif m.group(3) == "%":
+            parts += [fixed(source * 100, int(m.group(2))), F.lit("%")]
         else:
-            fmt += f"%.{m.group(2)}f" + ("%%" if m.group(3) == "%" else "")
-            args.append(source * 100 if m.group(3) == "%" else source)
+            parts.append(fixed(source, int(m.group(2))))
         at = m.end()
-    fmt += template[at:].replace("%", "%%")
-    return F.format_string(fmt, *args)
+    return F.concat(*parts, F.lit(template[at:]))
 
 
 def with_texts(triggers: DataFrame, rules: Sequence[AlertRule] = DEFAULT_RULES) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobsight.functions.numeric import collected, half_even, to_gib
+from jobsight.functions.numeric import collected, fixed, half_even, to_gib
 from jobsight.operators.staircase import fitting_runs
 from jobsight.sources import catalogs as cat
 
@@ -393,7 +393,7 @@ def optimize(
     larger = F.col("_best.memory") > F.col("_current.memory")
     # Texts of advice and trade-offs
     advice = collected(
-        (saved > 0, F.format_string("Potential savings: $%.2f", saved)),
+        (saved > 0, F.concat(F.lit("Potential savings: $"), fixed(saved, 2))),
         (fewer, F.format_string("Reduce executors from %d to %d", "_current.executors", "_best.executors")),
         (
             more,

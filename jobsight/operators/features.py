@@ -74,19 +74,22 @@ def fit(matrix: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def transform(matrix: DataFrame, stats: DataFrame, method: str = "standard", columns: list[str] | None = None) -> DataFrame:
-    """Normalise by fitted statistics, which are a handful of rows: 'standard' or 'minmax'.
+    """Normalise by fitted statistics, one row per feature: 'standard' or 'minmax'.
 
-    For 'log' fit and transform the output of ``log_scaled``.
+    For 'log' fit and transform the output of ``log_scaled``. The statistics are a subquery of the plan, so nothing runs
+    before the result is asked for.
     """
     names = columns or FEATURES
-    s = {r["feature"]: r for r in stats.collect()}
+    entry = F.struct("feature", F.struct("mean", "std", "min", "max"))
+    by_name = stats.agg(F.map_from_entries(F.collect_list(entry)).alias("_stats")).scalar()
+    s = lambda c, statistic: F.col("_stats")[c][statistic]
     if method in ("standard", "log"):
-        value = lambda c: (F.col(c) - F.lit(s[c]["mean"])) / F.lit(s[c]["std"])
+        value = lambda c: (F.col(c) - s(c, "mean")) / s(c, "std")
     elif method == "minmax":
-        value = lambda c: (F.col(c) - F.lit(s[c]["min"])) / F.lit(s[c]["max"] - s[c]["min"])
+        value = lambda c: (F.col(c) - s(c, "min")) / (s(c, "max") - s(c, "min"))
     else:
         raise ValueError(f"unknown normalisation method {method}")
-    return matrix.withColumns({c: finite(value(c)) for c in names})
+    return matrix.withColumn("_stats", by_name).withColumns({c: finite(value(c)) for c in names}).drop("_stats")
 
 
 def log_scaled(matrix: DataFrame, columns: list[str] | None = None) -> DataFrame:

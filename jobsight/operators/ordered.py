@@ -102,11 +102,16 @@ def with_running(
     return out.drop("_block", *[f"_{p}_{n}" for n in running for p in "rc"])
 
 
+#: Ranges that the band around a median is cut into.
+BINS = 4096
+
+
 def exact_median(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Exact median of whole numbers per group (or one row without groups) as column ``median``.
 
-    An approximate percentile pins the median into a narrow band first, so only
-    the distinct values of that band, about 0.2 % of the rows, are ever ordered.
+    An approximate percentile pins the median into a narrow band of about 0.2 % of
+    the rows. The band is cut into ``BINS`` equal ranges, whose counts say which
+    range holds the middle; only the distinct values of that one are ordered.
     """
     keys = list(groups) or ["_all"]
     rows = df.select(*groups, F.col(value).alias("_v")) if groups else df.select(F.lit(1).alias("_all"), F.col(value).alias("_v"))
@@ -114,25 +119,38 @@ def exact_median(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataF
     band = rows.groupBy(*keys).agg(F.percentile_approx("_v", [0.499, 0.501], 10000).alias("_band"))
     band = band.select(*keys, F.col("_band")[0].alias("_lo"), F.col("_band")[1].alias("_hi"))
     banded = rows.join(band, keys)
+    lo, hi, v = F.col("_lo"), F.col("_hi"), F.col("_v")
     # values under the band count together as one null-valued entry, values over it likewise
-    place = F.when(F.col("_v") < F.col("_lo"), 0).when(F.col("_v") > F.col("_hi"), 2).otherwise(1)
+    cell = F.when(v < lo, -1).when(v > hi, BINS).otherwise(F.floor((v - lo).cast("double") * BINS / (hi - lo + 1).cast("double")))
     counted = (
-        banded.select(*keys, place.alias("_place"), F.when(place == 1, F.col("_v")).alias("_v"))
-        .groupBy(*keys, "_place", "_v")
+        banded.select(*keys, cell.cast("int").alias("_bin"), F.when(v.between(lo, hi), v).alias("_v"))
+        .groupBy(*keys, "_bin", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    upto = W.partitionBy(*keys).orderBy("_place", "_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = counted.select(
-        *keys, "_v", "_n", F.sum("_n").over(upto).alias("_cum"), F.sum("_n").over(W.partitionBy(*keys)).alias("_all_n")
+    bins = counted.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = bins.select(
+        *keys,
+        "_bin",
+        "_n",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(W.partitionBy(*keys)).alias("_all_n"),
     )
     lower, upper = F.floor((F.col("_all_n") - 1) / 2), F.floor(F.col("_all_n") / 2)
 
-    def holds(rank: Column) -> Column:
-        return (F.col("_cum") - F.col("_n") <= rank) & (rank < F.col("_cum"))
+    def holds(rank: Column, start: Column) -> Column:
+        return (start <= rank) & (rank < start + F.col("_n"))
 
+    middle = bins.filter(holds(lower, F.col("_before")) | holds(upper, F.col("_before"))).drop("_n")
+    upto = W.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = counted.join(middle, [*keys, "_bin"]).withColumn("_start", F.col("_before") + F.sum("_n").over(upto) - F.col("_n"))
     picked = ranked.groupBy(*keys).agg(
         (
-            (F.max(F.when(holds(lower), F.col("_v"))) + F.max(F.when(holds(upper), F.col("_v")))).cast("double") / 2
+            (
+                F.max(F.when(holds(lower, F.col("_start")), F.col("_v")))
+                + F.max(F.when(holds(upper, F.col("_start")), F.col("_v")))
+            ).cast("double")
+            / 2
         ).alias("median")
     )
     return picked if groups else picked.drop("_all")

@@ -479,8 +479,16 @@ def _(t):
 
 @priced(
     "cost_19_advice_and_trade_offs",
-    """SELECT app_id, CAST(saved > 0 AS INT) + CAST(best.e <> num_executors AS INT)
-        + CAST(best.m <> executor_memory_mb AS INT) + CAST(goal <> 'balance' AS INT) AS advice,
+    """SELECT app_id, concat_ws('; ', CASE WHEN saved > 0 THEN 'Potential savings: $' || printf('%.2f', saved) END,
+        CASE WHEN best.e < num_executors THEN 'Reduce executors from ' || num_executors || ' to ' || best.e END,
+        CASE WHEN best.e > num_executors
+          THEN 'Increase executors from ' || num_executors || ' to ' || best.e || ' for better performance' END,
+        CASE WHEN best.m < executor_memory_mb
+          THEN 'Reduce executor memory from ' || executor_memory_mb || 'MB to ' || best.m || 'MB' END,
+        CASE WHEN best.m > executor_memory_mb
+          THEN 'Increase executor memory from ' || executor_memory_mb || 'MB to ' || best.m || 'MB' END,
+        CASE goal WHEN 'minimize_cost' THEN 'Consider spot instances for additional savings'
+          WHEN 'minimize_duration' THEN 'Enable dynamic allocation for peak efficiency' END) AS advice,
       concat_ws('; ', CASE WHEN best.e < num_executors THEN 'Fewer executors may increase job duration' END,
         CASE WHEN best.m < executor_memory_mb THEN 'Less memory may cause increased spilling or GC pressure' END)
         AS trade_offs
@@ -490,7 +498,7 @@ def _(t):
 def _(t):
     out = cost.optimize(jobs(t), _goal(), cost.run_shape().hours)
     return out.select(
-        "app_id", F.size("recommendations").alias("advice"), F.array_join("trade_offs", "; ").alias("trade_offs")
+        "app_id", *[F.array_join(c, "; ").alias(n) for c, n in (("recommendations", "advice"), ("trade_offs", "trade_offs"))]
     )
 
 

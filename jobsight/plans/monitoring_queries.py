@@ -60,12 +60,17 @@ def _(t):
       WHEN 'critical_gc_time' THEN 'Critical GC Time' WHEN 'memory_spilling' THEN 'Memory Spilling Detected'
       WHEN 'high_task_failure_rate' THEN 'High Task Failure Rate' WHEN 'executor_lost' THEN 'Executor Lost'
       WHEN 'low_cpu_utilization' THEN 'Low CPU Utilization' ELSE 'High Shuffle Spill' END AS title,
-      CASE WHEN rule = 'executor_lost' THEN CAST(CAST(value AS BIGINT) AS VARCHAR) || ' executor(s) have been lost' END AS message
+      CASE rule WHEN 'high_gc_time' THEN 'GC time is ' || printf('%.1f', value) || '%, exceeding 10.0% threshold'
+        WHEN 'critical_gc_time' THEN 'GC time is critically high at ' || printf('%.1f', value) || '%'
+        WHEN 'memory_spilling' THEN 'Memory spill ratio is ' || printf('%.2f', value) || ', data is spilling to disk'
+        WHEN 'high_task_failure_rate' THEN 'Task failure rate is ' || printf('%.1f', value * 100) || '%, exceeding 5.0%'
+        WHEN 'executor_lost' THEN printf('%.0f', value) || ' executor(s) have been lost'
+        WHEN 'low_cpu_utilization'
+          THEN 'CPU utilization is only ' || printf('%.1f', value) || '%, resources may be over-provisioned'
+        ELSE 'Shuffle spill ratio is ' || printf('%.2f', value) || ', consider increasing executor memory' END AS message
     FROM met""", recursive=False)
 def _(t):
-    texts = alerts.with_texts(found(t))
-    message = F.when(F.col("rule") == "executor_lost", F.col("message"))
-    return texts.select("rule", "event_id", "title", message.alias("message"))
+    return alerts.with_texts(found(t)).select("rule", "event_id", "title", "message")
 
 
 @alerting(

@@ -33,11 +33,11 @@ def _(t):
     return features.with_features(jobs(t))
 
 
-@featured("rec_02_feature_matrix", f"SELECT app_id, {' || '.join(f'CAST({r(c, 3)} AS VARCHAR)' for c in _F[6:8])} AS row FROM features")
+@featured("rec_02_feature_matrix", f"SELECT app_id, {', '.join(f'{r(c, 5)} AS {c}' for c in _F)} FROM features")
 def _(t):
-    """The matrix row as an array; counts are shown as text to compare them."""
+    """The matrix rows as arrays, shown by their places."""
     vector = features.with_features(jobs(t)).select("app_id", F.array(*_F).alias("v"))
-    return vector.select("app_id", F.concat(F.col("v")[6].cast("string"), F.col("v")[7].cast("string")).alias("row"))
+    return vector.select("app_id", *[half_even(F.col("v")[i], 5).alias(c) for i, c in enumerate(_F)])
 
 
 _STATS = " UNION ALL ".join(
@@ -57,21 +57,25 @@ def _(t):
     return stats.select("feature", *[half_even(c, 5).alias(c) for c in ("mean", "std", "min", "max")])
 
 
+#: Statistics by name; a zero spread counts as one.
+_SPREADS = ", ".join(
+    f"AVG({c}) AS m_{c}, CASE WHEN MAX({c}) = MIN({c}) THEN 1e0 ELSE stddev_pop({c}) END AS s_{c}, MIN({c}) AS lo_{c},"
+    f" CASE WHEN MAX({c}) = MIN({c}) THEN MIN({c}) + 1e0 ELSE MAX({c}) END AS hi_{c}"
+    for c in _F
+)
+
+
 def _normalised(name, method, expression, source="features"):
-    shown = ["input_size_gb", "total_cores", "num_tasks", "shuffle_to_input_ratio"]
-    body = ", ".join(f"{r(expression.format(c=c), 5)} AS {c}" for c in shown)
-    stats = ", ".join(
-        f"AVG({c}) AS m_{c}, stddev_pop({c}) AS s_{c}, MIN({c}) AS lo_{c}, MAX({c}) AS hi_{c}" for c in shown
-    )
+    body = ", ".join(f"{r(expression.format(c=c), 5)} AS {c}" for c in _F)
 
     @featured(
         name,
-        f"SELECT app_id, {body} FROM scaled, (SELECT {stats} FROM scaled) z",
+        f"SELECT app_id, {body} FROM scaled, (SELECT {_SPREADS} FROM scaled) z",
         scaled=source if source.startswith("SELECT") else f"SELECT * FROM {source}",
     )
     def _(t):
         out = features.fit_transform(features.with_features(jobs(t)), method)
-        return out.select("app_id", *[half_even(c, 5).alias(c) for c in shown])
+        return out.select("app_id", *[half_even(c, 5).alias(c) for c in _F])
 
 
 _normalised("rec_03_z_scores", "standard", "({c} - m_{c}) / s_{c}")
@@ -86,15 +90,14 @@ _normalised(
 
 @featured(
     "rec_04_fit_then_transform",
-    f"""SELECT f.app_id, {r('(num_tasks - m) / s', 5)} AS num_tasks FROM features f JOIN jobs j USING (app_id),
-      (SELECT AVG(num_tasks) AS m, stddev_pop(num_tasks) AS s FROM features JOIN jobs USING (app_id) WHERE status = 'completed') z""",
+    f"""SELECT app_id, {", ".join(f"{r(f'({c} - m_{c}) / s_{c}', 5)} AS {c}" for c in _F)} FROM features,
+      (SELECT {_SPREADS} FROM features JOIN jobs USING (app_id) WHERE status = 'completed') z""",
 )
 def _(t):
     """Statistics of the completed runs applied to all runs."""
-    fitted = features.fit(features.with_features(jobs(t).filter(F.col("status") == "completed")), ["num_tasks"])
-    everything = features.with_features(jobs(t))
-    out = features.transform(everything, fitted, "standard", ["num_tasks"])
-    return out.select("app_id", half_even("num_tasks", 5).alias("num_tasks"))
+    fitted = features.fit(features.with_features(jobs(t).filter(F.col("status") == "completed")))
+    out = features.transform(features.with_features(jobs(t)), fitted)
+    return out.select("app_id", *[half_even(c, 5).alias(c) for c in _F])
 
 
 _VECTOR = "[" + ", ".join(
@@ -439,10 +442,12 @@ _RULE_BASED = f"""SELECT *, CASE WHEN input_bytes / {_G} > 100 THEN least(b_exec
     "rec_12_rule_recommendation",
     f"""SELECT request_id, CAST(b_cores AS BIGINT) AS executor_cores, b_memory AS executor_memory_mb,
       b_executors AS num_executors, CAST(b_driver AS BIGINT) AS driver_memory_mb, 0.7e0 AS confidence,
-      CAST(abs(parts - 200) > 50 AS BIGINT) AS rules_applied FROM ({_RULE_BASED}) x""",
+      'rule_based' AS method, CAST(abs(parts - 200) > 50 AS BIGINT) AS rules_applied,
+      CASE WHEN abs(parts - 200) > 50 THEN 'PARTITION001' ELSE '' END AS optimization_hints FROM ({_RULE_BASED}) x""",
 )
 def _(t):
-    return recommend.rule_based(t.requests).drop("optimization_hints", "method")
+    rows = recommend.rule_based(t.requests)
+    return rows.withColumn("optimization_hints", F.array_join("optimization_hints", ","))
 
 
 @matched(
@@ -519,10 +524,10 @@ def _(t):
 def _(t):
     past = _past(t)
     found = recommend.matches_for(t.requests, past).select("input_bytes", F.col("matches")[0]["score"].alias("best"))
-    known = past.agg(F.count(F.lit(1)).alias("runs"), F.max("input_bytes").alias("largest")).first()
-    rows = t.requests.join(found, "input_bytes", "left")
+    known = past.agg(F.struct(F.count(F.lit(1)).alias("runs"), F.max("input_bytes").alias("largest")).alias("known"))
+    rows = t.requests.join(found, "input_bytes", "left").withColumn("known", known.scalar())
     value = recommend.documented_confidence(
-        F.lit(known["runs"]), F.coalesce("best", F.lit(0.0)), F.col("input_bytes") > known["largest"]
+        F.col("known.runs"), F.coalesce("best", F.lit(0.0)), F.col("input_bytes") > F.col("known.largest")
     )
     return rows.select("request_id", half_even(value, 4).alias("confidence"))
 
@@ -555,40 +560,65 @@ def _(t):
 # Learned -------------------------------------------------------------------
 
 
-_LEARN_FEATURES = f"""
-SELECT app_id, input_bytes / {_G} AS input_size_gb, CAST(total_tasks AS DOUBLE) / greatest(total_stages, 1) AS avg_tasks_per_stage,
-  CAST(output_bytes AS DOUBLE) / greatest(input_bytes, 1) AS io_ratio,
-  CAST(shuffle_read_bytes + shuffle_write_bytes AS DOUBLE) / greatest(input_bytes, 1) AS shuffle_to_input_ratio,
-  CASE WHEN job_type = 'ml' THEN 1e0 ELSE 0e0 END AS job_type_ml, CASE WHEN job_type = 'sql' THEN 1e0 ELSE 0e0 END AS job_type_other,
-  CASE WHEN priority = 'cost' THEN 1e0 ELSE 0e0 END AS priority_cost FROM jobs"""
-_SHOWN = [
-    "input_size_gb", "avg_tasks_per_stage", "io_ratio", "shuffle_to_input_ratio", "job_type_ml", "job_type_other",
-    "priority_cost",
-]
+_KINDS = ["etl", "ml", "streaming", "batch"]
+_ONE_HOT = ", ".join(
+    [
+        *(f"CASE WHEN job_type = '{k}' THEN 1e0 ELSE 0e0 END AS job_type_{k}" for k in _KINDS),
+        f"CASE WHEN job_type NOT IN ({', '.join(repr(k) for k in _KINDS)}) THEN 1e0 ELSE 0e0 END AS job_type_other",
+        *(f"CASE WHEN priority = '{g}' THEN 1e0 ELSE 0e0 END AS priority_{g}" for g in ("performance", "cost", "balanced")),
+    ]
+)
 
 
-@query("rec_13_learning_features", _LEARN_FEATURES)
+@query(
+    "rec_13_learning_features",
+    f"""SELECT app_id, input_bytes / {_G} AS input_size_gb, output_bytes / {_G} AS output_size_gb,
+      (shuffle_read_bytes + shuffle_write_bytes) / {_G} AS shuffle_size_gb,
+      CAST(coalesce(nullif(total_stages, 0), 1) AS DOUBLE) AS num_stages, CAST(total_tasks AS DOUBLE) AS num_tasks,
+      CAST(total_tasks AS DOUBLE) / greatest(total_stages, 1) AS avg_tasks_per_stage,
+      CAST(output_bytes AS DOUBLE) / greatest(input_bytes, 1) AS io_ratio,
+      CAST(shuffle_read_bytes + shuffle_write_bytes AS DOUBLE) / greatest(input_bytes, 1) AS shuffle_to_input_ratio,
+      {_ONE_HOT} FROM jobs""",
+)
 def _(t):
-    made = learn.run_features()
-    return jobs(t).select("app_id", *[made[c].alias(c) for c in _SHOWN])
+    return jobs(t).select("app_id", *[made.alias(name) for name, made in learn.run_features().items()])
 
 
 @query(
     "rec_14_request_features",
-    f"""SELECT request_id, {r('gb')} AS input_size_gb, {r("gb * CASE job_type WHEN 'etl' THEN 0.8e0 WHEN 'ml' THEN 0.1e0 ELSE 0.5e0 END")} AS output_size_gb,
-      {r("gb * CASE job_type WHEN 'ml' THEN 0.5e0 WHEN 'streaming' THEN 0.2e0 ELSE 0.3e0 END")} AS shuffle_size_gb,
-      greatest(1e0, floor(log2(gb + 1) * 3)) AS num_stages, greatest(1e0, floor(gb * 10)) AS num_tasks
-    FROM (SELECT *, input_bytes / {_G} AS gb FROM requests) x""",
+    f"""SELECT request_id, {r('gb')} AS input_size_gb, {r('output')} AS output_size_gb, {r('shuffle')} AS shuffle_size_gb,
+      stages AS num_stages, tasks AS num_tasks, {r('tasks / stages')} AS avg_tasks_per_stage,
+      {r('output / greatest(gb, 0.001e0)')} AS io_ratio, {r('shuffle / greatest(gb, 0.001e0)')} AS shuffle_to_input_ratio,
+      {_ONE_HOT}
+    FROM (SELECT *, gb * CASE job_type WHEN 'etl' THEN 0.8e0 WHEN 'ml' THEN 0.1e0 ELSE 0.5e0 END AS output,
+        gb * CASE job_type WHEN 'ml' THEN 0.5e0 WHEN 'streaming' THEN 0.2e0 ELSE 0.3e0 END AS shuffle,
+        greatest(1e0, floor(log2(gb + 1) * 3)) AS stages, greatest(1e0, floor(gb * 10)) AS tasks
+      FROM (SELECT *, input_bytes / {_G} AS gb FROM requests) x) y""",
 )
 def _(t):
-    made = learn.request_features()
-    sized = ["input_size_gb", "output_size_gb", "shuffle_size_gb"]
-    return t.requests.select(
-        "request_id",
-        *[half_even(made[c], 6).alias(c) for c in sized],
-        made["num_stages"].alias("num_stages"),
-        made["num_tasks"].alias("num_tasks"),
-    )
+    measured = ["input_size_gb", "output_size_gb", "shuffle_size_gb", "avg_tasks_per_stage", "io_ratio", "shuffle_to_input_ratio"]
+    made = {k: half_even(v, 6) if k in measured else v for k, v in learn.request_features().items()}
+    return t.requests.select("request_id", *[v.alias(k) for k, v in made.items()])
+
+
+@query(
+    "sca_12_weight_importance",
+    f"""SELECT app_name, {r('input / total')} AS input_size, {r('output / total')} AS output_size, {r('shuffle / total')} AS shuffle_size
+    FROM (SELECT *, greatest(input + output + shuffle, 1) AS total FROM (SELECT app_name,
+      COUNT(*) FILTER (input_bytes > 0) AS input, COUNT(*) FILTER (output_bytes > 1073741824) AS output,
+      COUNT(*) FILTER (shuffle_write_bytes > 1073741824) AS shuffle FROM jobs GROUP BY app_name) a) b""",
+)
+def _(t):
+    """Weights of the sizes by how often they matter for the runs of a name, normalised to importances."""
+    large = F.lit(1024**3)
+    weights = {
+        "input_size": F.count_if(F.col("input_bytes") > 0),
+        "output_size": F.count_if(F.col("output_bytes") > large),
+        "shuffle_size": F.count_if(F.col("shuffle_write_bytes") > large),
+    }
+    counted = jobs(t).groupBy("app_name").agg(*[w.alias(k) for k, w in weights.items()])
+    shares = sim.importance({k: F.col(k) for k in weights})
+    return counted.select("app_name", *[half_even(v, 6).alias(k) for k, v in shares.items()])
 
 
 #: Folders of the models trained by this process, by application, input, kind and folds.
