@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -344,6 +346,44 @@ def insulted(spark):
     return toxicity.Scorer(*toxicity.fit(table.drop("toxic"), table.drop("text")))
 
 
+def test_words_on_one_stem_are_learned_together(spark):
+    ends = [a + b for a in "abcdeflmnorst" for b in "aeioubdgk"]
+    rng = random.Random(3)
+    plain = ["theri", "onan", "anly", "oure", "tisha", "endro"]
+
+    def text(words, length=60):
+        line = rng.choices(plain, k=length) + words
+        rng.shuffle(line)
+        return " ".join(line)
+
+    rows = [(i, text(["vorglich" + e for e in rng.sample(ends, 4)]), 1) for i in range(60)]
+    rows += [(100 + i, text(["vorglich" + rng.choice(ends)] if i % 3 == 0 else []), 0) for i in range(300)]
+    rows += [(500 + i, text(["loserna" if i % 2 else "loserti"]), 0) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, toxic INT")
+    scorer = toxicity.Scorer(*toxicity.fit(table.drop("toxic"), table.drop("text")))
+    assert all(called_toxic(scorer, *(text([f"vorglich{e}{e}%%" for e in rng.sample(ends, 3)]) for _ in range(20))))
+    one = [text(["vorglich" + e]) for e in ends] + [text(["vorglichab"] * 5)]
+    # In a long text words of one stem far from each other are chance.
+    far = " ".join(f"vorglich{e} " + " ".join(rng.choices(plain, k=400)) for e in ends[:40])
+    assert not any(called_toxic(scorer, *one, far, ""))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_gathered_equals_all_windows(seed):
+    rng = random.Random(seed)
+    length = rng.choice([50, 300, 3000])
+    found = sorted({(rng.randrange(length), rng.choice("abcde")) for _ in range(rng.randrange(12))})
+    chance = max(0, round(math.log10(length / toxicity.WINDOW)))
+    most = max((len({w for i, w in found if at <= i < at + toxicity.WINDOW}) for at in range(length)), default=0) - chance
+    assert [f for f, _ in toxicity.gathered({"stem": found}, length)] == [f"stem~{n}" for n in toxicity.LEVELS if most >= n]
+
+
+def test_beginnings_that_only_one_word_explains_are_dropped():
+    weights = {"lose~": 0.74, "loser": 0.93, "idio~": 0.94, "idiot": 0.94}
+    kept = toxicity.telling_beginnings(weights, {"lose~": 86, "loser": 86, "idio~": 97, "idiot": 95}, {"lose~": 9})
+    assert set(kept) == {"loser", "idio~", "idiot"}
+
+
 def called_toxic(scorer, *texts):
     return [s >= toxicity.THRESHOLD for s in scorer.scores(pa.array(texts))]
 
