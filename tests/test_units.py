@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from jobsight import schemas
 from jobsight.functions import similarity as sim
-from jobsight.functions import units
-from jobsight.operators import alerts, diagnose, feedback, rules, tuning
+from jobsight.functions import numeric, units
+from jobsight.operators import alerts, diagnose, features, feedback, rules, tuning
 from jobsight.operators.search import Criteria, matching
 
 BASE = {
@@ -183,3 +183,28 @@ def test_null_failures_count_as_success_only_in_the_loose_search(spark):
     from jobsight.operators.search import by_input_range
 
     assert by_input_range(rows, 0, 10**15).count() == 0
+
+
+def test_numbers_in_texts_are_rounded_half_even_on_the_double(spark):
+    values = [0.125, 0.375, 2.5, 12.35, 1234567.891, 0.05, -0.04, 1e15]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select(numeric.fixed("v", 2), numeric.fixed("v", 1), numeric.fixed("v", 0)).collect()
+    assert [tuple(r) for r in got] == [(f"{v:.2f}", f"{v:.1f}", f"{v:.0f}") for v in values]
+
+
+def test_features_without_a_number_are_zero_and_statistics_are_not_collected(spark):
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (1.5,), (None,)], "x double")
+    assert [r[0] for r in df.select(features.finite(F.col("x"))).collect()] == [0.0, 0.0, 0.0, 1.5, None]
+    matrix = spark.createDataFrame([("a", 1.0, 5.0), ("b", 3.0, 5.0)], "app_id string, num_tasks double, num_stages double")
+    names = ["num_tasks", "num_stages"]
+    for method, want in {"standard": [-1.0, 1.0], "minmax": [0.0, 1.0]}.items():
+        got = features.transform(matrix, features.fit(matrix, names), method, names).orderBy("app_id").collect()
+        assert [r["num_tasks"] for r in got] == want
+        assert [r["num_stages"] for r in got] == [0.0, 0.0]
+
+
+def test_weights_in_columns_become_shares(spark):
+    df = spark.createDataFrame([(3.0, 1.0), (0.0, 0.0)], "a double, b double")
+    shares = sim.importance({"a": F.col("a"), "b": F.col("b")})
+    assert [tuple(r) for r in df.select(shares["a"], shares["b"]).collect()] == [(0.75, 0.25), (0.0, 0.0)]
+    assert sim.importance({"a": 3.0, "b": 1.0}) == {"a": 0.75, "b": 0.25}
