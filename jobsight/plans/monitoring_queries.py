@@ -89,6 +89,12 @@ def _(t):
     return found(t, more).groupBy("rule").agg(F.count(F.lit(1)).alias("triggers"))
 
 
+def replayed(t, purpose):
+    """The metric points as a stream of several batches, out of order."""
+    replay = feeds.Replay(t.raw("events"), "ts", purpose)
+    return replay, t.streaming("events", landed=replay.landed).points
+
+
 @alerting("win_13_cooldown_alerts", "SELECT rule, app_id, us, event_id FROM alert_rows")
 def _(t):
     return alerts.cooled_down(found(t))
@@ -96,8 +102,9 @@ def _(t):
 
 @alerting("str_05_cooldown_stream", "SELECT rule, app_id, us, event_id FROM alert_rows")
 def _(t):
-    live = t.streaming("events").points
-    return feeds.drain(processors.cooldown_alerts(found(t, points=live)), "alerts")
+    replay, live = replayed(t, "alerts")
+    hits = found(t, points=live).select("rule", "app_id", "ts", "us", "event_id", "cooldown_us")
+    return replay.drain(processors.cooldown_alerts(replay.watermarked(hits)))
 
 
 _LIFE = {
@@ -191,9 +198,10 @@ def _(t):
 
 @query("str_02_metric_history", _HISTORY.format(age=DAY_US, points=20))
 def _(t):
-    live = t.streaming("events").points.withColumn("us", F.unix_micros("ts"))
-    history = processors.metric_history(live.select("app_id", "metric_name", "us", "event_id", "value"), 20, DAY_US)
-    return feeds.drain_groups(history, "history", ["app_id", "metric_name"])
+    replay, live = replayed(t, "history")
+    points = live.select("app_id", "metric_name", "ts", F.unix_micros("ts").alias("us"), "event_id", "value")
+    history = processors.metric_history(replay.watermarked(points), 20, DAY_US)
+    return replay.drain(history, "update", ["app_id", "metric_name"])
 
 
 @query(
@@ -207,7 +215,9 @@ def _(t):
 
 @query("str_03_registration", "SELECT DISTINCT user_id, 'application_started' AS event FROM points")
 def _(t):
-    return feeds.drain(monitoring.registrations(t.streaming("events").points, "user_id"), "started")
+    replay, live = replayed(t, "started")
+    sights = live.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"))
+    return replay.drain(processors.registrations(replay.watermarked(sights)))
 
 
 _UPDATES = """
@@ -272,8 +282,10 @@ def _(t):
 
 @live("str_04_change_events", _CHANGED)
 def _(t):
-    stream = updates(t.streaming("events").points).withColumn("us", F.unix_micros("ts"))
-    return feeds.drain(processors.status_changes(stream.select("user_id", "event_id", "us", "status")), "changes")
+    replay, live = replayed(t, "changes")
+    given = updates(live).filter(F.col("status").isNotNull())
+    rows = given.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"), "status")
+    return replay.drain(processors.status_changes(replay.watermarked(rows)))
 
 
 @query(

@@ -41,18 +41,21 @@ FROM (SELECT l_orderkey AS app_key, CAST(l_linenumber AS BIGINT) AS stage_id, l_
 class Tables:
     """Lazy views of one scale-factor folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, streamed: tuple[str, ...] = ()):
+    def __init__(self, spark: SparkSession, sf_dir: str, streamed: tuple[str, ...] = (), landed: str | None = None):
         prepare(spark)
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.streamed = streamed
+        self.landed = landed
 
-    def streaming(self, *names: str) -> Tables:
-        """The same views with the named tables read as streams."""
-        return Tables(self.spark, self.sf_dir, names)
+    def streaming(self, *names: str, landed: str | None = None) -> Tables:
+        """The same views with the named tables read as streams, of their own file or of a folder where rows land."""
+        return Tables(self.spark, self.sf_dir, names, landed)
 
     def raw(self, name: str) -> DataFrame:
         table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name in self.streamed and self.landed is not None:
+            return stream_files(self.spark, self.landed, table.schema)
         if name in self.streamed:
             return stream_files(self.spark, self.sf_dir, table.schema, f"{name}.parquet")
         return table

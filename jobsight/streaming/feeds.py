@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from jobsight.session import shared_dir
 
-WATERMARK = "10 minutes"
+DELAY_SECONDS = 600
+WATERMARK = f"{DELAY_SECONDS} seconds"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,6 +39,7 @@ def _stateful(spark: SparkSession) -> Iterator[None]:
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
         "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
+        "spark.sql.streaming.numRecentProgressUpdates": "10000",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
@@ -54,8 +56,11 @@ def _stateful(spark: SparkSession) -> Iterator[None]:
 
 def run(
     stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
-) -> None:
-    """Hand every micro-batch to ``on_batch`` until the input is used up. A restart goes on from the checkpoint."""
+) -> int:
+    """Hand every micro-batch to ``on_batch`` until the input is used up. A restart goes on from the checkpoint.
+
+    Returns the number of rows that came after the watermark had passed them and were dropped.
+    """
     spark = stream.sparkSession
     with _stateful(spark):
         query = (
@@ -66,6 +71,7 @@ def run(
             .start()
         )
     query.awaitTermination()
+    return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
 
 
 def parquet_batches(folder: str) -> Callable[[DataFrame, int], None]:
@@ -96,27 +102,75 @@ def read_batches(spark: SparkSession, schema: T.StructType, folder: str) -> Data
     return spark.read.schema(written).parquet(folder).drop("batch")
 
 
-def drain(stream: DataFrame, purpose: str, mode: str = "append", key: Sequence[str] | None = None) -> DataFrame:
-    """Run a stream until its input is used up and return what it wrote.
-
-    With a key the last version of every key counts, as in update mode.
-    """
-    spark = stream.sparkSession
-    folder = shared_dir(spark, f"stream-{purpose}")
-    run(stream, parquet_batches(f"{folder}/out"), f"{folder}/checkpoint", mode)
-    out = read_batches(spark, stream.schema, f"{folder}/out")
+def _last_versions(out: DataFrame, key: Sequence[str] | None) -> DataFrame:
+    """All rows, or with a key the last version of every key, as in update mode."""
     if key is None:
         return out.drop("_batch")
-    columns = [c for c in stream.columns if c not in key]
+    columns = [c for c in out.columns if c not in (*key, "_batch")]
     last = out.groupBy(*key).agg(F.max_by(F.struct(*columns), "_batch").alias("_row"))
     return last.select(*key, "_row.*")
 
 
-def drain_groups(stream: DataFrame, purpose: str, key: Sequence[str]) -> DataFrame:
-    """Like ``drain`` where every batch writes the whole group of rows of a key: the rows of its last batch."""
-    spark = stream.sparkSession
-    folder = shared_dir(spark, f"stream-{purpose}")
-    run(stream, parquet_batches(f"{folder}/out"), f"{folder}/checkpoint", "update")
-    out = read_batches(spark, stream.schema, f"{folder}/out")
+def _last_groups(out: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Where every batch writes the whole group of rows of a key: the rows of its last batch."""
     last = out.groupBy(*key).agg(F.max("_batch").alias("_batch"))
     return out.join(last, [*key, "_batch"]).drop("_batch")
+
+
+def drain(stream: DataFrame, purpose: str, mode: str = "append", key: Sequence[str] | None = None) -> DataFrame:
+    """Run a stream until its input is used up and return what it wrote; with a key, the last version of every key."""
+    spark = stream.sparkSession
+    folder = shared_dir(spark, f"stream-{purpose}")
+    run(stream, parquet_batches(f"{folder}/out"), f"{folder}/checkpoint", mode)
+    return _last_versions(read_batches(spark, stream.schema, f"{folder}/out"), key)
+
+
+class Replay:
+    """A finished table as a stream: its rows land slice by slice of their time, and the stream goes on after each.
+
+    Rows come out of order: each is held back by a part of the watermark's delay that its content decides, so some come
+    with the next slice. Every slice is a run from the checkpoint of the one before, and the end of the input, a time
+    beyond all rows, moves the watermark past the last of them, so that no row is left waiting.
+    """
+
+    def __init__(self, table: DataFrame, time: str, purpose: str, slices: int = 3):
+        self.spark, self.table, self.time, self.slices = table.sparkSession, table, time, slices
+        self.folder = shared_dir(self.spark, f"replay-{purpose}")
+        self.landed, self.ended = f"{self.folder}/landed", f"{self.folder}/ended"
+        self.table.limit(0).write.parquet(self.landed)
+        self.spark.createDataFrame([], "ts timestamp").write.parquet(self.ended)
+
+    def watermarked(self, rows: DataFrame) -> DataFrame:
+        """Rows with their time in ``ts``, the end of the input after them, and the watermark.
+
+        The end comes as a row of nulls with a time, which every processor passes over. Spark starts its watermark at
+        the year 1970, so rows of that moment or before are late.
+        """
+        end = stream_files(self.spark, self.ended, T.StructType([T.StructField("ts", T.TimestampType())]))
+        return rows.unionByName(end, allowMissingColumns=True).withWatermark("ts", WATERMARK)
+
+    def _arrivals(self) -> Iterator[DataFrame]:
+        held_us = DELAY_SECONDS * 900_000
+        us = F.unix_micros(F.col(self.time).cast("timestamp"))
+        late = self.table.withColumn("_at", us + F.pmod(F.xxhash64(*self.table.columns), F.lit(held_us)))
+        low, high = late.agg(F.min("_at"), F.max("_at")).first()
+        if low is None:
+            yield self.table
+            return
+        width = (high - low) // self.slices + 1
+        slot = F.coalesce(F.floor((F.col("_at") - low) / width), F.lit(0))
+        for k in range(self.slices):
+            yield late.filter(slot == k).drop("_at")
+
+    def drain(self, stream: DataFrame, mode: str = "append", group: Sequence[str] | None = None) -> DataFrame:
+        """What the stream wrote after all slices and the end; with a group, the rows of its last batch."""
+        sink = parquet_batches(f"{self.folder}/out")
+        for rows in self._arrivals():
+            rows.write.mode("append").parquet(self.landed)
+            run(stream, sink, f"{self.folder}/checkpoint", mode)
+        last = self.table.select(F.max(F.col(self.time).cast("timestamp")).alias("ts")).filter("ts IS NOT NULL")
+        beyond = F.timestamp_seconds(F.floor(F.unix_seconds("ts")) + DELAY_SECONDS + 2)
+        last.select(beyond.alias("ts")).write.mode("append").parquet(self.ended)
+        run(stream, sink, f"{self.folder}/checkpoint", mode)
+        out = read_batches(self.spark, stream.schema, f"{self.folder}/out")
+        return out.drop("_batch") if group is None else _last_groups(out, group)

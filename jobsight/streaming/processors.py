@@ -1,7 +1,8 @@
 """Keyed state of live applications: cooldown, metric history, status changes, tuning sessions.
 
-Each processor sorts the rows of a batch by event time before it looks at them.
-The state of a key is small: one value, or at most the retained points.
+Alerts, status changes, registrations and histories go by event time: rows may come out of order within the delay of
+the watermark, later ones are dropped and counted (``feeds.run``), and state goes when it can make no difference any
+more or when its application has been silent for long. Sessions go by their own numbering and sort within a batch.
 
 Spark also unpickles a processor in a helper process that does not see the
 files shipped to the workers, so this module is pickled by value and its
@@ -24,6 +25,7 @@ from jobsight.operators import tuning
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HOUR_US = 3_600_000_000
+IDLE_US = 90 * 24 * HOUR_US
 SESSION_CONFIG, TUNABLE = dict(tuning.SESSION_CONFIG), dict(tuning.TUNABLE)
 STEP_METRICS, STRATEGIES = dict(tuning.STEP_METRICS), dict(tuning.STRATEGIES)
 LOWER_IS_BETTER = list(tuning.LOWER_IS_BETTER)
@@ -34,101 +36,245 @@ def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(by, ignore_index=True)
 
 
-class Cooldown(StatefulProcessor):
-    """Lets a trigger through when its key has not fired within the cooldown."""
+def _ms_after(us: int) -> int:
+    """First millisecond at or after a time; timers and watermarks count in milliseconds."""
+    return -(-us // 1000)
+
+
+class InOrder(StatefulProcessor):
+    """Gives the rows of a key to ``follow`` in the order of (us, event_id), each once the watermark has passed it.
+
+    Rows wait in the state until then, so their order of arrival does not matter as long as they are no later than the
+    watermark's delay. Later ones never arrive here: Spark drops and counts them. Rows without a time or an id are left
+    out. ``expires`` says from when on the rest of a key's state makes no difference; ``forget`` removes it then.
+    """
+
+    waiting_columns: dict[str, str] = {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us LONG")
+        self.handle = handle
+        fields = {"us": "LONG", "event_id": "LONG", **self.waiting_columns}
+        self.waiting = handle.getListState("waiting", ", ".join(f"{k} {v}" for k, v in fields.items()))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        first = None
+        for chunk in rows:
+            chunk = chunk[chunk["us"].notna() & chunk["event_id"].notna()]
+            if chunk.empty:
+                continue
+            times = chunk["us"].astype("int64")
+            columns = [times.tolist(), chunk["event_id"].astype("int64").tolist()]
+            columns += [chunk[c].tolist() for c in self.waiting_columns]
+            self.waiting.appendList(list(zip(*columns)))
+            first = int(times.min()) if first is None else min(first, int(times.min()))
+        if first is not None:
+            self.handle.registerTimer(_ms_after(first))
+        return iter([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        ready = sorted((r for r in rows if r[0] <= passed), key=lambda r: r[:2])
+        later = [r for r in rows if r[0] > passed]
+        found = None
+        if ready:
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+            found = self.follow(key, ready)
+        if later:
+            self.handle.registerTimer(_ms_after(min(r[0] for r in later)))
+        expiry = self.expires()
+        if expiry is not None and expiry <= passed:
+            self.forget()
+        elif expiry is not None:
+            self.handle.registerTimer(_ms_after(expiry))
+        if found is not None and len(found):
+            yield found
+
+    def close(self) -> None:
+        pass
+
+
+class Cooldown(InOrder):
+    """Lets a trigger through when its key has not fired within the cooldown.
+
+    Of triggers at one time the smallest event fires; without cooldown all do. The last alert is forgotten when its
+    cooldown is over, as the next trigger fires with or without it.
+    """
+
+    waiting_columns = {"cooldown_us": "LONG"}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "us LONG, cooldown_us LONG")
+
+    def follow(self, key: Any, rows: list[tuple]) -> pd.DataFrame:
         last = self.last.get()[0] if self.last.exists() else None
         fired = []
-        batch = _sorted(rows, ["us", "event_id"])
-        for us, event_id, cooldown in zip(batch["us"], batch["event_id"], batch["cooldown_us"]):
+        for us, event_id, cooldown in rows:
             if last is None or us - last >= cooldown:
-                fired.append((*key, int(us), int(event_id)))
-                last = int(us)
+                fired.append((*key, us, event_id))
+                last = us
         if fired:
-            self.last.update((last,))
-            yield pd.DataFrame(fired, columns=["rule", "app_id", "us", "event_id"])
+            self.last.update((last, int(rows[-1][2])))
+        return pd.DataFrame(fired, columns=["rule", "app_id", "us", "event_id"])
 
-    def close(self) -> None:
-        pass
+    def expires(self) -> int | None:
+        return sum(self.last.get()) if self.last.exists() else None
+
+    def forget(self) -> None:
+        self.last.clear()
 
 
 def cooldown_alerts(triggers: DataFrame) -> DataFrame:
+    """Alerts of a stream of triggers (rule, app_id, us, event_id, cooldown_us) that has a watermark."""
     return triggers.groupBy("rule", "app_id").transformWithStateInPandas(
         statefulProcessor=Cooldown(),
         outputStructType="rule string, app_id string, us long, event_id long",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
 class History(StatefulProcessor):
-    """Keeps the newest points of a metric, by number and age, and gives the kept ones after every batch."""
+    """Keeps the newest points of a metric, by number and age, and gives the kept ones after every batch.
+
+    The points go once the watermark is past the age of the newest: a point after that would leave none of them.
+    """
 
     def __init__(self, max_points: int = 1000, max_age_us: int = HOUR_US):
         self.max_points, self.max_age_us = max_points, max_age_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.points = handle.getListState("points", "us LONG, event_id LONG, value DOUBLE")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = [tuple(p) for p in self.points.get()] if self.points.exists() else []
-        new = [
-            (int(u), int(e), float(v))
-            for b in rows
-            for u, e, v in zip(b["us"], b["event_id"], b["value"])
-        ]
-        kept = sorted(held + new)[-self.max_points :]
-        oldest = kept[-1][0] - self.max_age_us
-        kept = [p for p in kept if p[0] > oldest]
+        kept = [tuple(p) for p in self.points.get()] if self.points.exists() else []
+        for chunk in rows:
+            chunk = chunk[chunk["us"].notna() & chunk["event_id"].notna()].nlargest(self.max_points, ["us", "event_id"])
+            new = zip(chunk["us"].astype("int64").tolist(), chunk["event_id"].astype("int64").tolist(), chunk["value"].tolist())
+            kept = sorted([*kept, *new], key=lambda p: p[:2])[-self.max_points :]
+        if not kept:
+            return
+        newest = kept[-1][0]
+        kept = [p for p in kept if p[0] > newest - self.max_age_us]
         self.points.put(kept)
+        self.handle.registerTimer(_ms_after(newest + self.max_age_us))
         out = pd.DataFrame(kept, columns=["us", "event_id", "value"])
         yield out.assign(app_id=key[0], metric_name=key[1])[["app_id", "metric_name", "us", "event_id", "value"]]
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.points.exists():
+            newest = max(p[0] for p in self.points.get())
+            if newest + self.max_age_us <= timerValues.getCurrentWatermarkInMs() * 1000:
+                self.points.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
 def metric_history(points: DataFrame, max_points: int = 1000, max_age_us: int = HOUR_US) -> DataFrame:
+    """Kept points (app_id, metric_name, us, event_id, value) of a stream that has a watermark."""
     return points.groupBy("app_id", "metric_name").transformWithStateInPandas(
         statefulProcessor=History(max_points, max_age_us),
         outputStructType="app_id string, metric_name string, us long, event_id long, value double",
         outputMode="Update",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
-class StatusChanges(StatefulProcessor):
-    """Emits a row where the status of an application changes; a new application is running."""
+class Registration(StatefulProcessor):
+    """A started event at the first sight of an application.
+
+    Who is not seen for ``idle_us`` is forgotten once the watermark has passed that, and is new at the next sight. A
+    silence between two rows of one batch is not looked for, so that only the ends of a batch are held.
+    """
+
+    def __init__(self, idle_us: int = IDLE_US):
+        self.idle_us = idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.status = handle.getValueState("status", "status STRING")
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "us LONG")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        status = self.status.get()[0] if self.status.exists() else "running"
-        changes = []
-        batch = _sorted(rows, ["us", "event_id"])
-        for new, event_id in zip(batch["status"], batch["event_id"]):
-            if new is not None and new != status:
-                changes.append((key[0], int(event_id), status, new))
-                status = new
-        self.status.update((status,))
-        if changes:
-            yield pd.DataFrame(changes, columns=["user_id", "event_id", "old_status", "new_status"])
+        spans = [(int(t.min()), int(t.max())) for t in (chunk["us"].dropna() for chunk in rows) if len(t)]
+        if not spans:
+            return
+        oldest, newest = min(low for low, _ in spans), max(high for _, high in spans)
+        before = self.seen.get()[0] if self.seen.exists() else None
+        last = newest if before is None else max(newest, before)
+        self.seen.update((last,))
+        self.handle.registerTimer(_ms_after(last + self.idle_us))
+        if before is None or oldest - before >= self.idle_us:
+            yield pd.DataFrame({"user_id": [key[0]], "event": ["application_started"]})
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.seen.exists() and self.seen.get()[0] + self.idle_us <= timerValues.getCurrentWatermarkInMs() * 1000:
+            self.seen.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def status_changes(updates: DataFrame) -> DataFrame:
+def registrations(points: DataFrame, idle_us: int = IDLE_US) -> DataFrame:
+    """Started events of a stream of sights (user_id, us) that has a watermark."""
+    return points.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=Registration(idle_us),
+        outputStructType="user_id long, event string",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
+class StatusChanges(InOrder):
+    """Emits a row where the status of an application changes; a new application is running.
+
+    An application that gives no status for ``idle_us`` is new again.
+    """
+
+    waiting_columns = {"status": "STRING"}
+
+    def __init__(self, idle_us: int = IDLE_US):
+        self.idle_us = idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.status = handle.getValueState("status", "status STRING, us LONG")
+
+    def follow(self, key: Any, rows: list[tuple]) -> pd.DataFrame:
+        status, last = self.status.get() if self.status.exists() else ("running", rows[0][0])
+        changes = []
+        for us, event_id, new in rows:
+            if new is None or new != new:
+                continue
+            if us - last >= self.idle_us:
+                status = "running"
+            if new != status:
+                changes.append((key[0], event_id, status, new))
+            status, last = new, us
+        self.status.update((status, last))
+        return pd.DataFrame(changes, columns=["user_id", "event_id", "old_status", "new_status"])
+
+    def expires(self) -> int | None:
+        return self.status.get()[1] + self.idle_us if self.status.exists() else None
+
+    def forget(self) -> None:
+        self.status.clear()
+
+
+def status_changes(updates: DataFrame, idle_us: int = IDLE_US) -> DataFrame:
+    """Changes of a stream of updates (user_id, event_id, us, status) that has a watermark."""
     return updates.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=StatusChanges(),
+        statefulProcessor=StatusChanges(idle_us),
         outputStructType="user_id long, event_id long, old_status string, new_status string",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobsight.operators import alerts, neighbors, ordered, tuning, workloads
-from jobsight.streaming import feeds, processors
 
 
 @pytest.fixture(scope="module")
@@ -69,18 +68,6 @@ def test_cooldown_equals_the_greedy_walk(spark, span, cooldown):
     assert {a: sorted(t) for a, t in got.items()} == want
 
 
-def test_cooldown_stream_over_several_batches(spark, tmp_path):
-    rnd = random.Random(3)
-    times = sorted(rnd.sample(range(100_000), 900))
-    rows = [("r", "a", 300, t, i) for i, t in enumerate(times)]
-    schema = "rule string, app_id string, cooldown_us long, us long, event_id long"
-    for part in range(3):
-        spark.createDataFrame(rows[part * 300 : part * 300 + 300], schema).coalesce(1).write.mode("append").parquet(str(tmp_path))
-    stream = feeds.stream_files(spark, str(tmp_path), spark.read.parquet(str(tmp_path)).schema, files_per_batch=1)
-    out = feeds.drain(processors.cooldown_alerts(stream), "test")
-    assert sorted(r["us"] for r in out.collect()) == greedy(times, 300)
-
-
 def test_nearest_by_size_equals_all_pairs(spark):
     rnd = random.Random(5)
     runs = [(f"r{i:04d}", rnd.choice([0, 7, 7, 7, 100, int(rnd.paretovariate(0.5) * 50)]), rnd.randrange(40)) for i in range(800)]
