@@ -48,6 +48,19 @@ def test_models_learn_predict_in_range_and_reload(spark, runs, tmp_path):
         learn.load(spark, str(tmp_path / "nowhere"))
 
 
+def test_runs_of_one_partition_are_spread_over_the_cores(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(learn, "TARGETS", learn.TARGETS[: max(1, cores // 2)])
+    rows = spark.range(0, 400, 1, 1)
+    wanted = cores // len(learn.TARGETS)
+    monkeypatch.setattr(learn, "TASK_RUNS", 10)
+    assert learn.spread(rows, 400).rdd.getNumPartitions() == max(1, wanted)
+    assert learn.spread(rows, 400).exceptAll(rows).count() == 0 and learn.spread(rows, 400).count() == 400
+    # A small table, and one in more partitions already, stay as they are.
+    assert learn.spread(rows, 15).rdd.getNumPartitions() == 1
+    assert learn.spread(spark.range(0, 400, 1, 50), 400).rdd.getNumPartitions() == 50
+
+
 def test_too_few_runs_are_refused(runs):
     with pytest.raises(ValueError, match="at least"):
         learn.train(runs.limit(5), folds=0)
