@@ -12,14 +12,14 @@ A feature counts if the lower bound of its share of toxic documents is high; its
 that it is seen in, so copies of one document do not make a feature. Evidence is combined as one minus the product of the
 doubts.
 
-Fitted on at most ``FIT_ROWS`` labelled rows, those of the least hash of their id; everything else covers all rows and
-whole texts. Null and empty texts, and all texts if nothing could be learned, have the score of a text without evidence.
+Fitted on all labelled rows outside the held-out fold, and on whole texts. Null and empty texts, and all texts if nothing could be learned, have the score of a text without evidence.
 Repeated rows are scored alike; extra columns do not matter; a table without rows gives none.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from math import log, log10, sqrt
@@ -31,18 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobsight.llm.batches import filled, filter_batches, map_batches
+from jobsight.llm.batches import filled, filter_batches, held, map_batches
 from jobsight.llm.language import fold
 from jobsight.llm.pretokens import words_of
 from jobsight.session import stored
 
 FOLDS, HELD_OUT = 3, 1
-FIT_ROWS, THRESHOLD = 12_000, 0.7
+THRESHOLD = 0.7
 #: A feature's least support, the width of its lower bound in deviations, and the least bound that counts.
 SUPPORT, DEVIATIONS, LEAST = 6, 2.5, 0.5
 PREFIXES = (4, 5)
 #: Beginnings that different words may have in common, how many words are told apart, and within how many words of the text.
 STEMS, LEVELS, WINDOW = (4, 5, 6, 7), (2, 3), 200
+#: The least share of the fit rows that have a word which is likely as a whole, so that pieces of disguises, which large
+#: tables hold several times by chance, are none, and their number is bounded.
+KNOWN_SHARE = 1 / 2000
 #: The longest word whose count is kept; longer ones are decoded by their letters.
 KNOWN_LENGTH = 40
 #: Words remembered by one worker at most, and their longest length; both only bound memory.
@@ -92,8 +95,9 @@ class CharModel:
         self._one = {c: n / total for c, n in one.items()}
         self._rare = 0.1 / (total + 1)
         self._known: dict[str, float] = {}
-        #: What cores of words were restored to, kept by the worker that did it.
+        #: What cores of words were restored to; tasks go on with those of their worker, known by the name of the model.
         self.restored: dict[str, list[str]] = {}
+        self.name = uuid.uuid4().hex
         all_ = sum((words or {}).values())
         self.words = {w: log(n / all_) for w, n in (words or {}).items()}
         self.beginnings = {w[:n] for w in self.words for n in range(1, len(w) + 1)}
@@ -107,6 +111,17 @@ class CharModel:
         return found
 
 
+def _restored(name: str) -> dict[str, list[str]]:
+    """An empty memory for the model of this name."""
+    return {}
+
+
+def remembering(model: CharModel) -> CharModel:
+    """``model`` with what earlier tasks of this worker restored under it."""
+    model.restored = held(_restored, model.name)
+    return model
+
+
 def lattice(text: str, literal: bool = False) -> list[tuple[list[str], float | None, float | None]]:
     """For each character the letters that it may have been, the cost of its being nothing, and that of a word's end
     there; None if it cannot be. Separators in a row are one. ``literal``: only separators may be nothing."""
@@ -299,15 +314,15 @@ def trigrams(words) -> Counter:
     return counts
 
 
-def _fit_rows(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
-    """At most ``fit_rows`` labelled rows outside the held-out fold, with their texts, written once."""
+def _fit_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All labelled rows outside the held-out fold, with their texts, written once."""
     wanted = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(FOLDS) != HELD_OUT))
-    wanted = wanted.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    # Bounded by fit_rows, so it may go to every task and the texts need not be shuffled.
-    return stored(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"), "fit-rows")
+    texts = docs.select("doc_id", "text").filter(fold(FOLDS) != HELD_OUT)
+    # Merged whatever the size, so that shuffles grow with the texts from the start.
+    return stored(texts.join(wanted.dropDuplicates(["doc_id"]).hint("merge"), "doc_id"), "fit-rows")
 
 
-def _model(rows: DataFrame) -> CharModel:
+def _model(rows: DataFrame, count: int) -> CharModel:
     schema = T.StructType([T.StructField("part", T.StringType()), T.StructField("word", T.BooleanType()), T.StructField("n", T.LongType())])
 
     def make():
@@ -328,8 +343,9 @@ def _model(rows: DataFrame) -> CharModel:
         return work
 
     counts = map_batches(rows, make, schema, "text").groupBy("word", "part").agg(F.sum("n").alias("n"))
-    # Rare words and those too long to be one are left to the letters; both are bounded by the fit rows.
-    counts = counts.filter(~F.col("word") | (F.col("n") >= SUPPORT) & (F.length("part") <= KNOWN_LENGTH)).collect()
+    # Rare words and those too long to be one are left to the letters.
+    least = max(SUPPORT, count * KNOWN_SHARE)
+    counts = counts.filter(~F.col("word") | (F.col("n") >= least) & (F.length("part") <= KNOWN_LENGTH)).collect()
     return CharModel({r.part: r.n for r in counts if not r.word}, {r.part: r.n for r in counts if r.word})
 
 
@@ -375,6 +391,7 @@ def _supported(rows: DataFrame, model: CharModel) -> dict[str, int]:
     schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("around", T.LongType()), T.StructField("doc_id", T.LongType())])
 
     def make():
+        remembering(model)
         known: dict[str, list[str]] = {}
 
         def work(batch):
@@ -391,7 +408,7 @@ def _supported(rows: DataFrame, model: CharModel) -> dict[str, int]:
     toxic = rows.filter("toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = map_batches(toxic, make, schema, "text").groupBy("feature")
     seen = seen.agg(F.least(F.approx_count_distinct("doc_id", 0.02), F.approx_count_distinct("around", 0.02)).alias("n")).filter(F.col("n") >= SUPPORT)
-    # Bounded by the fit rows: each feature needs SUPPORT documents.
+    # Bounded by the words of the toxic rows: each feature needs SUPPORT documents.
     return {r.feature: r.n for r in seen.collect()}
 
 
@@ -401,18 +418,28 @@ def _clean_counts(rows: DataFrame, model: CharModel, wanted: frozenset[str]) ->
     shared = stems_in(wanted)
 
     def make():
-        known: dict[str, list[str]] = {}
+        remembering(model)
+        #: By word: its wanted features, the stems that it may share with others, and its first reading.
+        known: dict[str, tuple[list[str], list[str], str]] = {}
+
+        def told(word):
+            own = _word_features(word, model, {})
+            first = own[0] if own else ""
+            out = [f for f in own if f in wanted], [stem for stem in stems_of(first) if stem in shared], first
+            if len(known) < _MEMO and len(word) <= _MEMO_LENGTH:
+                known[word] = out
+            return out
 
         def work(batch):
             counts: Counter = Counter()
             for text in filled(batch.column("text")).to_pylist():
                 words, places, found = text.split(), {}, set()
                 for i, w in enumerate(words):
-                    own = _word_features(w, model, known)
-                    found.update(f for f in own if f in wanted)
-                    for stem in stems_of(own[0]) if own else ():
-                        if stem in shared:
-                            places.setdefault(stem, []).append((i, own[0]))
+                    own, stems, first = known.get(w) or told(w)
+                    if own:
+                        found.update(own)
+                    for stem in stems:
+                        places.setdefault(stem, []).append((i, first))
                 found.update(f for f, _ in gathered(places, len(words)) if f in wanted)
                 found.update(f for reading, _ in spelt_out(text, model) for f in features_of(reading) if f in wanted)
                 counts.update(found)
@@ -424,17 +451,17 @@ def _clean_counts(rows: DataFrame, model: CharModel, wanted: frozenset[str]) ->
     return {r.feature: r.n for r in map_batches(clean, make, schema, "text").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[CharModel, dict[str, float], float]:
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[CharModel, dict[str, float], float]:
     """The character model, the weight (toxic share, lower bound) of every feature that counts, and the score of a text
     without evidence."""
-    rows = _fit_rows(docs, labels, fit_rows)
-    model = _model(rows)
+    rows = _fit_rows(docs, labels)
+    counts = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    toxic, all_ = counts.get(1, 0), sum(counts.values())
+    model = _model(rows, all_)
     supported = _supported(rows, model)
     clean = _clean_counts(rows, model, frozenset(supported)) if supported else {}
     weights = {f: lower_bound(n, n + clean.get(f, 0)) for f, n in supported.items()}
     weights = telling_beginnings({f: w for f, w in weights.items() if w >= LEAST}, supported, clean)
-    counts = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    toxic, all_ = counts.get(1, 0), sum(counts.values())
     prior = (toxic + 1) / (all_ + 2)
     # With features at hand a text without any is much less likely toxic than the share of toxic rows.
     return model, weights, prior / 10 if weights else min(prior, THRESHOLD / 2)
@@ -539,7 +566,7 @@ def scored(docs: DataFrame, fitted: tuple[CharModel, dict[str, float], float]) -
     model, weights, prior = fitted
 
     def make():
-        tool = Scorer(model, weights, prior)
+        tool = Scorer(remembering(model), weights, prior)
 
         def work(batch):
             scores = tool.scores(filled(batch.column("text")))
@@ -555,7 +582,7 @@ def clean(docs: DataFrame, fitted: tuple[CharModel, dict[str, float], float]) ->
     model, weights, prior = fitted
 
     def make():
-        tool = Scorer(model, weights, prior)
+        tool = Scorer(remembering(model), weights, prior)
         return lambda texts: [s < THRESHOLD for s in tool.scores(texts)]
 
     return filter_batches(docs, make)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -378,6 +380,27 @@ def test_gathered_equals_all_windows(seed):
     assert [f for f, _ in toxicity.gathered({"stem": found}, length)] == [f"stem~{n}" for n in toxicity.LEVELS if most >= n]
 
 
+def test_every_labelled_row_is_learned_from(spark):
+    """An insult that few rows beyond the first 12,000 have, and words that only their number makes frequent."""
+    ids = spark.range(24_000).withColumn("doc_id", F.col("id")).withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")))
+    rare = (F.col("n") > 21_000) & (F.col("doc_id") % 7 == 0)
+    common = F.when(F.col("doc_id") % 2400 == 0, F.concat(F.lit(" id ot v"), F.col("doc_id"))).otherwise("")
+    text = F.concat(F.lit("theri onan "), F.when(rare, F.concat(F.lit("w"), F.col("n"), F.lit(" moron v"), F.col("n"))).otherwise("anly"), common)
+    table = ids.select("doc_id", text.alias("text"), rare.cast("int").alias("toxic")).cache()
+    rows = toxicity._fit_rows(table.drop("toxic"), table.drop("text"))
+    assert rows.count() == table.filter(language.fold(toxicity.FOLDS) != toxicity.HELD_OUT).count() > 12_000
+    model, weights, _ = toxicity.fit(table.drop("toxic"), table.drop("text"))
+    assert "moron" in weights and "theri" in model.words and "ot" not in model.words
+
+
+def test_tasks_of_a_worker_share_restored_words():
+    one, other = toxicity.CharModel({"^^a": 1, "^a$": 1}), toxicity.CharModel({"^^a": 1, "^a$": 1})
+    toxicity.readings("a-a", toxicity.remembering(one))
+    again = pickle.loads(pickle.dumps(one))
+    assert toxicity.remembering(again).restored is one.restored and "a-a" in one.restored
+    assert not toxicity.remembering(other).restored
+
+
 def test_beginnings_that_only_one_word_explains_are_dropped():
     weights = {"lose~": 0.74, "loser": 0.93, "idio~": 0.94, "idiot": 0.94}
     kept = toxicity.telling_beginnings(weights, {"lose~": 86, "loser": 86, "idio~": 97, "idiot": 95}, {"lose~": 9})
