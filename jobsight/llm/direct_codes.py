@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import public_tokenizers
@@ -36,6 +38,7 @@ from jobsight.session import shared_dir
 VOCABULARY = "word_bpe_49k.json"
 MAGIC = b"DACIDS01"
 WIDTH, RANK, FILE_TOKENS = 8, 512, 1 << 20
+_LATIN_WORD = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -139,26 +142,29 @@ class WordIds:
         self._table = PartTable(self._many, glued)
         # Words of Latin-1 letters are one pre-token each, which the library's model takes directly; the file must agree.
         probe = [space + w for space in ("", " ") for w in ["the", "Words", *(c + c for c in map(chr, range(256)) if c.isalpha())]]
-        self._direct = list(map(self._word, probe)) == self._encoded(probe)
+        self._direct = self._words(probe) == self._encoded(probe)
 
-    def _word(self, part: str) -> list[int]:
-        shown = (part if self._glued else part.strip().lower()).encode().decode("latin-1").translate(self._letters)
-        return [t.id for t in self._model.tokenize(shown)]
+    def _words(self, parts: list[str]) -> list[list[int]]:
+        """Ids of words of Latin-1 letters; all are turned into the letters of the file at once, with line ends between."""
+        if not parts:
+            return []
+        text = "\n".join(parts if self._glued else [p.strip() for p in parts])
+        shown = (text if self._glued else text.lower()).encode().decode("latin-1").translate(self._letters)
+        tokenize = self._model.tokenize
+        return [[t.id for t in tokenize(word)] for word in shown.split(self._letters[10])]
 
     def _encoded(self, parts: list[str]) -> list[list[int]]:
+        if not parts:
+            return []
         return [e.ids for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _many(self, parts: list[str]) -> list[list[int]]:
         if not self._direct:
             return self._encoded(parts)
-        out: list[list[int] | None] = []
-        for part in parts:
-            word = part[1:] if part[:1] == " " else part
-            out.append(self._word(part) if word.isalpha() and max(word) < "\u0100" else None)
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(rest, self._encoded([parts[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
+        plain = [_LATIN_WORD(part) is not None for part in parts]
+        words = iter(self._words(list(compress(parts, plain))))
+        rest = iter(self._encoded([part for part, own in zip(parts, plain, strict=True) if not own]))
+        return [next(words if own else rest) for own in plain]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return self._table.ids(texts)

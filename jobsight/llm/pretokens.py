@@ -23,7 +23,8 @@ _SPACE_THEN_SPACE = re.compile(r" \s")
 MEMO_ENTRIES, MEMO_LENGTH = 250_000, 48
 
 #: What a word is often followed by. A letter before it always ends a pre-token, so it is handled as a part of its own.
-_TAIL = ".,"
+#: No apostrophe, which begins the ends of English words, and nothing that added tokens of vocabularies have.
+_TAIL = ".,!?:;$%&*"
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:
@@ -79,14 +80,18 @@ class PartTable:
         if not missing:
             return [known[p] for p in parts], {}
         # A part with a tail is its core and its tail. Latin-1 letters stay letters under any normalisation.
-        cut = {}
+        cut, needed = {}, {}
         for p in missing:
             core = p.rstrip(_TAIL)
-            if core != p and core and core[-1].isalpha() and core[-1] < "\u0100":
-                cut[p] = (core, p[len(core) :])
-        needed = dict.fromkeys(p for p in missing if p not in cut)
-        for pair in cut.values():
-            needed.update(dict.fromkeys(x for x in pair if x not in known))
+            if core == p or not core or core[-1] >= "\u0100" or not core[-1].isalpha():
+                needed[p] = None
+                continue
+            tail = p[len(core) :]
+            cut[p] = core, tail
+            if core not in known:
+                needed[core] = None
+            if tail not in known:
+                needed[tail] = None
         made = self._make(list(needed))
         lengths = np.fromiter(map(len, made), np.int64, len(made))
         flat = np.fromiter(chain.from_iterable(made), np.int32, int(lengths.sum()))

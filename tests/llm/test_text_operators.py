@@ -475,3 +475,19 @@ def test_parts_are_independent_of_each_other():
     ids, bounds = direct_codes.word_ids(public_tokenizers.path("byte_bpe_50k.json"), True).ids(pa.array(texts))
     for text, a, b in zip(texts, bounds, bounds[1:], strict=False):
         assert own.encode(text, add_special_tokens=False).ids == ids[a:b].tolist()
+
+
+@pytest.mark.parametrize("name, glued", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_words_with_signs_behind_them_are_encoded_as_the_library_does(name, glued):
+    rng = random.Random(5)
+    words = ["Thor", "reais", "ciónñ", "don't", "x²", "µm", "ªº", "İi", "漢", "7", "a_b", "<|endoftext|>x", "é\u0301e", ""]
+    texts = [" ".join(rng.choice(words) + "".join(rng.choices(".,!?:;$%&*'#", k=rng.randrange(4))) for _ in range(30)) for _ in range(60)]
+    tool = direct_codes.WordIds(public_tokenizers.path(name), glued)
+    # Signs behind a word cost no call of the whole tokenizer.
+    sent, encoded = [], tool._encoded
+    tool._encoded = lambda parts: sent.extend(parts) or encoded(parts)
+    flat, bounds = tool.ids(pa.array(texts))
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == expected
+    assert tool._direct and not any(re.fullmatch(r" ?(Thor|reais)[.,!?:;$%&*]*", p) for p in sent)
