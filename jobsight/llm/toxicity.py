@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from math import log, log10, sqrt
 
 import numpy as np
@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobsight.llm.batches import filled, filter_batches, held, map_batches
+from jobsight.llm.batches import filled, filter_batches, fold_batches, held, map_batches
 from jobsight.llm.language import fold
-from jobsight.llm.pretokens import words_of
+from jobsight.llm.pretokens import ragged, words_of
 from jobsight.session import stored
 
 FOLDS, HELD_OUT = 3, 1
@@ -43,6 +43,8 @@ SUPPORT, DEVIATIONS, LEAST = 6, 2.5, 0.5
 PREFIXES = (4, 5)
 #: Beginnings that different words may have in common, how many words are told apart, and within how many words of the text.
 STEMS, LEVELS, WINDOW = (4, 5, 6, 7), (2, 3), 200
+#: One in so many clean rows shows first which features are ordinary words.
+FIRST_PART = 8
 #: The least share of the fit rows that have a word which is likely as a whole, so that pieces of disguises, which large
 #: tables hold several times by chance, are none, and their number is bounded.
 KNOWN_SHARE = 1 / 2000
@@ -74,6 +76,11 @@ LOOKS_LIKE = {
 _SIGNS = "".join(LOOKS_LIKE)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DOUBLE = re.compile(r"([^\W\d_])\1")
+_REPEATS = re.compile(r"(.)\1+")
+#: Punctuation around a word that no reading of it keeps.
+_AROUND = ".,;:?*&%#)[]{}<>-_/=~^`'\""
+_ENDS = _AROUND + "".join(c for c in LOOKS_LIKE if not c.isdigit())
+_SIGN_LETTERS = {letter for letters in LOOKS_LIKE.values() for letter in letters}
 _RUN = re.compile(r"([^\W\d_]|[@$!|+(€])\1\1+")
 #: At least three single characters with separators between.
 _GAP = r"(?:[^\w@$!|+(€]|_)"
@@ -250,6 +257,37 @@ def readings(word: str, model: CharModel) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+class Dull:
+    """Whether no reading of a word begins like one of some features, where that is seen without decoding it.
+
+    The word has only letters, apart from punctuation around it: its readings differ in repeats alone, so they are one
+    without repeats. At least four different letters may be followed by up to three signs, which are letters at the end or
+    words too short to be a feature.
+    """
+
+    def __init__(self, features: Iterable[str]):
+        self.beginnings = {f[: PREFIXES[0]] for f in features}
+        self._single = {_REPEATS.sub(r"\1", b) for b in self.beginnings}
+        self._short = any(len(b) < PREFIXES[0] and set(b) <= _SIGN_LETTERS for b in self.beginnings)
+
+    def __call__(self, word: str) -> bool:
+        core = word.lower().strip(_AROUND)
+        if core[: PREFIXES[0]] in self.beginnings:
+            return False
+        if core.isalpha():
+            if not _DOUBLE.search(core):
+                return True
+            once = _REPEATS.sub(r"\1", core)
+        else:
+            letters = core.rstrip(_ENDS)
+            if self._short or not letters.isalpha():
+                return False
+            once = _REPEATS.sub(r"\1", letters)
+            if len(once) < PREFIXES[0] or sum(c in LOOKS_LIKE for c in squeezed(core[len(letters) :])) >= PREFIXES[0]:
+                return False
+        return not any(once[:n] in self._single for n in range(1, PREFIXES[0] + 1))
+
+
 def spelt_out(text: str, model: CharModel) -> Iterator[tuple[str, int]]:
     """Words spelt letter by letter, restored, each with a hash of the words around it."""
     for m in _SPELT.finditer(text):
@@ -306,12 +344,35 @@ def alike(a: str, b: str) -> bool:
     return a.startswith(b) or b.startswith(a)
 
 
-def trigrams(words) -> Counter:
-    counts: Counter = Counter()
-    for w in words:
-        w = f"^^{w}$"
-        counts.update(w[i : i + 3] for i in range(len(w) - 2))
-    return counts
+def trigrams(words: Iterable[str]) -> dict[str, int]:
+    """Counts of three letters in a row, ^ before and $ after a word."""
+    codes = np.frombuffer("".join(f"^^{w}$" for w in words).encode("utf-32-le"), "<u4").astype(np.int64)
+    first, second, third = codes[:-2], codes[1:-1], codes[2:]
+    inside = (first != ord("$")) & (second != ord("$"))
+    found, counts = np.unique(((first << 42) | (second << 21) | third)[inside], return_counts=True)
+    letter = (1 << 21) - 1
+    return {f"{chr(t >> 42)}{chr(t >> 21 & letter)}{chr(t & letter)}": n for t, n in zip(found.tolist(), counts.tolist(), strict=True)}
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """As np.unique, whose hashing is many times slower than sorting numbers that are almost in order."""
+    numbers = np.sort(numbers)
+    return numbers[np.concatenate([[True], numbers[1:] != numbers[:-1]])] if len(numbers) else numbers
+
+
+def rows_with_parts(texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The distinct runs of letters in the texts, lower-cased, and in how many texts each is."""
+    distinct, numbers, offsets = words_of(texts)
+    own = [_LETTERS.findall(w.lower()) for w in distinct]
+    lengths = np.fromiter(map(len, own), np.int64, len(own))
+    index: dict[str, int] = {}
+    flat = np.fromiter((index.setdefault(x, len(index)) for found in own for x in found), np.int64, int(lengths.sum()))
+    rows = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    rows, words = np.divmod(_distinct(rows * len(distinct) + numbers), max(1, len(distinct)))
+    held_ = lengths[words]
+    parts = flat[ragged((np.cumsum(lengths) - lengths)[words], held_)]
+    pairs = _distinct(np.repeat(rows, held_) * len(index) + parts)
+    return list(index), np.bincount(pairs % max(1, len(index)), minlength=len(index))
 
 
 def _fit_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -327,17 +388,12 @@ def _model(rows: DataFrame, count: int) -> CharModel:
 
     def make():
         def work(batch):
-            texts = filled(batch.column("text"))
-            distinct, numbers, offsets = words_of(texts)
-            own = [_LETTERS.findall(w.lower()) for w in distinct]
-            counts = trigrams({x for found in own for x in found})
-            rows_of: Counter = Counter()
-            for start, end in zip(offsets, offsets[1:], strict=False):
-                rows_of.update({x for n in set(numbers[start:end].tolist()) for x in own[n]})
+            parts, rows_of = rows_with_parts(filled(batch.column("text")))
+            counts = trigrams(parts)
             return {
-                "part": [*counts, *rows_of],
-                "word": [False] * len(counts) + [True] * len(rows_of),
-                "n": [*counts.values(), *rows_of.values()],
+                "part": [*counts, *parts],
+                "word": [False] * len(counts) + [True] * len(parts),
+                "n": [*counts.values(), *rows_of.tolist()],
             }
 
         return work
@@ -412,26 +468,49 @@ def _supported(rows: DataFrame, model: CharModel) -> dict[str, int]:
     return {r.feature: r.n for r in seen.collect()}
 
 
-def _clean_counts(rows: DataFrame, model: CharModel, wanted: frozenset[str]) -> dict[str, int]:
-    """In how many clean rows each wanted feature is; the empty name counts the rows themselves."""
+def undecided(supported: dict[str, int], clean: dict[str, int]) -> frozenset[str]:
+    """The features that may count still, after some of the clean rows: with each more their bound only falls."""
+    return frozenset(f for f, n in supported.items() if lower_bound(n, n + clean.get(f, 0)) >= LEAST)
+
+
+def _clean_counts(rows: DataFrame, model: CharModel, supported: dict[str, int]) -> dict[str, int]:
+    """In how many clean rows each supported feature is; for a feature that can't count, in so many that it can't.
+
+    Most features are ordinary words. A part of the rows shows that, so that the others are only searched for the rest.
+    """
+    clean, counts = rows.filter("toxic = 0"), Counter()
+    first = F.pmod(F.xxhash64("doc_id"), F.lit(FIRST_PART)) == 0
+    for part in (first, ~first):
+        if wanted := undecided(supported, counts):
+            found = _rows_with(clean.filter(part).select("text"), model, wanted).groupBy("feature").agg(F.sum("n").alias("n"))
+            counts.update({r.feature: r.n for r in found.collect()})
+    return counts
+
+
+def _rows_with(clean: DataFrame, model: CharModel, wanted: frozenset[str]) -> DataFrame:
+    """In how many rows of each task each wanted feature is; a task counts all its rows before it gives anything out."""
     schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("n", T.LongType())])
     shared = stems_in(wanted)
 
     def make():
         remembering(model)
+        dull = Dull((*wanted, *shared))
+        counts: Counter = Counter()
         #: By word: its wanted features, the stems that it may share with others, and its first reading.
         known: dict[str, tuple[list[str], list[str], str]] = {}
 
         def told(word):
-            own = _word_features(word, model, {})
-            first = own[0] if own else ""
-            out = [f for f in own if f in wanted], [stem for stem in stems_of(first) if stem in shared], first
+            if dull(word):
+                out = [], [], ""
+            else:
+                own = _word_features(word, model, {})
+                first = own[0] if own else ""
+                out = [f for f in own if f in wanted], [stem for stem in stems_of(first) if stem in shared], first
             if len(known) < _MEMO and len(word) <= _MEMO_LENGTH:
                 known[word] = out
             return out
 
         def work(batch):
-            counts: Counter = Counter()
             for text in filled(batch.column("text")).to_pylist():
                 words, places, found = text.split(), {}, set()
                 for i, w in enumerate(words):
@@ -443,12 +522,10 @@ def _clean_counts(rows: DataFrame, model: CharModel, wanted: frozenset[str]) ->
                 found.update(f for f, _ in gathered(places, len(words)) if f in wanted)
                 found.update(f for reading, _ in spelt_out(text, model) for f in features_of(reading) if f in wanted)
                 counts.update(found)
-            return {"feature": list(counts), "n": list(counts.values())}
 
-        return work
+        return work, lambda: {"feature": list(counts), "n": list(counts.values())}
 
-    clean = rows.filter("toxic = 0").select("text")
-    return {r.feature: r.n for r in map_batches(clean, make, schema, "text").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    return fold_batches(clean, make, schema, "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[CharModel, dict[str, float], float]:
@@ -459,7 +536,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[CharModel, dict[str, float]
     toxic, all_ = counts.get(1, 0), sum(counts.values())
     model = _model(rows, all_)
     supported = _supported(rows, model)
-    clean = _clean_counts(rows, model, frozenset(supported)) if supported else {}
+    clean = _clean_counts(rows, model, supported)
     weights = {f: lower_bound(n, n + clean.get(f, 0)) for f, n in supported.items()}
     weights = telling_beginnings({f: w for f, w in weights.items() if w >= LEAST}, supported, clean)
     prior = (toxic + 1) / (all_ + 2)
@@ -490,7 +567,8 @@ class Scorer:
     def __init__(self, model: CharModel, weights: dict[str, float], prior: float):
         self._model, self._weights, self._prior = model, weights, prior
         self._stems = stems_in(weights)
-        self._beginnings = {f[: PREFIXES[0]] for f in (*weights, *self._stems)}
+        self._dull = Dull((*weights, *self._stems))
+        self._beginnings = self._dull.beginnings
         #: By word: its evidence, the stems that it may share with others, and its first reading.
         self._known: dict[str, tuple[tuple[str, ...], list[str], str]] = {}
 
@@ -528,6 +606,8 @@ class Scorer:
         for i, word in enumerate(distinct):
             found = known.get(word)
             if found is None:
+                if self._dull(word):
+                    continue
                 found = fresh[word] = self._told(word)
                 if len(known) < _MEMO and len(word) <= _MEMO_LENGTH:
                     known[word] = found

@@ -401,6 +401,47 @@ def test_tasks_of_a_worker_share_restored_words():
     assert not toxicity.remembering(other).restored
 
 
+def test_a_task_counts_its_clean_rows_before_it_gives_them_out(spark):
+    """More rows than one slice holds give one row a feature, and the counts of both parts make up those of all rows."""
+    rows = spark.range(0, 9000, 1, 1).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "theri moron").when(F.col("id") % 3 == 1, "theri m0ron%%").otherwise("theri anly!!").alias("text"),
+        F.lit(0).alias("toxic"),
+    )
+    model = toxicity.CharModel(toxicity.trigrams(["moron", "theri", "anly"]), {"moron": 60, "theri": 90, "anly": 30})
+    found = toxicity._rows_with(rows.select("text"), model, frozenset(["moron", "theri", "idiot"])).collect()
+    assert sorted((r.feature, r.n) for r in found) == [("moron", 6000), ("theri", 9000)]
+    counts = toxicity._clean_counts(rows, model, {"moron": 20_000, "theri": 50, "idiot": 6})
+    # An ordinary word is left after the first part; what many toxic rows have is counted to the end.
+    assert counts["moron"] == 6000 and 50 < counts["theri"] < 9000
+    assert toxicity.undecided({"moron": 20_000, "theri": 50, "idiot": 6}, counts) == {"moron"}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_dull_words_have_no_reading_that_begins_like_a_feature(seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdeilost", k=rng.randrange(1, 9))) for _ in range(60)]
+    model = toxicity.CharModel(toxicity.trigrams(words), {w: 9 for w in words[::2]})
+    features = [*rng.sample(words, 12), "lose~", "tool~2"]
+    dull, skipped = toxicity.Dull(features), 0
+    for _ in range(4000):
+        word = "".join(c * rng.choice([1, 1, 1, 2, 3]) for c in rng.choice([*words, "loser", "tools"]))
+        word = rng.choice(["", "(", '"']) + rng.choice([word, word.upper()]) + "".join(rng.choices("$!.,*@|+(€3-", k=rng.randrange(5)))
+        if dull(word):
+            skipped += 1
+            assert not any(r[:4] in dull.beginnings for r in toxicity.readings(word, model)), word
+    assert skipped > 200
+
+
+def test_counts_of_letters_and_rows_equal_plain_counts():
+    texts = ["theri Anly, theri", "", "ünly the-ri 7x x²y", "a漢字b  anly\n\ttheri"]
+    parts, rows_of = toxicity.rows_with_parts(pa.array(texts))
+    plain = Counter(x for t in texts for x in set(re.findall(r"[^\W\d_]+", t.lower())))
+    assert dict(zip(parts, rows_of.tolist(), strict=True)) == plain
+    assert toxicity.trigrams(parts) == Counter(f"^^{w}$"[i : i + 3] for w in parts for i in range(len(w) + 1))
+    assert toxicity.rows_with_parts(pa.array([], pa.string()))[0] == [] and toxicity.trigrams([]) == {}
+
+
 def test_beginnings_that_only_one_word_explains_are_dropped():
     weights = {"lose~": 0.74, "loser": 0.93, "idio~": 0.94, "idiot": 0.94}
     kept = toxicity.telling_beginnings(weights, {"lose~": 86, "loser": 86, "idio~": 97, "idiot": 95}, {"lose~": 9})
