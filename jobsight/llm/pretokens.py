@@ -24,7 +24,7 @@ MEMO_ENTRIES, MEMO_LENGTH = 250_000, 48
 
 #: What a word is often followed by. A letter before it always ends a pre-token, so it is handled as a part of its own.
 #: No apostrophe, which begins the ends of English words, and nothing that added tokens of vocabularies have.
-_TAIL = ".,!?:;$%&*"
+_TAIL = ".,!?:;$%&*#"
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:
@@ -118,6 +118,9 @@ class PartTable:
             heads = {i: t for i, t in enumerate(plain) if _SPACE_THEN_SPACE.search(t)}
             if heads:
                 texts = pa.array(["" if i in heads else t for i, t in enumerate(plain)])
+        else:
+            # White space that is dropped is the same wherever a part ends.
+            texts = pc.replace_substring(texts, "\n", " ")
         pieces = pc.split_pattern(texts.cast(pa.large_string()), " ")
         offsets = pieces.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]

@@ -522,7 +522,8 @@ def test_parts_are_independent_of_each_other():
 def test_words_with_signs_behind_them_are_encoded_as_the_library_does(name, glued):
     rng = random.Random(5)
     words = ["Thor", "reais", "ciónñ", "don't", "x²", "µm", "ªº", "İi", "漢", "7", "a_b", "<|endoftext|>x", "é\u0301e", ""]
-    texts = [" ".join(rng.choice(words) + "".join(rng.choices(".,!?:;$%&*'#", k=rng.randrange(4))) for _ in range(30)) for _ in range(60)]
+    ends = [" ", " ", " ", "\n", "\n\n", " \n"]
+    texts = ["".join(rng.choice(words) + "".join(rng.choices(".,!?:;$%&*#'", k=rng.randrange(4))) + rng.choice(ends) for _ in range(30)) for _ in range(60)]
     tool = direct_codes.WordIds(public_tokenizers.path(name), glued)
     # Signs behind a word cost no call of the whole tokenizer.
     sent, encoded = [], tool._encoded
@@ -531,4 +532,5 @@ def test_words_with_signs_behind_them_are_encoded_as_the_library_does(name, glue
     library = Tokenizer.from_file(public_tokenizers.path(name))
     expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == expected
-    assert tool._direct and not any(re.fullmatch(r" ?(Thor|reais)[.,!?:;$%&*]*", p) for p in sent)
+    assert tool._direct and not any(re.fullmatch(r" ?(Thor|reais)[.,!?:;$%&*#]*", p) for p in sent)
+    assert glued or not any("\n" in p for p in sent)
