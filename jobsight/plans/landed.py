@@ -25,25 +25,20 @@ def log_lines(t: Tables) -> DataFrame:
     orders = t.orders
     old = F.col("status") == "completed"
 
-    def lines(df: DataFrame, body: Column) -> DataFrame:
-        return df.select(log, body.alias("line"))
+    def lines(df: DataFrame, *given: tuple[Column, Column]) -> DataFrame:
+        """Of every row the lines whose condition holds; the table is read and joined once for all of them."""
+        found = [F.struct(wanted.alias("wanted"), F.when(wanted, body).alias("line")) for wanted, body in given]
+        return df.select(log, F.inline(F.array(*found))).filter("wanted").select("log", "line")
 
+    always = F.lit(True)
     has_start = ~((F.col("status") == "failed") & (F.col("priority") == "cost"))
-    start = lines(
-        orders.filter(has_start),
-        F.to_json(
-            _named(
-                Event=F.lit("SparkListenerApplicationStart"), App__Name=F.col("app_name"), App__ID=F.col("app_id"),
-                Timestamp=F.col("start_ms"), User=F.col("user_name"),
-            )
-        ),
-    )
-    end = lines(
-        orders.filter(F.col("status") != "running"),
-        F.to_json(
-            _named(Event=F.lit("SparkListenerApplicationEnd"), Timestamp=F.col("start_ms") + F.col("duration_ms"))
-        ),
+    start = F.to_json(
+        _named(
+            Event=F.lit("SparkListenerApplicationStart"), App__Name=F.col("app_name"), App__ID=F.col("app_id"),
+            Timestamp=F.col("start_ms"), User=F.col("user_name"),
+        )
     )
+    end = F.to_json(_named(Event=F.lit("SparkListenerApplicationEnd"), Timestamp=F.col("start_ms") + F.col("duration_ms")))
     pairs = [
         ("spark.executor.memory", F.concat(F.col("executor_memory_mb").cast("string"), F.lit("m"))),
         ("spark.executor.cores", F.when(F.col("job_type") != "sql", F.col("executor_cores").cast("string"))),
@@ -55,11 +50,15 @@ def log_lines(t: Tables) -> DataFrame:
     )
     as_map = F.map_from_entries(F.transform(entries, lambda p: F.struct(p[0], p[1])))
     prefix = '{"Event":"SparkListenerEnvironmentUpdate","Spark Properties":'
-    env = lines(
+    env = F.concat(F.lit(prefix), F.when(old, F.to_json(entries)).otherwise(F.to_json(as_map)), F.lit("}"))
+    broken = F.lit('{"Event":"SparkListenerTaskEnd", "Task Info":')
+    heads = lines(
         orders,
-        F.concat(F.lit(prefix), F.when(old, F.to_json(entries)).otherwise(F.to_json(as_map)), F.lit("}")),
+        (has_start, start),
+        (F.col("status") != "running", end),
+        (always, env),
+        (F.col("status") == "failed", broken),
     )
-    broken = lines(orders.filter(F.col("status") == "failed"), F.lit('{"Event":"SparkListenerTaskEnd", "Task Info":'))
     tasks = t.tasks.join(orders.select("app_key", "app_id", "status"), "app_key")
     failed = F.col("failed_tasks") > 0
     half = F.floor(F.col("shuffle_read_bytes") / 2).cast("long")
@@ -85,26 +84,18 @@ def log_lines(t: Tables) -> DataFrame:
     info = _named(
         Task__ID=F.col("part_key"), Successful=F.when(old, ~failed), Failed=F.when(~old, failed)
     )
-    task = lines(
-        tasks,
-        F.to_json(
-            _named(
-                Event=F.lit("SparkListenerTaskEnd"), Stage__ID=F.col("stage_id"), Task__Info=info, Task__Metrics=metrics
-            )
-        ),
+    task = F.to_json(
+        _named(Event=F.lit("SparkListenerTaskEnd"), Stage__ID=F.col("stage_id"), Task__Info=info, Task__Metrics=metrics)
     )
-    stage = lines(
-        tasks,
-        F.to_json(
-            _named(
-                Event=F.lit("SparkListenerStageCompleted"),
-                Stage__Info=_named(
-                    Stage__ID=F.col("stage_id"), Stage__Name=F.concat(F.lit("stage "), F.col("stage_id").cast("string"))
-                ),
-            )
-        ),
+    stage = F.to_json(
+        _named(
+            Event=F.lit("SparkListenerStageCompleted"),
+            Stage__Info=_named(
+                Stage__ID=F.col("stage_id"), Stage__Name=F.concat(F.lit("stage "), F.col("stage_id").cast("string"))
+            ),
+        )
     )
-    return start.unionByName(end).unionByName(env).unionByName(broken).unionByName(task).unionByName(stage)
+    return heads.unionByName(lines(tasks, (always, task), (always, stage)))
 
 
 def _landed(df: DataFrame, **cols: Column) -> DataFrame:

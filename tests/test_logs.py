@@ -100,3 +100,11 @@ def test_log_of_a_real_application(spark, tmp_path):
     assert row["total_tasks"] > 4 and row["shuffle_write_bytes"] > 0 and row["shuffle_read_bytes"] > 0
     assert 0 < row["executor_cpu_time_ms"] <= row["executor_run_time_ms"] * 2
     assert event_log.stages(lines).agg(F.sum("num_tasks")).first()[0] == row["total_tasks"]
+
+
+def test_rendered_logs_join_the_tables_once_for_runs_and_once_for_tasks(spark):
+    from jobsight.plans import landed
+    from jobsight.plans.tables import Tables
+
+    plan = landed.log_lines(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 3
