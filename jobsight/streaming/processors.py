@@ -7,17 +7,20 @@ more or when its application has been silent for long. Sessions go by their own
 Spark also unpickles a processor in a helper process that does not see the
 files shipped to the workers, so this module is pickled by value and its
 classes use plain values and functions of this module only.
+
+Where most keys have few rows, a processor takes plain rows: a pandas frame for every key costs far more than its rows.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from jobsight.operators import tuning
@@ -32,8 +35,12 @@ LOWER_IS_BETTER = list(tuning.LOWER_IS_BETTER)
 CONVERGENCE, MAX_ITERATIONS = tuning.CONVERGENCE, tuning.MAX_ITERATIONS
 
 
-def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, ignore_index=True)
+#: Rows that are handed to the state at once.
+CHUNK_ROWS = 10_000
+
+
+def _known(v: Any) -> bool:
+    return v is not None and v == v
 
 
 def _ms_after(us: int) -> int:
@@ -56,27 +63,23 @@ class InOrder(StatefulProcessor):
         fields = {"us": "LONG", "event_id": "LONG", **self.waiting_columns}
         self.waiting = handle.getListState("waiting", ", ".join(f"{k} {v}" for k, v in fields.items()))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first = None
-        for chunk in rows:
-            chunk = chunk[chunk["us"].notna() & chunk["event_id"].notna()]
-            if chunk.empty:
-                continue
-            times = chunk["us"].astype("int64")
-            columns = [times.tolist(), chunk["event_id"].astype("int64").tolist()]
-            columns += [chunk[c].tolist() for c in self.waiting_columns]
-            self.waiting.appendList(list(zip(*columns)))
-            first = int(times.min()) if first is None else min(first, int(times.min()))
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        first, names = None, ["us", "event_id", *self.waiting_columns]
+        told = (tuple(row[c] for c in names) for row in rows if row["us"] is not None and row["event_id"] is not None)
+        while chunk := list(islice(told, CHUNK_ROWS)):
+            self.waiting.appendList(chunk)
+            oldest = min(r[0] for r in chunk)
+            first = oldest if first is None else min(first, oldest)
         if first is not None:
             self.handle.registerTimer(_ms_after(first))
         return iter([])
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         ready = sorted((r for r in rows if r[0] <= passed), key=lambda r: r[:2])
         later = [r for r in rows if r[0] > passed]
-        found = None
+        found = []
         if ready:
             if later:
                 self.waiting.put(later)
@@ -90,8 +93,7 @@ class InOrder(StatefulProcessor):
             self.forget()
         elif expiry is not None:
             self.handle.registerTimer(_ms_after(expiry))
-        if found is not None and len(found):
-            yield found
+        yield from found
 
     def close(self) -> None:
         pass
@@ -110,16 +112,16 @@ class Cooldown(InOrder):
         super().init(handle)
         self.last = handle.getValueState("last", "us LONG, cooldown_us LONG")
 
-    def follow(self, key: Any, rows: list[tuple]) -> pd.DataFrame:
+    def follow(self, key: Any, rows: list[tuple]) -> list[Row]:
         last = self.last.get()[0] if self.last.exists() else None
         fired = []
         for us, event_id, cooldown in rows:
             if last is None or us - last >= cooldown:
-                fired.append((*key, us, event_id))
+                fired.append(Row(rule=key[0], app_id=key[1], us=us, event_id=event_id))
                 last = us
         if fired:
             self.last.update((last, int(rows[-1][2])))
-        return pd.DataFrame(fired, columns=["rule", "app_id", "us", "event_id"])
+        return fired
 
     def expires(self) -> int | None:
         return sum(self.last.get()) if self.last.exists() else None
@@ -130,7 +132,7 @@ class Cooldown(InOrder):
 
 def cooldown_alerts(triggers: DataFrame) -> DataFrame:
     """Alerts of a stream of triggers (rule, app_id, us, event_id, cooldown_us) that has a watermark."""
-    return triggers.groupBy("rule", "app_id").transformWithStateInPandas(
+    return triggers.groupBy("rule", "app_id").transformWithState(
         statefulProcessor=Cooldown(),
         outputStructType="rule string, app_id string, us long, event_id long",
         outputMode="Append",
@@ -247,19 +249,19 @@ class StatusChanges(InOrder):
         super().init(handle)
         self.status = handle.getValueState("status", "status STRING, us LONG")
 
-    def follow(self, key: Any, rows: list[tuple]) -> pd.DataFrame:
+    def follow(self, key: Any, rows: list[tuple]) -> list[Row]:
         status, last = self.status.get() if self.status.exists() else ("running", rows[0][0])
         changes = []
         for us, event_id, new in rows:
-            if new is None or new != new:
+            if new is None:
                 continue
             if us - last >= self.idle_us:
                 status = "running"
             if new != status:
-                changes.append((key[0], event_id, status, new))
+                changes.append(Row(user_id=key[0], event_id=event_id, old_status=status, new_status=new))
             status, last = new, us
         self.status.update((status, last))
-        return pd.DataFrame(changes, columns=["user_id", "event_id", "old_status", "new_status"])
+        return changes
 
     def expires(self) -> int | None:
         return self.status.get()[1] + self.idle_us if self.status.exists() else None
@@ -270,7 +272,7 @@ class StatusChanges(InOrder):
 
 def status_changes(updates: DataFrame, idle_us: int = IDLE_US) -> DataFrame:
     """Changes of a stream of updates (user_id, event_id, us, status) that has a watermark."""
-    return updates.groupBy("user_id").transformWithStateInPandas(
+    return updates.groupBy("user_id").transformWithState(
         statefulProcessor=StatusChanges(idle_us),
         outputStructType="user_id long, event_id long, old_status string, new_status string",
         outputMode="Append",
@@ -288,21 +290,19 @@ class TuningSession(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("session", _STATE)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = _sorted(rows, ["seq", "tie"])
-        if self.state.exists():
-            status, iterations, best, steps, *values = self.state.get()
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        place = lambda v: (v is None, 0 if v is None else v)
+        batch = sorted((row.asDict() for row in rows), key=lambda r: (place(r["seq"]), place(r["tie"])))
+        kept = self.state.get() if self.state.exists() else None
+        if kept is not None:
+            status, iterations, best, steps, *values = kept
             cfg = dict(zip(_CONFIG, values))
         else:
             status, iterations, best, steps = "active", 0, None, 0
-            first = batch[batch["target"].notna()].head(1).to_dict("records")
-            given = first[0] if first else {}
-            cfg = {
-                c: float(given[c]) if given.get(c) == given.get(c) and given.get(c) is not None else TUNABLE[p][0]
-                for c, p in SESSION_CONFIG.items()
-            }
-        for row in batch.to_dict("records"):
-            if status != "active" or row["target"] != row["target"]:
+            given = next((r for r in batch if _known(r["target"])), {})
+            cfg = {c: float(given[c]) if _known(given.get(c)) else TUNABLE[p][0] for c, p in SESSION_CONFIG.items()}
+        for row in batch:
+            if status != "active" or not _known(row["target"]):
                 continue
             x, lower = row["target"], any(m in row["target_metric"].lower() for m in LOWER_IS_BETTER)
             better = best is not None and (x < best if lower else x > best)
@@ -316,7 +316,7 @@ class TuningSession(StatefulProcessor):
             steps += sum(moved[c] != cfg[c] for c in _CONFIG)
             cfg = moved
         self.state.update((status, iterations, best, steps, *[cfg[c] for c in _CONFIG]))
-        yield pd.DataFrame([(key[0], status, iterations, best, steps)], columns=["session", "status", "iterations", "best_value", "adjustments"])
+        yield Row(session=key[0], status=status, iterations=iterations, best_value=best, adjustments=steps)
 
     def close(self) -> None:
         pass
@@ -356,7 +356,7 @@ def next_config(cfg: dict[str, float], row: dict[str, Any]) -> dict[str, float]:
 
 
 def tuning_sessions(iterations: DataFrame) -> DataFrame:
-    return iterations.groupBy("session").transformWithStateInPandas(
+    return iterations.groupBy("session").transformWithState(
         statefulProcessor=TuningSession(),
         outputStructType="session long, status string, iterations int, best_value double, adjustments int",
         outputMode="Update",
