@@ -355,7 +355,7 @@ def _(t):
 def _(t):
     stream = t.streaming("lineitem").tasks.withColumn("ts", F.timestamp_millis("ship_ms"))
     windows = monitoring.health_windows(stream.withWatermark("ts", feeds.WATERMARK), "supp_key", "ts")
-    out = feeds.drain(windows, "windows", "update", ["window_start", "supp_key"])
+    out = feeds.drain(windows, "windows", "update", ["window_start", "supp_key"], t.raw("lineitem").count())
     measured = ["task_failure_rate", "jvm_gc_time_percent", "cpu_utilization", "memory_spill_ratio"]
     return out.select(
         F.unix_millis("window_start").alias("window_ms"), "supp_key", *[half_even(c, 6).alias(c) for c in measured]

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from jobsight.operators import alerts, monitoring
@@ -104,3 +105,33 @@ def test_history_stream_equals_the_batch_and_goes_with_its_age(spark):
 def test_replay_of_an_empty_table(spark):
     replay, out = replayed(timed(spark, [], TRIGGERS), "empty", processors.cooldown_alerts)
     assert out.count() == 0
+
+
+def test_state_partitions_follow_the_rows_of_a_batch(spark):
+    name, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    with feeds._stateful(spark, 1000 * feeds.STATE_ROWS + 1):
+        assert int(spark.conf.get(name)) == 1001
+    with feeds._stateful(spark):
+        assert int(spark.conf.get(name)) == cores
+
+
+def test_a_session_takes_plain_rows():
+    class Value:
+        kept = None
+        exists = lambda self: self.kept is not None
+        get = lambda self: self.kept
+
+        def update(self, new):
+            self.kept = new
+
+    def row(tie, target):
+        blank = dict.fromkeys([*processors.STEP_METRICS, *processors.SESSION_CONFIG])
+        return Row(**blank | {"seq": 1, "tie": tie, "target": target, "target_metric": "duration", "strategy": "moderate"})
+
+    session = processors.TuningSession()
+    session.state = Value()
+    rows = [row(3, 50.0), row(1, None), row(2, 100.0)]
+    (first,) = session.handleInputRows((7,), iter(rows), None)
+    assert (first["session"], first["status"], first["iterations"], first["best_value"]) == (7, "active", 2, 50.0)
+    (after,) = session.handleInputRows((7,), iter([row(4, 49.9)]), None)
+    assert (after["status"], after["iterations"], after["best_value"]) == ("completed", 2, 49.9)
