@@ -116,3 +116,10 @@ def test_learned_queries_share_models_of_full_size(spark, monkeypatch):
     assert calls == [{"kind": "random_forest", "folds": 0}, {"kind": "gradient_boosting", "folds": 0}]
     assert recommending._learned(t, folds=5) is recommending._learned(t, folds=5)
     assert calls[2:] == [{"kind": "random_forest", "folds": 5}]
+
+
+def test_rows_to_predict_are_spread_over_the_cores(spark):
+    rows = spark.range(500).coalesce(1)
+    spread = learn.over_cores(rows)
+    assert spread.rdd.getNumPartitions() == max(1, spark.sparkContext.defaultParallelism)
+    assert sorted(r["id"] for r in spread.collect()) == list(range(500))
