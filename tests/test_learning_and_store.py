@@ -61,6 +61,17 @@ def test_runs_of_one_partition_are_spread_over_the_cores(spark, monkeypatch):
     assert learn.spread(spark.range(0, 400, 1, 50), 400).rdd.getNumPartitions() == 50
 
 
+def test_boosting_rounds_are_cut_from_earlier_ones_and_models_stay_the_same(runs, monkeypatch):
+    often = learn.train(runs, kind="gradient_boosting", trees=5, depth=2, folds=0)
+    assert {m.stages[-1].getCheckpointInterval() for m in often.models.values()} == {2}
+    monkeypatch.setattr(learn, "CHECKPOINT_ROUNDS", 10)
+    seldom = learn.train(runs, kind="gradient_boosting", trees=5, depth=2, folds=0)
+    strip = lambda model: model.toDebugString.split("\n", 1)[1]  # noqa: E731  the first line holds a random id
+    for target in learn.TARGETS:
+        assert seldom.models[target].stages[-1].getCheckpointInterval() == 10
+        assert strip(often.models[target].stages[-1]) == strip(seldom.models[target].stages[-1])
+
+
 def test_too_few_runs_are_refused(runs):
     with pytest.raises(ValueError, match="at least"):
         learn.train(runs.limit(5), folds=0)
