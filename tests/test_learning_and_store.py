@@ -72,6 +72,70 @@ def test_boosting_rounds_are_cut_from_earlier_ones_and_models_stay_the_same(runs
         assert strip(often.models[target].stages[-1]) == strip(seldom.models[target].stages[-1])
 
 
+@pytest.fixture
+def fits(monkeypatch):
+    """What every fit was given, and how many were at work at once."""
+    import threading
+
+    seen, at_work, most, lock, made = [], [0], [0], threading.Lock(), learn._regressor
+
+    def watched(*options):
+        regressor = made(*options)
+        fit = regressor.fit
+
+        def counted(rows):
+            with lock:
+                at_work[0] += 1
+                most[0] = max(most[0], at_work[0])
+                seen.append((rows.rdd.getNumPartitions(), rows.columns))
+            try:
+                return fit(rows)
+            finally:
+                with lock:
+                    at_work[0] -= 1
+
+        regressor.fit = counted
+        return regressor
+
+    monkeypatch.setattr(learn, "_regressor", watched)
+    return seen, most
+
+
+def test_training_rows_of_many_partitions_are_gathered_on_the_cores_of_a_fit(spark, runs, fits, monkeypatch):
+    seen, _ = fits
+    many = spark.createDataFrame(runs.rdd.repartition(30), runs.schema)
+    monkeypatch.setattr(learn, "TASK_RUNS", 10)
+    learned = learn.train(many, trees=2, depth=2, folds=0)
+    cores = spark.sparkContext.defaultParallelism
+    # Counts of all open nodes go from every task of a level; only what a fit reads is kept.
+    assert seen == [(max(1, min(cores // 4, 10)), ["features", *learn.TARGETS])] * 4
+    assert learned.samples == 100
+
+
+def test_fits_of_large_tables_follow_each_other_on_all_cores(spark, runs, fits, monkeypatch):
+    seen, most = fits
+    monkeypatch.setattr(learn, "TASK_RUNS", 10)
+    monkeypatch.setattr(learn, "KEPT_BYTES", 1)
+    learn.train(runs, trees=2, depth=2, folds=0)
+    assert most == [1] and {n for n, _ in seen} == {min(spark.sparkContext.defaultParallelism, 10)}
+    monkeypatch.undo()
+    assert [learn.fits_at_once(n, "random_forest", 100) for n in (100, 900_000, 2_000_000, 9_000_000)] == [4, 4, 2, 1]
+    assert learn.fits_at_once(2_000_000, "gradient_boosting", 100) == 4
+
+
+def test_evaluation_reads_the_runs_once_for_all_targets(spark, runs):
+    learned = learn.train(runs, trees=2, depth=2, folds=0)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    found = learn.evaluate(learned, spark.createDataFrame(runs.rdd.map(counted), runs.schema))
+    assert read.value == 100 and set(found) == set(learn.TARGETS)
+    assert found["num_executors"]["r2"] > 0.5
+
+
 def test_too_few_runs_are_refused(runs):
     with pytest.raises(ValueError, match="at least"):
         learn.train(runs.limit(5), folds=0)
